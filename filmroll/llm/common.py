@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch at most, where the session allows more.
+ARROW_ROWS = 1000
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole ``documents`` table."""
+    """The whole ``documents`` table; Arrow batches are kept small, as a text may be long."""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(limit)) <= ARROW_ROWS:
+        spark.conf.set(limit, ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
