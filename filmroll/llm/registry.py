@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: One module per operator; each has QUERIES and ORACLE_SQL.
-MODULES = ("token_counts", "mixing", "license_scan", "language_id", "packing", "fingerprints", "quality_rules")
+MODULES = ("token_counts", "mixing", "license_scan", "language_id", "line_dedup", "packing", "fingerprints", "quality_rules")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
