@@ -120,10 +120,8 @@ def shingle_hashes(text: bytes | None, size: int = 5) -> np.ndarray:
         return words
     n = max(1, len(words) - size + 1)
     total = np.zeros(n, dtype=np.uint64)
-    factor = np.uint64(1)
     for k in range(min(size, len(words))):
-        total = total + words[k : k + n] * factor
-        factor = factor * _BASE
+        total = total + words[k : k + n] * np.uint64(pow(int(_BASE), k, 1 << 64))
     return np.unique(mix64(total + np.uint64(min(size, len(words)))))
 
 
