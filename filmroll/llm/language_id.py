@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filmroll.llm.common import documents, slices
 
@@ -136,13 +137,15 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, smoothing: float = 0.
 
 
 def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred and score for every row of ``docs`` (doc_id, text).
+    """``docs`` (text and any other columns) with lang_pred and score.
 
     The score is the posterior probability under equal priors, with the
     evidence tempered by the square root of the text's length, since n-grams of
     one text are far from independent. Null texts, texts without a letter, and
-    all texts when nothing was learnt, are ``und`` with score 0.
+    all texts when nothing was learnt, are ``und`` with score 0. Columns named
+    lang_pred or score are replaced.
     """
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +166,9 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
                 share = odds.max(axis=0) / odds.sum(axis=0)
                 preds += [names[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
                 scores += np.where(letters, share, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -179,7 +182,15 @@ def identify(docs: DataFrame) -> DataFrame:
     Repeated rows each get a row; other columns are ignored; an empty table gives none.
     """
     langs, matrix = fit(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs, langs, matrix).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), langs, matrix).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang and any others) in a language learnt from it, at a score of ``min_score`` at least."""
+    langs, matrix = fit(docs.where(~held_out(F.col("doc_id"))))
+    predicted = predict(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), langs, matrix)
+    kept = predicted.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*docs.columns)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

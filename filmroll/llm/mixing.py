@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from filmroll.llm.common import WORD, documents, materialize
+from filmroll.llm.common import WORD, documents, materialize, sized_hint
 
 #: (time, factor) knots of a source's weight over training, linear between knots; sources take them in turn.
 RISING = ((0.0, 0.5), (1.0, 1.5))
@@ -66,11 +66,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return rated.select("source_key", "source_size", "turn", F.least(F.col("ceiling"), F.coalesce(F.col("weight") * level, F.col("ceiling"))).alias("target"))
 
 
+def _position(start: Column, schedules: tuple) -> Column:
+    """Training position of the place ``start`` in the stream of the row's source."""
+    share_at = F.coalesce(F.try_divide(start.cast("double"), F.col("target")), F.lit(0.0))
+    position = F.lit(None).cast("double")
+    for k, schedule in enumerate(schedules):
+        position = F.when(F.col("turn") % len(schedules) == k, invert_demand(share_at, schedule)).otherwise(position)
+    return position
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, schedules: tuple = SCHEDULES) -> DataFrame:
     """What the mix takes of every row of ``docs`` (doc_id, text, source), sorted by training position.
 
     Returns doc_id, source, size (words; null text: 0), source_size, target,
-    taken (words, at most ``most`` times size), start (the document's place in
+    turn (the source's rank), taken (words, at most ``most`` times size), start (the document's place in
     its source's stream, which is read again from the front when it ends) and
     position (first training position, 0 to 1; null if nothing is taken).
     Order within a source follows a hash of doc_id, so reruns agree. Null
@@ -97,29 +106,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     placed = sized.join(offsets.hint("merge"), ["source_key", "bucket"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     goal, none = F.floor(F.col("target") + 0.5), F.lit(0)
     passes = [F.greatest(none, F.least("size", goal - F.col("start") - k * F.col("source_size"))) for k in range(int(-(-most // 1)))]
-    share_at = F.coalesce(F.try_divide(F.col("start").cast("double"), F.col("target")), F.lit(0.0))
-    position = F.lit(None).cast("double")
-    for k, schedule in enumerate(schedules):
-        position = F.when(F.col("turn") % len(schedules) == k, invert_demand(share_at, schedule)).otherwise(position)
+    position = _position(F.col("start"), schedules)
     taken = placed.withColumn("taken", sum(passes[1:], passes[0]).cast("long"))
     taken = taken.withColumn("position", F.when(F.col("taken") > 0, F.round(position, 9)))
-    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "start", "position").orderBy("position", "doc_id")
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "start", "turn", "position").orderBy("position", "doc_id")
 
 
-def curriculum(docs: DataFrame, **options) -> DataFrame:
+def curriculum(docs: DataFrame, schedules: tuple = SCHEDULES, **options) -> DataFrame:
     """The mixed corpus: rows of ``docs``, as often as the mix takes them, in training order.
 
-    A row is repeated once for each whole copy taken; the document at the end
-    of a source's quota stays whole if at least half of it is taken. Rows
-    without words are left out: the mix takes nothing of them. Columns as in
-    ``docs``; rows that share a doc_id are told apart by their text.
+    A row is repeated once for each copy taken, each at its own position; the
+    document at the end of a source's quota stays whole if at least half of it
+    is taken. Rows without words are left out: the mix takes nothing of them.
+    Columns as in ``docs``; rows of one doc_id and size are taken as often as
+    the one taken most.
     """
-    mixed = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), "position", (F.col("taken") / F.col("size") + 0.5).cast("int").alias("_copies"), F.col("size").alias("_size"))
-    mixed = mixed.groupBy("_id", "_size").agg(F.max("_copies").alias("_copies"), F.min("position").alias("_at")).where("_copies > 0")
+    copies = (F.col("taken") / F.col("size") + 0.5).cast("int")
+    mixed = mix(docs, schedules=schedules, **options).where("taken > 0").withColumn("_copies", copies).where("_copies > 0")
+    at = F.transform(F.sequence(F.lit(0), F.col("_copies") - 1), lambda k: F.col("start") + k * F.col("source_size"))
+    placed = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max_by(F.struct("source_size", "target", "turn", at.alias("at")), "_copies").alias("_m"))
+    placed = placed.select("_id", "_size", F.col("_m.target").alias("target"), F.col("_m.turn").alias("turn"), F.explode("_m.at").alias("at"))
+    placed = placed.select("_id", "_size", _position(F.col("at"), schedules).alias("_at")).groupBy("_id", "_size").agg(F.collect_list("_at").alias("_at"))
     sized = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    chosen = sized.join(mixed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    copies = chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return copies.orderBy("_copy", "_at", "doc_id").select(*docs.columns)
+    chosen = sized.join(sized_hint(materialize(placed)), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    return chosen.withColumn("_at", F.explode("_at")).orderBy("_at", "doc_id").select(*docs.columns)
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

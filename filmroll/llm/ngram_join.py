@@ -302,6 +302,23 @@ def similar_components(docs: DataFrame) -> DataFrame:
     return whole.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others), one for each component: that of its least doc_id.
+
+    Texts without words are components of their own and stay; of rows that
+    repeat a doc_id one stays; rows with null doc_id stay unless they are linked
+    to a row that has one.
+    """
+    found = materialize(similar_components(docs))
+    gone = materialize(found.where("component_id IS NOT NULL AND doc_id IS DISTINCT FROM component_id").select(F.col("doc_id").alias("_id")).distinct())
+    rest = docs.join(sized_hint(gone), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    repeated = materialize(found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"))
+    if repeated.isEmpty():
+        return rest
+    twice = F.col("doc_id") == F.col("_id")
+    return rest.join(sized_hint(repeated), twice, "left_anti").unionByName(rest.join(sized_hint(repeated), twice, "left_semi").dropDuplicates(["doc_id"]))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return similar_components(documents(spark, sf_dir))
