@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from filmroll.plans import queries as _queries
+
+QUERIES = _queries.QUERIES
+ORACLE_SQL = _queries.ORACLE_SQL
