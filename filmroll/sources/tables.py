@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 from pyspark.sql.window import Window as W
 
 from filmroll.schema import CHILDREN, TABLES, VECTOR
@@ -30,7 +31,7 @@ def unpack_vector(raw: pd.Series) -> pd.Series:
     return raw.map(lambda b: np.frombuffer(b, dtype="<f4") if b else None)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def pack_vector(vector: pd.Series) -> pd.Series:
     """S7. A vector to little-endian float32 bytes."""
     return vector.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
