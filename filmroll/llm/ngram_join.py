@@ -4,9 +4,9 @@ Every text is the set of its distinct 5-word shingles. The join links all pairs
 of texts with 100 * intersection >= 80 * union and gives their components.
 
 1. Texts with equal sets form a class; only classes go on.
-2. Similar classes are put into groups: classes that share a min-hash band are
-   compared with the band's least class, and the verified links make groups.
-   A group is connected, so pairs inside it need no further look.
+2. Similar classes are put into groups: classes that share a min-hash band meet
+   in buckets, where each is compared with a few leaders, and the verified links
+   make groups. A group is connected, so pairs inside it need no further look.
 3. The token-group matrix holds, for each group, the union of its members'
    prefix tokens: with the tokens of a set in one order for all (rare first),
    two linked sets must share a token among the first n - ceil(8n/9) + 1 of the
@@ -14,7 +14,9 @@ of texts with 100 * intersection >= 80 * union and gives their components.
    such token hold no linked pair.
 4. Of the group pairs left, each set queries the other group: its overlap with
    the union of a block of members bounds its overlap with any of them, and only
-   blocks that reach the bound are opened and compared set by set.
+   blocks that reach the bound are opened. Before two sets are compared, bit
+   maps of them bound their overlap: every bit in which they differ takes at
+   least one token that only one of them has.
 
 The order comes from a sketch of token frequencies over the whole corpus, of
 fixed size; any order gives the same links, a good one gives few candidates.
@@ -38,7 +40,11 @@ from filmroll.llm.components import connected_components
 SHINGLE = 5
 SKETCH = 1 << 20
 SKETCH_PARTS = 16
-BANDS, ROWS = 4, 2
+BANDS, ROWS = 3, 2
+#: Members of a bucket that are compared with one list of leaders, leaders of a list, and those all lists of a bucket share.
+BUCKET, LEADERS, SEEDS = 512, 64, 4
+#: Bits of a set's bit map.
+BITS = 4096
 #: Members of a group whose union is kept as one block.
 BLOCK = 64
 
@@ -132,19 +138,84 @@ def _prefixes(docs: DataFrame, frequencies: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(cut, "key binary, n long, prefix array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, n and tokens of the classes in ``wanted`` (cid, rep_doc, key), read from their first documents."""
+def bit_map(tokens: np.ndarray) -> bytes:
+    """BITS bits, those of the tokens' low digits set."""
+    bits = np.zeros(BITS, dtype=bool)
+    bits[(tokens & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _read_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """tokens and bits of the classes in ``wanted`` (cid, rep_doc, key and more), read from their first documents, and the other columns of ``wanted``."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_hashes(t, SHINGLE) for t in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(t) for t in found], pa.binary()), pa.array([t.view(np.int64) for t in found], pa.list_(pa.int64()))], names=["key", "tokens"])
+            bits = [np.frombuffer(bit_map(t), dtype="<i8") for t in found]
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(t) for t in found], pa.binary()), pa.array([t.view(np.int64) for t in found], pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["key", "tokens", "bits"])
 
-    wanted = materialize(wanted.select("cid", "rep_doc", "key"))
-    ids = wanted.select(F.col("rep_doc").alias("_id"))
+    ids = materialize(wanted.select(F.col("rep_doc").alias("_id")).distinct())
     some = docs.select("doc_id", "text").join(sized_hint(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    read = some.select("text").mapInArrow(tokens, "key binary, tokens array<long>")
-    return materialize(read.join(sized_hint(wanted.select("cid", "key")), "key").select("cid", F.size("tokens").cast("long").alias("n"), "tokens"))
+    read = some.select("text").mapInArrow(tokens, "key binary, tokens array<long>, bits array<long>")
+    return read.join(sized_hint(materialize(wanted.drop("rep_doc"))), "key").drop("key")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, n, tokens and bits of the classes in ``wanted`` (cid, rep_doc, key), stored."""
+    return materialize(_read_sets(docs, wanted.select("cid", "rep_doc", "key")).withColumn("n", F.size("tokens").cast("long")))
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a))
+
+
+def _leader_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Verified links (a, b) of classes with leaders of their buckets.
+
+    A bucket is a min-hash band's classes. Large ones are dealt into lists; the
+    first SEEDS leaders are the same in all lists of a bucket, more come from
+    the members that are not linked to any leader so far, LEADERS at most. What
+    is missed here is found by the matrix.
+    """
+    banded = materialize(classes.select("cid", F.explode("bands").alias("band")))
+    seeds = F.array_compact(F.array(*[F.min(F.when(F.pmod(F.xxhash64("cid"), F.lit(SEEDS)) == k, F.col("cid"))) for k in range(SEEDS)]))
+    buckets = banded.groupBy("band").agg(F.count("*").alias("size"), seeds.alias("seeds")).where("size > 1")
+    buckets = materialize(buckets.withColumn("lists", F.ceil(F.col("size") / BUCKET)))
+    members = banded.join(buckets.select("band", "lists").hint("merge"), "band").select("cid", "band", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("lists")).alias("list"), F.lit(False).alias("lead"))
+    leaders = buckets.select("band", "seeds", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lists") - 1)).alias("list")).select(F.explode("seeds").alias("cid"), "band", "list", F.lit(True).alias("lead"))
+    deals = members.unionByName(leaders).groupBy("cid").agg(F.collect_list(F.struct("band", "list", "lead")).alias("deals"))
+    wanted = materialize(classes.select("cid", "rep_doc", "key").join(deals.hint("merge"), "cid"))
+    dealt = _read_sets(docs, wanted).select("cid", "tokens", F.inline("deals"))
+    lists = dealt.repartition(partitions(docs.sparkSession), "band", "list").sortWithinPartitions("band", "list", F.desc("lead"), "cid")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, known = None, []
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            values = batch.column("tokens")
+            flat, cuts = values.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))])
+            for i, (cid, band, part, lead) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("cid", "band", "list", "lead")), strict=True)):
+                if (band, part) != here:
+                    here, known = (band, part), []
+                tokens = flat[cuts[i] : cuts[i + 1]].view(np.uint64)
+                bits, n = int.from_bytes(bit_map(tokens), "little"), len(tokens)
+                links = 0
+                for other, mine, theirs in known:
+                    total = n + len(mine)
+                    if other != cid and 9 * (bits ^ theirs).bit_count() <= total and 100 * (same := _common(tokens, mine)) >= 80 * (total - same):
+                        out.append((cid, other))
+                        links += 1
+                if lead or not links and len(known) < LEADERS:
+                    known.append((cid, tokens.copy(), bits))
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return lists.select("cid", "tokens", "band", "list", "lead").mapInArrow(compare, "a long, b long")
 
 
 def linked(a: str, b: str, common: str) -> str:
@@ -153,16 +224,13 @@ def linked(a: str, b: str, common: str) -> str:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked pairs among ``pairs`` (a, b).
-
-    The first join is on a, which has few pairs each; b may be one class for
-    very many, and joins by sorting, where Spark splits a partition that is too
-    large.
-    """
-    left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).hint("merge"), "a")
-    both = left.join(sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")).hint("merge"), "b")
-    fit = both.where("5 * least(na, nb) >= 4 * greatest(na, nb)").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-    return fit.where(linked("na", "nb", "common")).select("a", "b")
+    """The linked pairs among ``pairs`` (a, b): first by bit maps, then by the sets."""
+    side = lambda c, *cols: sets.select(F.col("cid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in cols]).hint("merge")
+    mapped = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    left = materialize(mapped.where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").where(9 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b"))
+    both = left.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").withColumn("common", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    return both.where(linked("n_a", "n_b", "common")).select("a", "b")
 
 
 def _group_pairs(matrix: DataFrame) -> DataFrame:
@@ -260,7 +328,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     are their own component. Repeated rows each get a row and are linked like
     equal texts; rows with null doc_id take part, and a component made of such
     rows alone has a null id; other columns are ignored; an empty table gives no
-    rows. ``docs`` is read three times and must give the same rows each time.
+    rows. ``docs`` is read four times and must give the same rows each time.
     """
     docs = docs.select("doc_id", "text")
     profile = materialize(_profile(docs))
@@ -269,13 +337,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     classes = rows.where("n > 0").groupBy("key").agg(first.alias("rep"), F.min("doc_id").alias("least_doc"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes.select("key", F.col("rep.row_id").alias("cid"), F.col("rep.doc_id").alias("rep_doc"), "least_doc", "n", "bands"))
 
-    banded = materialize(classes.select("cid", "n", F.explode("bands").alias("band")))
-    leaders = banded.groupBy("band").agg(F.min(F.struct("cid", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1").select("band", "lead")
-    near = banded.join(leaders.hint("merge"), "band").where("cid <> lead.cid AND 5 * least(n, lead.n) >= 4 * greatest(n, lead.n)")
-    pairs = materialize(near.select(F.col("cid").alias("a"), F.col("lead.cid").alias("b")).distinct())
-    about = classes.select("cid", "rep_doc", "key")
-    touched = lambda p: about.join(p.select(F.col("a").alias("cid")).union(p.select(F.col("b").alias("cid"))).distinct().hint("merge"), "cid")
-    links = _verify(pairs, _sets(docs, touched(pairs)))
+    links = _leader_links(docs, classes)
     roots = materialize(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     members = classes.join(roots.select(F.col("node").alias("cid"), F.col("root").alias("grp")).hint("merge"), "cid", "left")
     members = materialize(members.withColumn("grp", F.coalesce("grp", "cid")).select("cid", "grp", "n", "key", "rep_doc", "least_doc"))
