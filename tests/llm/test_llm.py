@@ -1,0 +1,376 @@
+"""The training-data operators against brute force, and on awkward tables."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from filmroll.llm import components, fingerprints, language_id, license_scan, line_dedup, mixing, ngram_join, packing, pii, quality_rules, registry, token_counts, weak
+from filmroll.llm.common import shingle_hashes, word_hashes
+from tests.conftest import DATA
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORD = r"[^\x20\x09-\x0D]+"
+SP, HF = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+
+AWKWARD = [
+    None,
+    "",
+    " \n\t ",
+    "one",
+    "a b c d e",
+    "a b c d e",
+    "A B C D E",
+    "x " * 3000,
+    "y" * 40_000,
+    "Licensed under CC BY-NC 4.0. All rights reserved.\nmail joe.doe@example.com or +1 (743) 555-3824, 10.0.0.1 4111 1111 1111 1111",
+    "<|endoftext|> é é ▁ \x00\x1c 中文 <s>\r\n",
+    "\n".join(["same line here"] * 5 + ["other line"]),
+]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    rows = [(i, t, "en" if i % 2 else None, None if i == 3 else f"s{i % 3}", None) for i, t in enumerate(AWKWARD)]
+    return spark.createDataFrame(rows + [rows[9], rows[9], (None, "a b c d e", "en", "s1", 1)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    return spark.read.parquet(str(DATA / "sf0.001" / "documents.parquet"))
+
+
+@pytest.fixture(scope="module")
+def texts(small):
+    return {r.doc_id: r.text or "" for r in small.collect()}
+
+
+OPERATORS = {
+    "token_counts": lambda d: token_counts.count_tokens(d, SP, 1000),
+    "mixing": mixing.mix,
+    "curriculum": mixing.curriculum,
+    "license_scan": license_scan.scan_licenses,
+    "language_id": language_id.identify,
+    "keep_identified": language_id.keep_identified,
+    "ngram_join": ngram_join.similar_components,
+    "keep_one": ngram_join.keep_one,
+    "line_dedup": line_dedup.remove_boilerplate,
+    "packing": lambda d: packing.pack_documents(d, HF),
+    "fingerprints": fingerprints.fingerprint,
+    "quality_rules": quality_rules.score_quality,
+    "pii": pii.find_pii,
+}
+ONE_ROW_EACH = {"token_counts", "mixing", "license_scan", "language_id", "ngram_join", "line_dedup", "fingerprints", "quality_rules", "pii"}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_awkward_rows(awkward, name):
+    clash = awkward.withColumns({"n": F.lit(1), "score": F.lit("x"), "words": F.lit(2), "key": F.lit(3), "lang_pred": F.lit("zz"), "length": F.lit(4)})
+    found = OPERATORS[name](clash).collect()
+    if name in ONE_ROW_EACH:
+        assert len(found) == awkward.count()
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(awkward, name):
+    assert OPERATORS[name](awkward.limit(0)).collect() == []
+
+
+def test_words_and_shingles():
+    assert len(word_hashes("a  b\tc\n".encode())) == 3 and len(word_hashes(b"")) == 0
+    assert (word_hashes(b"Hello world") == word_hashes(b"hELLO  world")).all()
+    rng = random.Random(1)
+    big = " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(400_000))
+    words = big.split()
+    shingles = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    assert len(shingle_hashes(big.encode())) == len(shingles)
+    assert len(shingle_hashes(b"a b")) == 1 and len(shingle_hashes(None)) == 0
+
+
+def test_token_counts(small, texts):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=SP)
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(small, SP, 500).collect()}
+    assert got == {i: (len(t.encode()), len(library.encode(t))) for i, t in texts.items()}
+
+
+def test_transducer_chunks_at_any_place():
+    import sentencepiece
+
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=SP), token_counts.compiled(SP)
+    rng = random.Random(4)
+    for i in range(400):
+        alphabet = "theinganonreo " if i % 2 else "abé ▁ \n\tthe 中1289aaa  .'<s>"
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 120)))
+        step = rng.choice([1, 2, 5, 17, 1000])
+        maps = [machine.chunk_map(text[k : k + step], k == 0) for k in range(0, len(text), step)]
+        assert token_counts.scan(machine, maps)[2] == len(library.encode(text)), repr(text)
+
+
+def test_mix(spark, small):
+    rows = mixing.mix(small).collect()
+    again = {(r.doc_id, r.taken, r.position) for r in mixing.mix(small.repartition(3)).collect()}
+    assert again == {(r.doc_id, r.taken, r.position) for r in rows}
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+        assert 0 <= r.taken <= 2 * r.size
+    for mine in by.values():
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.5 and mine[0].target <= 2 * mine[0].source_size
+    assert abs(sum(m[0].target for m in by.values()) - 1.5 * sum(r.size for r in rows)) < 1e-6
+    first = [r.position for r in rows if r.position is not None]
+    assert first == sorted(first) and 0 <= first[0] and first[-1] <= 1
+
+
+def test_inverse_of_demand(spark):
+    knots = ((0.0, 1.0), (0.3, 0.2), (1.0, 2.0))
+    grid = spark.range(101).select((F.col("id") / 100).alias("u"))
+    for r in grid.select("u", mixing.invert_demand(F.col("u"), knots).alias("t")).collect():
+        area = sum((min(r.t, b) - a) * (x + (x + (y - x) * (min(r.t, b) - a) / (b - a))) / 2 for (a, x), (b, y) in zip(knots, knots[1:], strict=False) if r.t > a)
+        assert area == pytest.approx(r.u * mixing.integral(knots), abs=1e-9)
+
+
+def test_license_base(small, texts):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    for r in license_scan.scan_licenses(small).collect():
+        words = word.findall(texts[r.doc_id].translate(low))
+        at = [(i, label) for p, label in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        assert (r.n_words, r.n_base) == (len(words), len(at))
+        assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
+        assert r.base_labels == ",".join(sorted({x for _, x in at})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+
+
+def test_license_rules():
+    assert len(license_scan.rules()) > 200 and all(len(r.keyword) > 1 for r in license_scan.rules())
+    assert license_scan.scan_text("Released under the MIT License.")[5] == "mit"
+    assert license_scan.scan_text("Licensed under the Apache License, Version 2.0.")[5] == "apache"
+    assert license_scan.scan_text("GNU Lesser General Public License v2.1")[5] == "gpl,lgpl"
+    assert license_scan.scan_text("permit limit")[5:] == ("", 0.0)
+
+
+def test_language_accuracy_and_neighbours(spark):
+    docs = spark.read.parquet(str(DATA / "sf0.01" / "documents.parquet"))
+    joined = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert joined.where("lang = lang_pred").count() >= 0.97 * joined.count()
+    parts = ["abc def.", "", "xyz", "! a"]
+    ids, owner, letters = language_id.ngram_ids(parts)
+    assert letters.tolist() == [True, False, True, True]
+    for i, t in enumerate(parts):
+        assert sorted(ids[owner == i].tolist()) == sorted(language_id.ngram_ids([t])[0].tolist())
+
+
+def test_language_of_nothing(spark):
+    rows = [(i, t, None, None, None) for i, t in enumerate(["12 34", None, "words"])]
+    assert [r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, SCHEMA)).collect()] == ["und"] * 3
+
+
+def brute_components(texts):
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(WORD, (t or "").translate(low))
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = sorted(sets)
+    for n, i in enumerate(keys):
+        for j in keys[:n]:
+            same = len(sets[i] & sets[j])
+            if same and 100 * same >= 80 * (len(sets[i]) + len(sets[j]) - same):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_join_equals_brute_force(spark, small, texts):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(small).collect()}
+    assert got == brute_components(texts)
+
+
+@pytest.mark.parametrize("leaders", [0, 64])
+def test_join_of_near_copies_around_the_threshold(spark, monkeypatch, leaders):
+    """Copies with edits whose similarity lies about 0.8; without leaders the matrix alone has to find all links."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    docs = {}
+    for i in range(60):
+        words = list(base) if i % 3 else [f"v{k}" for k in range(150)]
+        for _ in range(rng.randint(0, 5)):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        docs[i] = " ".join(words)
+    for i in range(60, 90):
+        docs[i] = " ".join(base[:60] + [f"u{rng.randrange(10**6)}" for _ in range(rng.randint(5, 40))])
+    if not leaders:
+        monkeypatch.setattr(ngram_join, "_leader_links", lambda docs, classes: docs.sparkSession.createDataFrame([], "a long, b long"))
+        monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    frame = spark.createDataFrame([(i, t) for i, t in docs.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_components(frame).collect()}
+    assert got == brute_components(docs)
+
+
+def test_keep_one(spark):
+    rows = [(5, "a b c d e f g"), (3, "A b c d e f g"), (9, ""), (10, None), (3, "A b c d e f g"), (7, "quite another text of words here")]
+    kept = sorted(r.doc_id for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [3, 7, 9, 10]
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    root = list(range(60))
+    for _ in range(60):
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    assert all(got.get(i, i) == root[i] for i in range(60))
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_oracle(spark, name):
+    con = duckdb.connect()
+    sf = str(DATA / "sf0.001")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.execute(registry.ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    plain = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+    assert sorted(map(plain, registry.QUERIES[name](spark, sf).select(*columns).collect()), key=str) == sorted(map(plain, want.fetchall()), key=str)
+
+
+def test_line_dedup_leaves_copies_whole(spark):
+    rows = [(i, "spread line\nown words %d\nmore own words %d" % (i, i), f"s{i}") for i in range(6)] + [(10 + i, "a whole copy\nof two lines", f"s{i}") for i in range(6)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[0] == ("own words 0\nmore own words 0", 1) and got[10] == ("a whole copy\nof two lines", 0)
+
+
+def test_packing_round_trip(small, texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(HF)
+    rows = packing.pack_documents(small, HF).collect()
+    by = collections.defaultdict(dict)
+    for r in rows:
+        by[r.doc_id][r.piece] = r
+    for i, t in texts.items():
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 1], dtype="<u4")
+        for k, r in by[i].items():
+            part = ids[r.start : r.start + r.length]
+            assert r.start == 4096 * k and r.ids_crc32 == zlib.crc32(part.tobytes())
+        assert sum(r.length for r in by[i].values()) == len(ids)
+    check_sequences([(r.sequence_id, r.offset, r.length) for r in rows])
+
+
+def check_sequences(places):
+    sequences = collections.defaultdict(list)
+    for s, o, n in places:
+        sequences[s].append((o, n))
+    for parts in sequences.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 4096
+    return len(sequences)
+
+
+def test_plan_places_every_piece_once():
+    rng = random.Random(6)
+    for _ in range(30):
+        histogram = {rng.randint(1, 4096): rng.randint(1, 50) for _ in range(rng.randint(1, 200))}
+        places, ranks = [], collections.defaultdict(list)
+        for length, first, count, sequence, each, offset in packing.plan_packing(histogram).tolist():
+            ranks[length] += range(first, first + count)
+            places += [(sequence + k // each, offset + k % each * length, length) for k in range(count)]
+        assert {k: len(v) for k, v in ranks.items()} == histogram and all(sorted(v) == list(range(len(v))) for v in ranks.values())
+        used = check_sequences(places)
+        singles = sum(c for n, c in histogram.items() if n > 2048)
+        assert used <= 1.12 * max(singles, sum(n * c for n, c in histogram.items()) / 4096) + 30
+
+
+def test_fingerprints(small, texts):
+    rows = {r.doc_id: r for r in fingerprints.fingerprint(small).collect()}
+    order = sorted(texts, reverse=True)
+    for i, nxt in zip(order, order[1:] + order[:1], strict=True):
+        t, h = texts[i], len(texts[i]) // 2
+        new = t[: len(t) - h] + texts[nxt][:h]
+        assert rows[i].n_chars == len(t) and rows[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+    assert len({r.fingerprint for r in rows.values()}) == len({t.lower() for t in texts.values()})
+
+
+def test_sampling_estimates_generalised_jaccard():
+    sampler, rng, errors = fingerprints.Sampler(samples=256), random.Random(8), []
+    for _ in range(20):
+        a = [rng.choice("abcdefghijklmnop") * 3 for _ in range(200)]
+        b = a[: rng.randint(0, 200)] + [rng.choice("abcdefghqrstuv") * 3 for _ in range(100)]
+        x, y = collections.Counter(a), collections.Counter(b)
+        errors.append(fingerprints.likeness(sampler.signature(" ".join(a)), sampler.signature(" ".join(b))) - sum((x & y).values()) / sum((x | y).values()))
+    assert abs(np.mean(errors)) < 0.03 and max(map(abs, errors)) < 0.15
+
+
+def test_quality_counts(small, texts):
+    for r in quality_rules.score_quality(small).collect():
+        t = texts[r.doc_id]
+        words = re.findall(WORD, t)
+        grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        count, covered = collections.Counter(grams), set()
+        for i, g in enumerate(grams):
+            if count[g] > 1:
+                covered |= set(range(i, i + 5))
+        lines = [x for x in t.split("\n") if re.search(WORD, x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(words) < 10 or 100 * len(covered) > 20 * len(words)) and not (r.kept and r.base_failed)
+
+
+def test_votes_find_the_reliable_labelers(spark):
+    rng, rows = random.Random(2), []
+    for _ in range(4000):
+        truth = rng.random() < 0.6
+        rows.append(([int(truth == (rng.random() < p)) for p in (0.95, 0.9, 0.6)],))
+    patterns = spark.createDataFrame(rows, "votes array<int>").groupBy("votes").agg(F.count("*").alias("n"))
+    model = weak.fit_votes(patterns, 3, rounds=40)
+    assert model.sensitivity[0] > model.sensitivity[1] > model.sensitivity[2] and abs(model.prior - 0.6) < 0.08
+
+
+def luhn(digits):
+    d = [int(c) for c in digits[::-1]]
+    return sum(v if i % 2 == 0 else (2 * v - 9 if v > 4 else 2 * v) for i, v in enumerate(d)) % 10 == 0
+
+
+def brute_pii(text):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def ok(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        return {"email": True, "ip": all(int(p) <= 255 for p in m.split(".")) if kind == "ip" else True, "card": 13 <= len(d) <= 19 and luhn(d or "1"), "phone": 9 <= len(d) <= 15}[kind]
+
+    return [(k, m.start(), m.end()) for k, p in patterns.items() for m in re.finditer(p, text) if ok(k, m[0])]
+
+
+def test_pii_base(spark, small, texts):
+    odd = {10**6 + i: t for i, t in enumerate(["a@b.c+d@e.f _x@y.zz", "1.2.3.4.5.6.7 300.1.1.1 010.001.2.3 1.2.3 0.0.0.0", "+1 (743) 555-3824 +1234567", "4111 1111 1111 1111 4111111111111112", "é joe@é.com x@y.com.", "@" * 99, "中 1.1.1.1"])}
+    both = texts | odd
+    frame = small.select("doc_id", "text").unionByName(spark.createDataFrame(list(odd.items()), "doc_id long, text string"))
+    for r in pii.find_pii(frame).collect():
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.strict] == brute_pii(both[r.doc_id])
+
+
+def test_pii_wider_spans_and_long_runs(spark):
+    rows = [(1, "joe [at] example [dot] com"), (2, "call 202-555-0123."), (3, "1" * 100_000), (4, "a" * 100_000 + "@"), (5, "nothing to see at all")]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["email"], 2: ["phone"], 3: [], 4: [], 5: []}
