@@ -150,7 +150,7 @@ def _joined_top(scored: DataFrame, by: str, top_k: int, clusters: DataFrame) ->
 def cluster_top_tags(tagged: DataFrame, top: int = 20) -> DataFrame:
     """A3. The most frequent tags of every cluster."""
     counted = tagged.groupBy("cluster_no", "tag").agg(F.count("*").alias("n"))
-    return counted.withColumn("rank", F.row_number().over(W.partitionBy("cluster_no").orderBy(F.desc("n"), "tag"))).where(F.col("rank") <= top)
+    return counted.withColumn("rank", F.row_number().over(W.partitionBy("cluster_no").orderBy(F.desc("n"), "tag")).cast("long")).where(F.col("rank") <= top)
 
 
 def run_diff(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def vector_search(vectors: DataFrame, query: list[float], k: int, allowed: DataF
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column | str], k: int) -> DataFrame:
     """W2, W3. The first k rows of each group."""
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
 def first_appearance(ranked: DataFrame, group: list[str], item: str, rank: str = "rank") -> DataFrame:

@@ -172,7 +172,7 @@ def suggest(vectors: DataFrame, identities: DataFrame, k: int = 5, excluded: Dat
     if excluded is not None:
         pairs = pairs.join(excluded.select("region_id", F.col("label").alias("name")), ["region_id", "name"], "left_anti")
     order = W.partitionBy("region_id").orderBy(F.desc("sim"), "name")
-    ranked = pairs.withColumn("rank", F.row_number().over(order)).withColumn("_next", F.lead("sim").over(order)).where(F.col("rank") <= k)
+    ranked = pairs.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("_next", F.lead("sim").over(order)).where(F.col("rank") <= k)
     ranked = ranked.withColumn("ambiguous", (F.col("rank") == 1) & F.coalesce(F.col("sim") - F.col("_next") < gap, F.lit(False))).drop("_next")
     return ranked.where(F.col("sim") >= min_sim) if min_sim is not None else ranked
 
