@@ -14,9 +14,9 @@ of texts with 100 * intersection >= 80 * union and gives their components.
    such token hold no linked pair.
 4. Of the group pairs left, each set queries the other group: its overlap with
    the union of a block of members bounds its overlap with any of them, and only
-   blocks that reach the bound are opened. Before two sets are compared, bit
-   maps of them bound their overlap: every bit in which they differ takes at
-   least one token that only one of them has.
+   blocks that reach the bound are opened. Unions and sets are met as bit maps
+   first: every bit that a set has beyond another takes at least one token that
+   only the set has, so the bounds hold. What passes is compared set by set.
 
 The order comes from a sketch of token frequencies over the whole corpus, of
 fixed size; any order gives the same links, a good one gives few candidates.
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -223,13 +223,15 @@ def linked(a: str, b: str, common: str) -> str:
     return f"100 * {common} >= 80 * ({a} + {b} - {common})"
 
 
+def _differ(a: Column, b: Column) -> Column:
+    """Bits in which two bit maps differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked pairs among ``pairs`` (a, b): first by bit maps, then by the sets."""
-    side = lambda c, *cols: sets.select(F.col("cid").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in cols]).hint("merge")
-    mapped = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    left = materialize(mapped.where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").where(9 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b", "n_a", "n_b"))
-    both = left.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").withColumn("common", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    """The linked pairs among ``pairs`` (a, b), by their sets."""
+    side = lambda c: sets.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"tokens_{c}")).hint("merge")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("tokens_a", "tokens_b")))
     return both.where(linked("n_a", "n_b", "common")).select("a", "b")
 
 
@@ -301,23 +303,21 @@ def _open_groups(group_pairs: DataFrame, members: DataFrame, sets: DataFrame) ->
     sized = members.groupBy("grp").agg(F.count("*").alias("n_members"))
     with_sizes = group_pairs.join(sized.select(F.col("grp").alias("a"), F.col("n_members").alias("ma")).hint("merge"), "a").join(sized.select(F.col("grp").alias("b"), F.col("n_members").alias("mb")).hint("merge"), "b")
     sides = with_sizes.select(F.when(F.col("ma") <= F.col("mb"), F.col("a")).otherwise(F.col("b")).alias("query_grp"), F.when(F.col("ma") <= F.col("mb"), F.col("b")).otherwise(F.col("a")).alias("grp"))
-    queries = sides.join(members.select(F.col("grp").alias("query_grp"), F.col("cid").alias("query"), F.col("n").alias("nq")).hint("merge"), "query_grp").select("query", "nq", "grp")
+    told = materialize(members.select("cid", "grp", "n").join(sets.select("cid", "bits").hint("merge"), "cid"))
+    queries = sides.join(told.select(F.col("grp").alias("query_grp"), F.col("cid").alias("query"), F.col("n").alias("nq"), F.col("bits").alias("asked")).hint("merge"), "query_grp").drop("query_grp")
     # members of a group in order of size, in blocks; very large groups are dealt into parts first, so no window spans one
     parts = F.ceil(F.col("n_members") / (16 * BLOCK))
-    salted = members.join(sized.hint("merge"), "grp").withColumn("salt", F.pmod(F.xxhash64("cid"), parts))
+    salted = told.join(sized.hint("merge"), "grp").withColumn("salt", F.pmod(F.xxhash64("cid"), parts))
     ranked = salted.withColumn("block", F.floor((F.row_number().over(W.partitionBy("grp", "salt").orderBy("n", "cid")) - 1) / BLOCK))
-    blocks = materialize(ranked.groupBy("grp", "salt", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list(F.struct("cid", "n")).alias("inside")))
+    blocks = ranked.groupBy("grp", "salt", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list(F.struct("cid", "n", "bits")).alias("inside"))
+    union = F.aggregate("inside", F.array_repeat(F.lit(0).cast("long"), BITS // 64), lambda t, m: F.zip_with(t, m["bits"], lambda x, y: x.bitwiseOR(y)))
+    blocks = materialize(blocks.withColumn("union", union))
     reach = queries.join(blocks.hint("merge"), "grp").where("5 * nq >= 4 * low AND 4 * nq <= 5 * high")
-    alone = reach.where(F.size("inside") == 1).select("query", F.col("inside")[0]["cid"].alias("member"))
-    several = materialize(reach.where(F.size("inside") > 1).select("query", "nq", "grp", "salt", "block", "low"))
-    wanted = several.select("grp", "salt", "block").distinct()
-    unions = blocks.join(wanted.hint("merge"), ["grp", "salt", "block"]).select("grp", "salt", "block", F.explode("inside").alias("one")).select("grp", "salt", "block", F.col("one.cid").alias("cid"))
-    unions = unions.join(sets.select("cid", "tokens").hint("merge"), "cid").groupBy("grp", "salt", "block").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
-    asked = several.join(sets.select(F.col("cid").alias("query"), F.col("tokens").alias("tq")).hint("merge"), "query").join(unions.hint("merge"), ["grp", "salt", "block"])
-    opened = asked.where("5 * size(array_intersect(tq, tokens)) >= 4 * greatest(nq, low)").select("query", "nq", "grp", "salt", "block")
-    inside = opened.join(blocks.select("grp", "salt", "block", "inside").hint("merge"), ["grp", "salt", "block"]).select("query", "nq", F.explode("inside").alias("one"))
-    pairs = alone.union(inside.where("5 * least(nq, one.n) >= 4 * greatest(nq, one.n)").select("query", F.col("one.cid")))
-    return _verify(materialize(pairs.select(F.col("query").alias("a"), F.col("member").alias("b")).distinct()), sets)
+    outside = F.aggregate(F.zip_with("asked", "union", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda t, x: t + x)
+    opened = reach.where(5 * outside <= F.col("nq"))  # at most a fifth of a set lies outside a set it is linked with
+    near = F.filter("inside", lambda m: (5 * F.least(F.col("nq"), m["n"]) >= 4 * F.greatest(F.col("nq"), m["n"])) & (9 * _differ(F.col("asked"), m["bits"]) <= F.col("nq") + m["n"]))
+    pairs = opened.select(F.col("query").alias("a"), F.explode(F.transform(near, lambda m: m["cid"])).alias("b"))
+    return _verify(materialize(pairs.distinct()), sets)
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
