@@ -39,7 +39,7 @@ class WordIds:
 
     SPLIT = "<|endoftext|>"  # an added token, which the library cuts out before anything else
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
