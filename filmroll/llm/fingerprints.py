@@ -6,9 +6,10 @@ uniform b, drawn from a generator that only k and t decide, give
 the sample is the (term, level) of least a. Two texts agree in a sample with a
 probability equal to their generalised Jaccard similarity, the sum of the
 smaller weights over the sum of the larger ones (Ioffe, "Improved Consistent
-Sampling, Weighted Minhash and L1 Sketching", ICDM 2010). Terms are words in
-hashed places, weights their numbers. The values of a term at a weight never
-change, so those of small weights are made once per worker.
+Sampling, Weighted Minhash and L1 Sketching", ICDM 2010). Terms are the
+64-bit hashes of words, never folded further, weights their numbers. The values
+of a term at a weight never change, so those met often are remembered, in a
+table of fixed size per worker.
 """
 
 from __future__ import annotations
@@ -26,58 +27,70 @@ from pyspark.sql.window import Window as W
 from filmroll.llm.common import documents, materialize, mix64, partitions, word_hashes
 
 SAMPLES = 64
-TERMS = 1 << 15
+#: Values of (term, weight) that a worker remembers, and terms handled at once.
+SLOTS, TERM_BLOCK = 1 << 17, 4096
 
 
 class Sampler:
-    """Consistent weighted sampling over ``terms`` hashed terms."""
-
-    CACHED = 8  # weights whose values are kept
-
-    def __init__(self, samples: int = SAMPLES, terms: int = TERMS, seed: int = 7):
-        rng = np.random.Generator(np.random.PCG64(seed))
-        shape = (terms, samples)
-        self.r = rng.gamma(2.0, 1.0, shape).astype(np.float32)
-        self.log_c = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32)
-        self.b = rng.random(shape, dtype=np.float32)
-        self.samples, self.terms = samples, terms
-        self.kept: dict[int, np.ndarray] = {}
-
-    def log_a(self, terms: np.ndarray, weight: np.ndarray | int) -> np.ndarray:
+    """Consistent weighted sampling over 64-bit terms."""
+
+    def __init__(self, samples: int = SAMPLES, slots: int = SLOTS, seed: int = 7):
+        self.samples, self.slots = samples, slots
+        streams = np.arange(1, 3 * samples + 1, dtype=np.uint64) + np.uint64(seed << 32)
+        self.streams = mix64(streams * np.uint64(0x9E3779B97F4A7C15)).reshape(3, samples)
+        self.tags = np.zeros(slots, dtype=np.uint64)
+        self.kept = np.empty((slots, samples), dtype=np.float32)
+
+    @staticmethod
+    def _uniforms(terms: np.ndarray, streams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two uniform numbers above 0 and below 1 that the term and the stream decide."""
+        x = mix64(terms ^ streams)
+        return ((x >> np.uint64(32)) + 0.5) * 2.0**-32, ((x & np.uint64(0xFFFFFFFF)) + 0.5) * 2.0**-32
+
+    def draws(self, terms: np.ndarray, k: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """r (the sum of two exponentials, a gamma variable) and b of the terms in the samples ``k``."""
+        u, v = self._uniforms(terms, self.streams[0, k])
+        return -np.log(u * v), self._uniforms(terms, self.streams[1, k])[0]
+
+    def log_a(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """ln a of each term at its weight, a column per sample."""
-        r, b = self.r[terms], self.b[terms]
-        level = np.floor(np.log(np.asarray(weight, dtype=np.float32)).reshape(-1, 1) / r + b)
-        return self.log_c[terms] - r * (level - b) - r
-
-    def values(self, weight: int) -> np.ndarray:
-        if weight not in self.kept:
-            self.kept[weight] = np.concatenate([self.log_a(np.arange(a, a + 1024), weight) for a in range(0, self.terms, 1024)])
-        return self.kept[weight]
+        column = terms.reshape(-1, 1)
+        r, b = self.draws(column)
+        u, v = self._uniforms(column, self.streams[2])
+        level = np.floor(np.log(weights.reshape(-1, 1)) / r + b)
+        return (np.log(-np.log(u * v)) - r * (level - b) - r).astype(np.float32)
+
+    def values(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """``log_a``, from the table where it holds the term at the weight; what is new takes its place there."""
+        tags = mix64(terms + mix64(weights.astype(np.uint64))) | np.uint64(1)
+        slot = (tags >> np.uint64(20)).astype(np.int64) & (self.slots - 1)
+        found, new = self.kept[slot], np.flatnonzero(self.tags[slot] != tags)
+        if len(new):
+            found[new] = self.log_a(terms[new], weights[new])
+            self.kept[slot[new]] = found[new]
+            self.tags[slot[new]] = tags[new]
+        return found
 
     def signature(self, text: str) -> np.ndarray:
         """One 16-bit value per sample; texts without words share one."""
         words = word_hashes(text.encode("utf-8", "surrogatepass"))
         if not len(words):
             return np.zeros(self.samples, dtype=np.uint16)
-        terms, weights = np.unique((words >> np.uint64(20)).astype(np.int64) & (self.terms - 1), return_counts=True)
+        terms, weights = np.unique(words, return_counts=True)
         best = np.full(self.samples, np.inf, dtype=np.float32)
-        term, weight = np.zeros(self.samples, dtype=np.int64), np.ones(self.samples, dtype=np.int64)
-        groups = [(w, terms[weights == w]) for w in range(1, self.CACHED + 1)] + [(0, terms[weights > self.CACHED])]
-        for w, mine in groups:
-            for a in range(0, len(mine), 4096):
-                part = mine[a : a + 4096]
-                own = weights[weights > self.CACHED][a : a + 4096] if not w else None
-                found = self.values(w)[part] if w else self.log_a(part, own)
-                at = np.argmin(found, axis=0)
-                low = found[at, np.arange(self.samples)]
-                better = low < best
-                best = np.where(better, low, best)
-                term = np.where(better, part[at], term)
-                weight = np.where(better, own[at] if own is not None else w, weight)
-        k = np.arange(self.samples)
-        level = np.floor(np.log(weight.astype(np.float32)) / self.r[term, k] + self.b[term, k]).astype(np.int64)
-        key = (term.astype(np.uint64) << np.uint64(24)) ^ (level & 0xFFFFFF).astype(np.uint64)
-        return (mix64(key + np.uint64(1)) >> np.uint64(48)).astype(np.uint16)
+        chosen, k = np.zeros(self.samples, dtype=np.int64), np.arange(self.samples)
+        for a in range(0, len(terms), TERM_BLOCK):
+            found = self.values(terms[a : a + TERM_BLOCK], weights[a : a + TERM_BLOCK])
+            at = np.argmin(found, axis=0)
+            low = found[at, k]
+            better = low < best
+            best, chosen = np.where(better, low, best), np.where(better, a + at, chosen)
+        term, level = terms[chosen], np.zeros(self.samples, dtype=np.int64)
+        more = np.flatnonzero(weights[chosen] > 1)  # at weight 1 the level is floor(b) = 0
+        if len(more):
+            r, b = self.draws(term[more], more)
+            level[more] = np.floor(np.log(weights[chosen[more]]) / r + b).astype(np.int64)
+        return (mix64(term + mix64(level.astype(np.uint64))) >> np.uint64(48)).astype(np.uint16)
 
 
 _SAMPLERS: list[Sampler] = []

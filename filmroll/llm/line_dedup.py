@@ -48,36 +48,60 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return sure.select("line_key", F.col("estimate").alias("n_sites")).unionByName(exact.where(F.col("n_sites") >= min_sites))
 
 
-def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float = 0.5) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_share: float | None = None) -> DataFrame:
     """``docs`` (doc_id, text, site and any other columns) with n_lines, n_spread, n_removed and the cleaned text.
 
-    Where boilerplate would take more than ``max_share`` of a document's
-    non-blank lines, the document is itself a copy, which is not for lines to
-    settle: it is left whole. n_spread counts boilerplate lines, n_removed those
-    taken out. Null text stays null, with 0 lines. Repeated rows each get a row;
-    rows of one doc_id share their boilerplate; an empty table gives no rows.
+    Boilerplate lines are taken out of every document but whole copies: rows
+    all of whose lines are boilerplate and whose lines, in order, another row
+    has as well. Those have equal shingles and are left whole to the
+    near-duplicate stage. With a ``max_share``, documents in which boilerplate
+    takes more than this share of the non-blank lines are left whole instead.
+    n_spread counts boilerplate lines, n_removed those taken out. Null text
+    stays null, with 0 lines. Repeated rows each get a row; rows of one doc_id
+    share their boilerplate; an empty table gives no rows.
     """
     marked = materialize(boilerplate(docs, site, min_sites).select("line_key"))
     exploded = docs.select(F.col("doc_id").alias("_id"), F.explode(F.split("text", "\n")).alias("line")).select("_id", _key(F.col("line")).alias("line_key")).where("line_key IS NOT NULL")
     hits = exploded.join(sized_hint(marked), "line_key", "left_semi").groupBy("_id").agg(F.collect_set("line_key").alias("_drop"))
+    if max_share is None:
+        hits = materialize(hits)
+        hits = hits.join(_copies(docs, hits).hint("merge"), hits["_id"].eqNullSafe(F.col("_copy_id")), "left").drop("_copy_id")
     joined = docs.join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     return _cleaned(joined, max_share)
 
 
-def _cleaned(joined: DataFrame, max_share: float) -> DataFrame:
+def _sequence(text: str = "text") -> Column:
+    """Keys of the non-blank lines of a text in their order."""
+    return F.filter(F.transform(F.split(text, "\n"), _key), lambda k: k.isNotNull())
+
+
+def _copies(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """_copy_id and _copies, the hashes of those line sequences that are boilerplate throughout and that two or more rows have."""
+    keyed = docs.select("doc_id", _sequence().alias("_keys")).join(hits.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    whole = materialize(keyed.where(F.size(F.array_except("_keys", "_drop")) == 0).select(F.col("doc_id").alias("_copy_id"), F.xxhash64("_keys").alias("_whole")).where("_whole IS NOT NULL"))
+    repeated = materialize(whole.groupBy("_whole").agg(F.count("*").alias("n")).where("n > 1").select("_whole"))
+    return whole.join(sized_hint(repeated), "_whole", "left_semi").groupBy("_copy_id").agg(F.collect_set("_whole").alias("_copies"))
+
+
+def _cleaned(joined: DataFrame, max_share: float | None) -> DataFrame:
     """The rows with their lines filtered by the keys in ``_drop`` (null: none)."""
-    columns = [c for c in joined.columns if c not in ("_drop", "text")]
+    columns = [c for c in joined.columns if c not in ("_drop", "_copies", "text")]
     lines = joined.withColumn("_lines", F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")))
     spread = F.when(F.col("_drop").isNotNull(), F.filter("_lines", lambda x: F.coalesce(F.array_contains("_drop", _key(x)), F.lit(False))))
     counted = lines.withColumn("n_lines", F.size(F.filter("_lines", lambda x: F.length(F.trim(x)) > 0)).cast("long")).withColumn("n_spread", F.coalesce(F.size(spread), F.lit(0)).cast("long"))
-    counted = counted.withColumn("_cut", (F.col("n_spread") > 0) & (F.col("n_spread") <= max_share * F.col("n_lines")))
+    if max_share is None:
+        spared = F.when(F.col("_copies").isNotNull() & (F.col("n_spread") == F.col("n_lines")), F.array_contains("_copies", F.xxhash64(_sequence())))
+        fits = ~F.coalesce(spared, F.lit(False))
+    else:
+        fits = F.col("n_spread") <= max_share * F.col("n_lines")
+    counted = counted.withColumn("_cut", (F.col("n_spread") > 0) & fits)
     kept = F.array_join(F.filter("_lines", lambda x: ~F.coalesce(F.array_contains("_drop", _key(x)), F.lit(False))), "\n")
     return counted.select(*columns, F.when(F.col("_cut"), kept).otherwise(F.col("text")).alias("text"), "n_lines", "n_spread", F.when(F.col("_cut"), F.col("n_spread")).otherwise(0).cast("long").alias("n_removed"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines found and removed in every document, and a digest of the cleaned text."""
-    cleaned = remove_boilerplate(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    """Lines found and removed in every document, and a digest of the cleaned text, by the share that OP6_SQL names."""
+    cleaned = remove_boilerplate(documents(spark, sf_dir).select("doc_id", "text", "source"), max_share=0.5)
     return cleaned.select("doc_id", "n_lines", "n_spread", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("clean_md5"))
 
 

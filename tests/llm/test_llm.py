@@ -259,6 +259,15 @@ def test_line_dedup_leaves_copies_whole(spark):
     assert got[0] == ("own words 0\nmore own words 0", 1) and got[10] == ("a whole copy\nof two lines", 0)
 
 
+def test_line_dedup_cleans_all_but_whole_copies(spark):
+    """Two shared lines and one own; copies of shared lines; shared lines in an order that no other row has."""
+    rows = [(i, f"shared a\n shared b \nown {i}", f"s{i}") for i in range(6)] + [(10 + i, "shared a\n\nshared b", f"s{i}") for i in range(2)] + [(20, "shared b\nshared a", "s1"), (None, "shared a\nown", "s1")]
+    found = line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    got = {r.doc_id: (r.text, r.n_lines, r.n_spread, r.n_removed) for r in found}
+    assert all(got[i] == (f"own {i}", 3, 2, 2) for i in range(6)) and got[None] == ("own", 2, 1, 1) and len(found) == len(rows)
+    assert got[10] == got[11] == ("shared a\n\nshared b", 2, 2, 0) and got[20] == ("", 2, 2, 2)
+
+
 def test_packing_round_trip(small, texts):
     from tokenizers import Tokenizer
 
@@ -323,6 +332,16 @@ def test_sampling_estimates_generalised_jaccard():
     assert abs(np.mean(errors)) < 0.03 and max(map(abs, errors)) < 0.15
 
 
+def test_sampling_of_large_vocabularies():
+    """Texts without a common word, and texts that share half of their words, at 20,000 distinct words."""
+    sampler = fingerprints.Sampler()
+    text = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    one, other, half = (sampler.signature(text(a, a + 20_000)) for a in (0, 20_000, 10_000))
+    assert fingerprints.likeness(one, other) < 0.05 and abs(fingerprints.likeness(one, half) - 1 / 3) < 0.2
+    small = fingerprints.Sampler(slots=16)
+    assert all((s.signature(t) == sampler.signature(t)).all() for s in (small, fingerprints.Sampler()) for t in (text(0, 9000), "a b a c " * 50))
+
+
 def test_quality_counts(small, texts):
     for r in quality_rules.score_quality(small).collect():
         t = texts[r.doc_id]
