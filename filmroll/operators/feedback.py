@@ -50,21 +50,36 @@ def must_links(log: DataFrame) -> DataFrame:
     return named.join(least, "name").where("region_id <> src").select("src", F.col("region_id").alias("dst")).distinct()
 
 
-def cannot_links(log: DataFrame, clusters: DataFrame, most: int = 50_000) -> DataFrame:
-    """J17. A region that rejected a name, against every region of that name.
+def rejections(log: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """J17, unpaired. (region_id, label) of names that regions rejected, and of the names that regions have.
 
-    ``most`` bounds the pairs, least ids first, as they are only hints to a clustering.
+    As many rows as the log has at most, where the pairs of ``cannot_links``
+    grow with the square of a name's regions; ``apply_constraints`` takes either.
     """
-    named = latest_intent(log).where("action = 'named'").select(F.col("region_id").alias("dst"), F.col("name").alias("label"))
-    pairs = cannot_link(log, clusters).select(F.col("region_id").alias("src"), "label").join(named, "label").where("src <> dst")
-    return pairs.select("src", "dst").distinct().orderBy("src", "dst").limit(most)
+    named = latest_intent(log).where("action = 'named' AND name IS NOT NULL").select("region_id", F.col("name").alias("label")).distinct()
+    return cannot_link(log, clusters), named
 
 
-def apply_constraints(edges: DataFrame, must: DataFrame, cannot: DataFrame) -> DataFrame:
-    """V13. Edges (src, dst, weight) with must-links at weight 0 and cannot-links taken out; the latter win."""
+def cannot_links(log: DataFrame, clusters: DataFrame) -> DataFrame:
+    """J17. A region that rejected a name, against every region of that name: all pairs."""
+    rejected, named = rejections(log, clusters)
+    pairs = rejected.withColumnRenamed("region_id", "src").join(named.withColumnRenamed("region_id", "dst"), "label").where("src <> dst")
+    return pairs.select("src", "dst").distinct()
+
+
+def apply_constraints(edges: DataFrame, must: DataFrame, cannot: DataFrame | tuple[DataFrame, DataFrame]) -> DataFrame:
+    """V13. Edges (src, dst, weight) with must-links at weight 0 and cannot-links taken out; the latter win.
+
+    ``cannot`` are pairs (src, dst), or ``rejections``, which edges are held against by label.
+    """
     pair = lambda df: df.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     sorted_edges = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
     joined = sorted_edges.unionByName(pair(must).withColumn("weight", F.lit(0.0))).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    if isinstance(cannot, tuple):
+        rejected, named = cannot
+        both = joined.select("src", "dst").union(joined.select("dst", "src")).where("src <> dst")
+        labelled = both.join(named.select(F.col("region_id").alias("dst"), "label"), "dst")
+        cannot = labelled.join(rejected.select(F.col("region_id").alias("src"), "label"), ["src", "label"], "left_semi")
     return joined.join(pair(cannot).distinct(), ["src", "dst"], "left_anti")
 
 

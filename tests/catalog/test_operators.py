@@ -208,6 +208,17 @@ def test_constraint_edges(spark):
     assert pairs(feedback.apply_constraints(edges, must, cannot)) == [(0, 1, 0.0), (1, 2, 0.6)]
 
 
+def test_cannot_links_are_whole(spark):
+    """240 regions that rejected a name, against 240 that have it; edges are held against pairs and labels alike."""
+    log = spark.range(480).selectExpr("id", "id AS region_id", "if(id < 240, 'named', 'unassigned') AS action", "1L AS cluster_id", "if(id < 240, 'Anne', NULL) AS name")
+    clusters = spark.createDataFrame([(1, "Anne")], "cluster_id long, label_user string")
+    assert feedback.cannot_links(log, clusters).count() == 240 * 240
+    edges = spark.createDataFrame([(0, 1, 0.1), (1, 300, 0.2), (300, 2, 0.3), (300, 301, 0.4), (7, 7, 0.5)], "src long, dst long, weight double")
+    must = spark.createDataFrame([(3, 400), (4, 5)], "src long, dst long")
+    got = [sorted(map(tuple, feedback.apply_constraints(edges, must, c).collect())) for c in (feedback.cannot_links(log, clusters), feedback.rejections(log, clusters))]
+    assert got[0] == got[1] == [(0, 1, 0.1), (4, 5, 0.0), (7, 7, 0.5), (300, 301, 0.4)]
+
+
 def test_replay(spark):
     log = spark.createDataFrame([(1, 1, "named", 1, "Anne"), (2, 2, "named", 1, "Bob"), (3, 3, "named", 1, "Eve"), (4, 3, "unassigned", 1, None)], LOG)
     assigned = spark.createDataFrame([(1, 7, 0, 0.1), (2, 7, 0, 0.2), (3, 7, 0, 0.3), (4, 7, -1, 0.0)], "region_id long, run_id int, cluster_no int, distance double")
