@@ -3,8 +3,9 @@
 A rule is a regular expression over the normalised words of a text, with a
 label, a priority and a keyword without which it cannot match. Keywords are
 looked for first, so that most texts never meet an expression. Detections that
-overlap are settled by priority and by containment: a detection inside a
-stronger or longer one is suppressed.
+overlap are settled by containment: a detection inside another is suppressed,
+of equal ones all but the strongest; those that only partly overlap all stay.
+An SPDX expression is read name by name.
 """
 
 from __future__ import annotations
@@ -82,13 +83,18 @@ NAMES = {
 
 #: The ways in which a license is named; {0} stands for the name. Later ones are weaker.
 FORMS = (
-    (r"spdx license identifier (?:{0})\b(?: \w+){{0,3}}", 0.99),
+    (r"spdx license identifier (?:{0})(?: v?[0-9]{{1,2}}){{0,3}}(?: clause)?(?: only| or later)?", 0.99),
     (r"(?:re)?(?:licensed|released|distributed|published|available|provided|used|covered) under (?:the )?(?:terms of )?(?:the )?(?:{0}) licen[cs]e(?: version)?(?: v?[0-9]+){{0,2}}(?: or (?:any )?later(?: version)?)?", 0.97),
     (r"(?:this|the) (?:work|software|program|code|file|project|document|text|material|data)(?: \w+){{0,3}} (?:under|by|to) the (?:{0}) licen[cs]e(?: version)?(?: v?[0-9]+){{0,2}}", 0.95),
     (r"(?:the )?(?:{0}) licen[cs]e(?: version)? v?[0-9]+(?: [0-9]+)?(?: only| or later)?", 0.9),
     (r"(?:the )?(?:{0}) licen[cs]e\b", 0.8),
 )
 
+#: Short names beside NAMES that SPDX expressions use, what may follow a name there, and what joins names.
+SPDX_NAMES = (("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("gfdl", "gfdl"), ("mpl", "mpl"), ("epl", "epl"), ("cddl", "cddl"), ("eupl", "eupl"), ("boost", "bsl 1 0"), ("ofl", "ofl"), ("cc0", "cc0"), ("cc-by-nc-nd", "cc by nc nd"), ("cc-by-nc-sa", "cc by nc sa"), ("cc-by-nc", "cc by nc"), ("cc-by-nd", "cc by nd"), ("cc-by-sa", "cc by sa"), ("cc-by", "cc by"))
+SPDX_AFTER = r"(?: v?[0-9]{1,2}){0,3}(?: clause)?(?: only| or later)?(?![^ ])"
+SPDX_NEXT = re.compile(r"(?: with (?:\w+ ){1,4}exception(?: [0-9]{1,2}){0,2})? (?:or|and|with) ")
+
 #: Signatures that stand for themselves: label, expression, confidence, keyword.
 SIGNATURES = (
     ("cc0", r"cc0(?: 1 0)?(?: universal)?", 0.95, "cc0"),
@@ -106,7 +112,7 @@ SIGNATURES = (
     ("cc-by", r"creative commons attribution", 0.9, "creative commons"),
     ("cc", r"creative commons(?: licen[cs]e)?", 0.7, "creative commons"),
     ("cc-by", r"creativecommons org licenses by [1-4] [05]", 0.98, "creativecommons"),
-    ("cc", r"creativecommons org licenses [a-z]+(?: [a-z]+)*", 0.9, "creativecommons"),
+    ("cc", r"creativecommons org (?:licenses|publicdomain)(?: (?:by|nc|nd|sa|zero|publicdomain))*(?: [1-4] [05])?", 0.9, "creativecommons"),
     ("agpl", r"agpl ?v?3?(?: or later)?", 0.85, "agpl"),
     ("lgpl", r"lgpl ?v?[23]?(?: [01])?(?: or later)?", 0.85, "lgpl"),
     ("gpl", r"(?:gnu )?gpl ?v?[123]?(?: or later)?", 0.8, "gpl"),
@@ -174,21 +180,41 @@ def places(words: bytes, phrase: bytes) -> list[int]:
     return found
 
 
+@lru_cache(maxsize=1)
+def spdx_rules() -> tuple[Rule, ...]:
+    """A rule for each name that an SPDX expression may hold."""
+    return tuple(Rule(label, re.compile(rf"(?:{name}){SPDX_AFTER}"), FORMS[0][1], "spdx", -1) for label, name in (*SPDX_NAMES, *NAMES.items()))
+
+
+def spdx(words: str) -> list[tuple[int, int, Rule]]:
+    """Detections of the names in every SPDX expression; the first takes in the words before it."""
+    found = []
+    for head in re.finditer(r"(?<![^ ])spdx license identifier ", words):
+        start, at = head.span()
+        while at is not None:
+            matches = [(m.end(), rule) for rule in spdx_rules() if (m := rule.pattern.match(words, at))]
+            if not matches:
+                break
+            end, rule = max(matches, key=lambda x: x[0])
+            found.append((start, end, rule))
+            then = SPDX_NEXT.match(words, end)
+            start = at = then and then.end()
+    return found
+
+
 def detect(words: str) -> list[tuple[int, int, Rule]]:
     """Detections (start, end, rule) that survive, in order of place."""
     if not any(a in words for a in ANCHORS):
         return []
-    found = []
+    found = spdx(words)
     for rule in rules():
         if rule.keyword in words:
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(words)]
     found.sort(key=lambda d: (d[0], -d[1], d[2].priority))
     kept: list[tuple[int, int, Rule]] = []
-    for d in found:  # sorted by start, so only the last survivor can reach into the next detection
-        if not kept or d[0] >= kept[-1][1]:
+    for d in found:  # sorted by start, so one that ends no later than the last survivor is inside it
+        if not kept or d[1] > kept[-1][1]:
             kept.append(d)
-        elif d[1] > kept[-1][1] and d[2].priority < kept[-1][2].priority:
-            kept[-1] = d
     return kept
 
 

@@ -160,6 +160,15 @@ def test_license_rules():
     assert license_scan.scan_text("permit limit")[5:] == ("", 0.0)
 
 
+def test_license_rules_keep_to_their_words():
+    labels = lambda text: license_scan.scan_text(text)[5]
+    assert labels("see creativecommons.org/licenses for details. This program is released under the MIT License and more words") == "cc,mit"
+    assert labels("SPDX-License-Identifier: MIT OR GPL-2.0") == "gpl,mit"
+    assert labels("SPDX-License-Identifier: MIT / Copyright 2020 Foo") == "copyright,mit"
+    assert labels("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 OR Apache-2.0 AND BSD-3-Clause") == "apache,bsd,gpl"
+    assert labels("https://creativecommons.org/licenses/by/4.0/ all rights reserved") == "cc-by,reserved"
+
+
 def test_language_accuracy_and_neighbours(spark):
     docs = spark.read.parquet(str(DATA / "sf0.01" / "documents.parquet"))
     joined = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
