@@ -70,29 +70,31 @@ def bands(tokens: np.ndarray) -> np.ndarray:
 
 
 def _profile(docs: DataFrame) -> DataFrame:
-    """A row per document (row_id, doc_id, n, key, bands), and rows of partial frequency sketches (part, counts)."""
+    """A row per document (row_id, doc_id, digest, n, key, bands), and rows of partial frequency sketches (part, counts)."""
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, id_type = np.zeros(SKETCH, dtype=np.uint32), pa.null()
-        names = ["row_id", "doc_id", "n", "key", "bands", "part", "counts"]
+        names = ["row_id", "doc_id", "digest", "n", "key", "bands", "part", "counts"]
         for batch in batches:
             id_type, sizes, keys, found = batch.schema.field("doc_id").type, [], [], []
-            for text in _texts(batch):
+            texts = _texts(batch)
+            digests = [hashlib.md5(t).digest() if t is not None else None for t in texts]
+            for text in texts:
                 tokens = shingle_hashes(text, SHINGLE)
                 sizes.append(len(tokens))
                 keys.append(set_key(tokens) if len(tokens) else None)
                 found.append(bands(tokens) if len(tokens) else None)
                 np.add.at(counts, (tokens & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if counts.any():
             parts = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in np.split(counts, SKETCH_PARTS)]
             n = SKETCH_PARTS
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, id_type), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id"))
-    return numbered.mapInArrow(profiled, f"row_id long, doc_id {kind}, n long, key binary, bands array<long>, part int, counts binary")
+    return numbered.mapInArrow(profiled, f"row_id long, doc_id {kind}, digest binary, n long, key binary, bands array<long>, part int, counts binary")
 
 
 def _frequencies(profile: DataFrame) -> np.ndarray:
@@ -320,19 +322,11 @@ def _open_groups(group_pairs: DataFrame, members: DataFrame, sets: DataFrame) ->
     return _verify(materialize(pairs.distinct()), sets)
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
-
-    Words are separated by white space, A-Z taken as a-z. Texts of fewer than
-    five words are one shingle; texts without words (and null ones) have none and
-    are their own component. Repeated rows each get a row and are linked like
-    equal texts; rows with null doc_id take part, and a component made of such
-    rows alone has a null id; other columns are ignored; an empty table gives no
-    rows. ``docs`` is read four times and must give the same rows each time.
-    """
+def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` (doc_id, digest of the text, n, key) and of every key the root of its component (key, least_doc, root)."""
     docs = docs.select("doc_id", "text")
     profile = materialize(_profile(docs))
-    rows = profile.where("row_id IS NOT NULL").select("row_id", "doc_id", "n", "key", "bands")
+    rows = profile.where("row_id IS NOT NULL").select("row_id", "doc_id", "digest", "n", "key", "bands")
     first = F.min(F.struct("row_id", "doc_id"))
     classes = rows.where("n > 0").groupBy("key").agg(first.alias("rep"), F.min("doc_id").alias("least_doc"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes.select("key", F.col("rep.row_id").alias("cid"), F.col("rep.doc_id").alias("rep_doc"), "least_doc", "n", "bands"))
@@ -357,7 +351,20 @@ def similar_components(docs: DataFrame) -> DataFrame:
     grp_of = lambda side: members.select(F.col("cid").alias(side), F.col("grp").alias(f"g{side}")).hint("merge")
     joined = connected_components(more.join(grp_of("a"), "a").join(grp_of("b"), "b").select(F.col("ga").alias("u"), F.col("gb").alias("v")))
     final = members.join(joined.select(F.col("node").alias("grp"), "root").hint("merge"), "grp", "left").select("key", "least_doc", F.coalesce("root", "grp").alias("root"))
-    final = materialize(final)
+    return rows, materialize(final)
+
+
+def similar_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
+
+    Words are separated by white space, A-Z taken as a-z. Texts of fewer than
+    five words are one shingle; texts without words (and null ones) have none and
+    are their own component. Repeated rows each get a row and are linked like
+    equal texts; rows with null doc_id take part, and a component made of such
+    rows alone has a null id; other columns are ignored; an empty table gives no
+    rows. ``docs`` is read four times and must give the same rows each time.
+    """
+    rows, final = _rooted(docs)
     ids = final.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     by_key = final.join(ids.hint("merge"), "root").select("key", "component_id")
     whole = rows.where("n > 0").join(by_key.hint("merge"), "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -365,20 +372,26 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others), one for each component: that of its least doc_id.
+    """The rows of ``docs`` (doc_id, text and any others), one for each component: its least row.
 
-    Texts without words are components of their own and stay; of rows that
-    repeat a doc_id one stays; rows with null doc_id stay unless they are linked
-    to a row that has one.
+    A row is known by its doc_id and the digest of its whole text, so rows that
+    share a doc_id, or have none, are each judged by their own text. The least
+    has the least doc_id (nulls last), then the least digest; of rows equal in
+    both one stays. Texts without words are components of their own and stay.
     """
-    found = materialize(similar_components(docs))
-    gone = materialize(found.where("component_id IS NOT NULL AND doc_id IS DISTINCT FROM component_id").select(F.col("doc_id").alias("_id")).distinct())
-    rest = docs.join(sized_hint(gone), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    repeated = materialize(found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id"))
+    rows, final = _rooted(docs)
+    rows = rows.where("n > 0")
+    least = rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least"))
+    winners = final.join(least.hint("merge"), "key").groupBy("root").agg(F.min("least").alias("w"))
+    by_key = materialize(final.join(winners.hint("merge"), "root").select("key", F.col("w.doc_id").alias("_doc"), F.col("w.digest").alias("_won")))
+    judged = rows.join(by_key.hint("merge"), "key").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), (F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_won"))).alias("won"))
+    found = materialize(judged.groupBy("_id", "_digest", "won").agg(F.count("*").alias("n")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex(F.md5("text")) == F.col("_digest"))
+    rest = docs.join(sized_hint(materialize(found.where("NOT won").select("_id", "_digest"))), same, "left_anti")
+    repeated = materialize(found.where("won AND n > 1").select("_id", "_digest"))
     if repeated.isEmpty():
         return rest
-    twice = F.col("doc_id") == F.col("_id")
-    return rest.join(sized_hint(repeated), twice, "left_anti").unionByName(rest.join(sized_hint(repeated), twice, "left_semi").dropDuplicates(["doc_id"]))
+    return rest.join(sized_hint(repeated), same, "left_anti").unionByName(rest.join(sized_hint(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,6 +240,14 @@ def test_keep_one(spark):
     assert kept == [3, 7, 9, 10]
 
 
+def test_keep_one_judges_rows(spark):
+    """Null and repeated doc_ids with unlike texts; only rows that are linked to a lesser one go."""
+    one, two, three, four = ("first text of some words here", "second one about other things altogether", "a third with nothing in common", "fourth and last of these unlike lines")
+    rows = [(1, one), (None, one), (None, two), (7, three), (7, one), (7, four), (None, "same null text of seven whole words"), (None, "same null text of seven whole words"), (8, "Same null text of eight whole words"), (None, None), (None, "")]
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept == sorted([(1, one), (None, two), (7, three), (7, four), rows[6], rows[8], rows[9], rows[10]], key=str)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
@@ -321,6 +329,14 @@ def test_plan_places_every_piece_once():
         assert used <= 1.12 * max(singles, sum(n * c for n, c in histogram.items()) / 4096) + 30
 
 
+@pytest.mark.parametrize(("step", "n"), [(2, 300), (1, 680)])
+def test_plan_pairs_middling_lengths(step, n):
+    """Any two pieces of 1366 to 2048 fit together, so half as many sequences do."""
+    histogram = {1366 + step * i: 1 for i in range(n)}
+    plan = packing.plan_packing(histogram)
+    assert check_sequences([(s, o, k) for k, _, _, s, _, o in plan.tolist()]) == n // 2
+
+
 def test_fingerprints(small, texts):
     rows = {r.doc_id: r for r in fingerprints.fingerprint(small).collect()}
     order = sorted(texts, reverse=True)
