@@ -152,10 +152,10 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndar
     for a in reversed(large):
         while left[a]:
             at = bisect_left(large, capacity - a + 1) - 1
-            while at >= 0 and not left[large[at]]:
+            while at >= 0 and left[large[at]] < 1 + (large[at] == a):  # one piece alone is no mate of itself
                 at -= 1
             b = large[at] if at >= 0 else None
-            if b is None or b == a and left[a] < 2:
+            if b is None:
                 count = left[a]
                 put(a, count, next_sequence, 1, 0)
                 free(capacity - a, next_sequence, count)
