@@ -17,8 +17,10 @@ from filmroll.operators.graph import components
 from filmroll.operators.vectors import centroids
 from filmroll.sources.staging import staged
 
-#: Points of a block of the neighbour join.
-BLOCK_POINTS = 2_048
+#: Points of a block of the neighbour join, and dimensions of the grid it goes by.
+CELL_POINTS, GRID_DIMS = 1_024, 3
+#: Pairs of blocks in an Arrow batch.
+PAIR_ROWS = 100
 
 
 def reduce_dims(vectors: DataFrame, n_components: int) -> DataFrame:
@@ -28,54 +30,119 @@ def reduce_dims(vectors: DataFrame, n_components: int) -> DataFrame:
     return model.transform(unit).select("vec_id", vector_to_array("_r").alias("reduced"))
 
 
-def neighbours(points: DataFrame, k: int) -> DataFrame:
-    """Exact k nearest other points of every point (vec_id, reduced): src, dst, dist.
+def _block_pairs(nodes: DataFrame, eps: float, ordered: bool) -> DataFrame:
+    """Pairs of blocks of ``nodes`` (node, reduced, w, tied) that may hold points up to ``eps`` apart: own, others.
 
-    Points are dealt into blocks; every pair of blocks is one matrix product
-    that leaves k rows a point, and the best of those are kept.
+    Cells of side eps over the first dimensions, each with its neighbours; a
+    cell of many points is dealt into several blocks. ``ordered`` gives every
+    pair of blocks once.
     """
-    n_blocks = max(1, -(-points.count() // BLOCK_POINTS))
-    dealt = staged(points.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))))
-    blocks = staged(dealt.groupBy("block").agg(F.collect_list(F.struct("vec_id", "reduced")).alias("points")))
-    pairs = blocks.select("block", "points", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")).alias("other")).join(blocks.select(F.col("block").alias("other"), F.col("points").alias("others")).hint("merge"), "other")
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for own, others in zip(batch.column("points").to_pylist(), batch.column("others").to_pylist(), strict=True):
-                a, b = (np.array([p["reduced"] for p in x]) for x in (own, others))
-                ia, ib = (np.array([p["vec_id"] for p in x]) for x in (own, others))
-                d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
-                d[ia[:, None] == ib[None]] = np.inf
-                at = np.argsort(d, axis=1, kind="stable")[:, :k]
-                src, dst, dist = np.repeat(ia, at.shape[1]), ib[at].ravel(), np.take_along_axis(d, at, 1).ravel()
-                ok = np.isfinite(dist)
-                yield pa.RecordBatch.from_arrays([pa.array(src[ok]), pa.array(dst[ok]), pa.array(dist[ok])], names=["src", "dst", "dist"])
-
-    found = pairs.select("points", "others").mapInArrow(nearest, "src long, dst long, dist double")
-    order = W.partitionBy("src").orderBy("dist", "dst")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def density_cluster(points: DataFrame, min_size: int, min_samples: int, eps: float, constraints: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    side = (eps or 1.0) * (1 + 1e-9)
+    placed = nodes.withColumn("cell", F.transform(F.slice("reduced", 1, GRID_DIMS), lambda x: F.floor(x / side)))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_POINTS).alias("n_salts"))
+    salted = placed.join(sizes, "cell").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("n_salts")))
+    blocks = staged(salted.groupBy("cell", "salt").agg(F.collect_list(F.struct("node", "reduced", "w", "tied")).alias("points")))
+    around = F.col("cell")
+    near = blocks.withColumn("at", F.array().cast("array<bigint>"))
+    for i in range(GRID_DIMS):
+        near = near.withColumn("step", F.explode(F.when(F.size(around) > i, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        near = near.withColumn("at", F.when(F.size(around) > i, F.concat("at", F.array(F.get(around, F.lit(i)) + F.col("step")))).otherwise(F.col("at"))).drop("step")
+    pairs = near.join(blocks.select(F.col("cell").alias("at"), F.col("salt").alias("other_salt"), F.col("points").alias("others")).hint("merge"), "at")
+    pairs = pairs.where(F.struct("cell", "salt") <= F.struct(F.col("at").alias("cell"), F.col("other_salt").alias("salt"))) if ordered else pairs
+    return pairs.select(F.col("points").alias("own"), "others")
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]]:
+    """Nodes, places, weights and ties of both blocks of each pair, one pair at a time."""
+
+    def block(points: pa.Array) -> tuple[np.ndarray, ...]:
+        node, reduced, w, tied = points.flatten()
+        return node.to_numpy(), reduced.flatten().to_numpy().reshape(len(points), -1), w.to_numpy(), tied.to_numpy(zero_copy_only=False)
+
+    for own, others in zip(batch.column("own"), batch.column("others"), strict=True):
+        yield block(own.values), block(others.values)
+
+
+def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of two lists of points, from differences, so that those of equal points are 0."""
+    total = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        total += (a[:, j, None] - b[None, :, j]) ** 2
+    return np.sqrt(total)
+
+
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Entries of a boolean matrix that join all rows and columns that its true entries join."""
+    rows, columns, found = np.ones(near.shape[0], bool), np.ones(near.shape[1], bool), []
+    for start in range(len(rows)):
+        todo = [start] if rows[start] else []
+        rows[start] = False
+        while todo:
+            i = todo.pop()
+            mine = np.flatnonzero(near[i] & columns)
+            columns[mine] = False
+            for j in mine.tolist():
+                more = np.flatnonzero(near[:, j] & rows).tolist()
+                rows[more] = False
+                found += [(i, j), *((r, j) for r in more)]
+                todo += more
+    return found
+
+
+def density_cluster(points: DataFrame, min_size: int, min_samples: int, eps: float, constraints: tuple | None = None) -> DataFrame:
     """V8. vec_id and cluster_no (-1: noise) by cutting the mutual-reachability graph at ``eps``.
 
     DBSCAN* of Campello, Moulavi and Sander (2013): core distance is the distance
     to the min_samples-th neighbour; an edge weighs the largest of its length and
     both core distances; components of edges up to eps with min_size points are
-    clusters, numbered by their least point. ``constraints`` are must-link and
-    cannot-link pairs (src, dst).
+    clusters, numbered by their least point. Below the cut only whether a core
+    distance is up to eps counts, so neighbours are counted, and edges between
+    core points are thinned to forests that join the same points. Equal vectors
+    are one weighted point. ``constraints`` are must-link pairs (src, dst) and
+    cannot-links as ``apply_constraints`` takes them; points that they name stay
+    on their own, and all edges between such points are kept for them.
     """
-    k = max(min_samples, 15)
-    near = staged(neighbours(points, k))
-    core = near.where(F.col("rank") == min_samples).select(F.col("src").alias("vec_id"), F.col("dist").alias("core"))
-    edges = near.join(core.select(F.col("vec_id").alias("src"), F.col("core").alias("ca")), "src").join(core.select(F.col("vec_id").alias("dst"), F.col("core").alias("cb")), "dst")
-    edges = edges.select("src", "dst", F.greatest("dist", "ca", "cb").alias("weight"))
+    tied = F.lit(False)
+    named = points
+    if constraints:
+        tables = [constraints[0], *(constraints[1] if isinstance(constraints[1], tuple) else constraints[1:])]
+        ids = [t.select(F.col(c).cast("long").alias("vec_id")) for t in tables for c in ("src", "dst", "region_id") if c in t.columns]
+        known = ids[0]
+        for more in ids[1:]:
+            known = known.union(more)
+        named, tied = points.join(known.distinct().withColumn("_tied", F.lit(True)), "vec_id", "left"), F.coalesce("_tied", F.lit(False))
+    named = staged(named.select("vec_id", "reduced", F.when(tied, F.col("vec_id")).otherwise(-1).alias("alone"), tied.alias("tied")))
+    nodes = staged(named.groupBy("reduced", "alone", "tied").agg(F.min("vec_id").alias("node"), F.count("*").alias("w")))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (node, a, _, _), (_, b, w, _) in _read(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array((_close(a, b) <= eps) @ w, pa.int64())], names=["node", "n"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (node, a, _, tied_a), (other, b, _, tied_b) in _read(batch):
+                dist = _close(a, b)
+                near = dist <= eps
+                both = near & np.outer(tied_a, tied_b)
+                at = np.array([*_forest(near & ~both), *np.argwhere(both).tolist()], dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(other[at[:, 1]]), pa.array(dist[at[:, 0], at[:, 1]])], names=["src", "dst", "weight"])
+
+    limit, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", points.sparkSession
+    records = spark.conf.get(limit)
+    spark.conf.set(limit, PAIR_ROWS)
+    within = _block_pairs(nodes, eps, ordered=False).mapInArrow(counted, "node long, n long")
+    core = staged(within.groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") - 1 >= min_samples).select("node"))  # but the point itself
+    edges = _block_pairs(nodes.join(core, "node"), eps, ordered=True).mapInArrow(linked, "src long, dst long, weight double").where("src <> dst")
     if constraints:
         from filmroll.operators.feedback import apply_constraints
 
-        edges = apply_constraints(edges, *constraints)
+        edges = apply_constraints(staged(edges), *constraints)
     roots = components(edges.where(F.col("weight") <= eps).select(F.col("src").alias("u"), F.col("dst").alias("v")))
-    labelled = staged(points.select("vec_id").join(roots.select(F.col("node").alias("vec_id"), "root"), "vec_id", "left").withColumn("root", F.coalesce("root", "vec_id")))
+    spark.conf.set(limit, records)
+    rooted = nodes.join(roots, "node", "left").join(core.withColumn("_core", F.lit(True)), "node", "left")
+    rooted = rooted.select("reduced", "alone", F.coalesce("root", F.when(F.col("_core"), F.col("node"))).alias("root"))
+    labelled = staged(named.join(rooted, ["reduced", "alone"]).select("vec_id", F.coalesce("root", "vec_id").alias("root")))
     large = labelled.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
     numbered = large.withColumn("cluster_no", (F.row_number().over(W.orderBy("root")) - 1).cast("int"))
     return labelled.join(numbered, "root", "left").select("vec_id", F.coalesce("cluster_no", F.lit(-1)).alias("cluster_no"))

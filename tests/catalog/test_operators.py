@@ -268,6 +268,31 @@ def test_density_clusters_blobs(spark):
     assert len({got[0], got[30], got[60]}) == 3 and got[90] == -1
 
 
+def test_density_clusters_equal_brute_force(spark, monkeypatch):
+    """Groups of copies closer than eps, and scattered points, against DBSCAN* by all pairs; blocks of a few points."""
+    monkeypatch.setattr(clustering, "CELL_POINTS", 8)
+    rng = random.Random(7)
+    points = [[0.0, 0.0, 0.0, 0.0]] * 20 + [[0.05, 0.0, 0.0, 0.0]] * 20 + [[5.0, 5.0, 5.0, 5.0]] * 3 + [[rng.uniform(-1, 1) for _ in range(4)] for _ in range(150)]
+    eps, min_samples, min_size = 0.35, 4, 5
+    near = [[math.dist(p, q) <= eps for q in points] for p in points]
+    core = [sum(row) - 1 >= min_samples for row in near]
+    root = list(range(len(points)))
+    for _ in points:
+        before = list(root)
+        for i, row in enumerate(near):
+            if core[i]:
+                root[i] = min(root[j] for j, x in enumerate(row) if x and core[j])
+        if root == before:
+            break
+    number = {r: n for n, r in enumerate(sorted(r for r in set(root) if root.count(r) >= min_size))}
+    df = spark.createDataFrame(list(enumerate(points)), "vec_id long, reduced array<double>")
+    got = {r.vec_id: r.cluster_no for r in clustering.density_cluster(df, min_size, min_samples, eps).collect()}
+    assert got == {i: number.get(r, -1) for i, r in enumerate(root)} and got[0] == got[20] == 0
+    must, cannot = spark.createDataFrame([(40, 0), (41, 42)], "src long, dst long"), spark.createDataFrame([(0, 1)], "src long, dst long")
+    tied = {r.vec_id: r.cluster_no for r in clustering.density_cluster(df, min_size, min_samples, eps, (must, cannot)).collect()}
+    assert tied[40] == tied[0] == tied[1] == 0 and tied[41] == tied[42] == -1
+
+
 def test_matching_is_near_the_best(spark):
     rng = random.Random(11)
     unit = lambda: [rng.gauss(0, 1) for _ in range(3)]
