@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,9 +27,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only for a session of one process, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         where = tempfile.mkdtemp(prefix="filmroll-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -66,7 +69,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +87,8 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _block_hashes(block: np.ndarray) -> np.ndarray:
+def _word_sums(block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, size and sum (values of its bytes times powers from its start) of every word in a block."""
     if "tables" not in _CACHE:
         _CACHE["tables"] = _tables()
     values, powers, inverses = _CACHE["tables"]
@@ -92,24 +96,33 @@ def _block_hashes(block: np.ndarray) -> np.ndarray:
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     sums = np.concatenate([[np.uint64(0)], np.cumsum(values[block] * powers[: len(block)], dtype=np.uint64)])
-    return mix64((sums[end] - sums[start]) * inverses[start] + (end - start).astype(np.uint64))
+    return start, (end - start).astype(np.uint64), (sums[end] - sums[start]) * inverses[start]
 
 
 def word_hashes(text: bytes) -> np.ndarray:
     """uint64 hash of each white-space separated word of UTF-8 ``text``, A-Z taken as a-z.
 
-    Works through the text in blocks that end at white space, so memory follows
-    the block, not the text; only a single word longer than a block is cut
-    where the block ends (into several words of the same place).
+    Works through the text in blocks, so memory follows the block and the number
+    of words; the sum and size of a word that a block leaves open go on in the
+    next one, so words may have any length.
     """
-    data, found, at = np.frombuffer(text, dtype=np.uint8), [], 0
-    while at < len(data):
-        stop = min(len(data), at + _BLOCK)
-        if stop < len(data):
-            spaces = np.flatnonzero(_IS_SPACE[data[at:stop]])
-            stop = at + int(spaces[-1]) + 1 if len(spaces) else stop
-        found.append(_block_hashes(data[at:stop]))
-        at = stop
+    data, found = np.frombuffer(text, dtype=np.uint8), []
+    open_sum, open_size = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+    for at in range(0, len(data), _BLOCK):
+        block = data[at : at + _BLOCK]
+        start, size, total = _word_sums(block)
+        if open_size[0]:
+            if len(start) and start[0] == 0:
+                total[:1] = open_sum + total[:1] * np.uint64(pow(int(_BASE), int(open_size[0]), 1 << 64))
+                size[:1] += open_size
+            else:
+                found.append(mix64(open_sum + open_size))
+            open_size = np.zeros(1, np.uint64)
+        if at + len(block) < len(data) and not _IS_SPACE[block[-1]]:
+            open_sum, open_size, total, size = total[-1:], size[-1:], total[:-1], size[:-1]
+        found.append(mix64(total + size))
+    if open_size[0]:
+        found.append(mix64(open_sum + open_size))
     return np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
 
 
