@@ -10,12 +10,15 @@ to state and every transition carries the number of tokens it emits (which can
 be negative, as a longer piece replaces shorter ones). States are determinised
 when first met and kept.
 
-Long texts are cut into chunks. A chunk is a map from the state before it to
-the state after it and the tokens emitted. Where a space follows another
-character, or at a line feed, no piece spans the place, so whatever the state
-before, the state is the start state after: beyond its first such place a
-chunk's map is constant. Maps compose associatively, and a balanced scan over
-the chunks of a text joins them.
+Long texts are cut into chunks, which are dealt out over the cluster. A chunk is
+a finite map from states before it to the state after it and the tokens emitted
+between. A map is first taken at the state that the few characters in front of
+the chunk lead to from the start state; where a space follows another character,
+or at a line feed, no piece spans the place, so that this is the true state
+nearly always. Rounds of joins with the chunk before then add the states that do
+arrive but are not mapped yet, until every map is closed. Maps compose
+associatively, so a text's are composed in runs, and the runs' maps again, each
+level in parallel.
 """
 
 from __future__ import annotations
@@ -26,13 +29,16 @@ from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filmroll.llm.common import documents
+from filmroll.llm.common import documents, materialize, partitions
 
 MARK = "▁"  # stands for a space inside pieces
 START = ((0, -1, 0),)
+#: Transitions, and pairs of pieces, that a worker remembers; bytes of counted parts, of one beside its text, and characters of the longest.
+MOST_STEPS, MOST_PART_BYTES, PART_BYTES, LONG_PART = 300_000, 100 << 20, 120, 200
 
 
 class Transducer:
@@ -55,11 +61,16 @@ class Transducer:
             self.ends[node] = i
         if any("\n" in p or re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces):
             raise ValueError("pieces that span white space are not supported")
+        self.kept = 0
+        self.counts = _Counts(self)
+        self._forget()
+
+    def _forget(self) -> None:
         self.fits: dict[tuple[int, int], bool] = {}
         self.numbers: dict[tuple, int] = {START: 0}
         self.states: list[tuple] = [START]
         self.steps: list[dict[str, tuple[int, int]]] = [{}]
-        self.counts = _Counts(self)
+        self.n_steps = 0
 
     @classmethod
     def of_model(cls, path: str) -> Transducer:
@@ -113,33 +124,53 @@ class Transducer:
             piece, gained = found
             out = (self.number(((0, piece, 0), *((n, t, c - gained) for n, t, c in alive))), gained)
         self.steps[number][ch] = out
+        self.n_steps += 1
         return out
 
     def run(self, number: int, text: str) -> tuple[int, int]:
         total = 0
-        for ch in text:
-            number, n = self.steps[number].get(ch) or self.step(number, ch)
-            total += n
+        for at in range(0, len(text), 4096):
+            if at:
+                self.tidy(number)
+                number = self.kept
+            for ch in text[at : at + 4096]:
+                number, n = self.steps[number].get(ch) or self.step(number, ch)
+                total += n
         return number, total
 
-    def chunk_map(self, text: str, first: bool) -> tuple[str, bool, int, int]:
-        """A chunk's map: (head whose count depends on the state before, whether it resets, tokens after the head, state at its end)."""
+    def advance(self, number: int, text: str) -> tuple[int, int]:
+        """The state after ``text`` and the tokens it emits, from a state on."""
+        self.tidy(number)
+        number = self.kept
         text = text.replace(MARK, " ")
-        if first:
-            head, rest = "", " " + text
-        else:
-            head = re.match(r" *[^ \n]*", text)[0]
-            rest = text[len(head) :]
+        head = re.match(r" *[^ \n]*", text)[0]
+        number, total = self.run(number, head.replace(" ", MARK))
+        rest = text[len(head) :]
         if not rest:
-            return head, False, 0, 0
+            return number, total
         if "  " in rest:
             parts = [x if x[0] == "\n" else x[1:] for x in re.findall(r"\n[^ \n]*| +[^ \n]*", rest)]
         else:
             parts = rest.replace("\n", " \n")[1:].split(" ")
-        end, n = self.run(0, _marked(parts.pop()))
-        if len(self.counts) > 2_000_000:
-            self.counts.clear()
-        return head, True, n + sum(map(self.counts.__getitem__, parts)), end
+        last = parts.pop()
+        total += sum(map(self.counts.__getitem__, parts))
+        number, n = self.run(0, _marked(last))
+        return number, total + n
+
+    def tidy(self, number: int = 0) -> None:
+        """Forget all states but one once there are too many; ``kept`` is the new number of that one."""
+        if self.n_steps > MOST_STEPS or len(self.fits) > MOST_STEPS:
+            state = self.states[number]
+            self._forget()
+            number = self.number(state)
+        self.kept = number
+
+    def name(self, number: int) -> str:
+        """A state as text that every worker reads alike."""
+        return json.dumps(self.states[number])
+
+    def named(self, name: str) -> int:
+        return self.number(tuple(map(tuple, json.loads(name))))
 
 
 def _marked(part: str) -> str:
@@ -147,13 +178,19 @@ def _marked(part: str) -> str:
 
 
 class _Counts(dict):
-    """Tokens from start state to start state, by part."""
+    """Tokens from start state to start state, by part; bounded by bytes, long parts are not kept."""
 
     def __init__(self, owner: Transducer):
-        self.owner = owner
+        self.owner, self.n_bytes = owner, 0
 
     def __missing__(self, part: str) -> int:
-        self[part] = n = self.owner.run(0, _marked(part))[1]
+        n = self.owner.run(0, _marked(part))[1]
+        if len(part) < LONG_PART:
+            self.n_bytes += PART_BYTES + len(part)
+            if self.n_bytes > MOST_PART_BYTES:
+                self.clear()
+                self.n_bytes = PART_BYTES + len(part)
+            self[part] = n
         return n
 
 
@@ -167,61 +204,139 @@ def compiled(path: str) -> Transducer:
     return _COMPILED[path]
 
 
-def compose(machine: Transducer, a: tuple, b: tuple) -> tuple:
-    """The map of two neighbouring chunks; associative."""
-    head, resets, count, end = a
-    if not resets:
-        return (head + b[0], *b[1:])
-    state, n = machine.run(end, b[0].replace(" ", MARK))
-    return (head, True, count + n + b[2], b[3]) if b[1] else (head, True, count + n, state)
+def chunk_map(machine: Transducer, before: str, text: str, sources: list[str]) -> dict[str, tuple[str, int]]:
+    """The map of a chunk at the states ``sources`` (names); without any, at the state that the text ``before`` it suggests.
+
+    The first chunk of a text, the only one with nothing before it, begins at the start state and behind a space.
+    """
+    if not before:
+        text = " " + text
+    found = {}
+    for source in sources or [machine.name(machine.advance(0, before)[0] if before else 0)]:
+        number, n = machine.advance(machine.named(source), text)
+        found[source] = (machine.name(number), n)
+    return found
+
+
+def compose(a: dict[str, tuple[str, int]], b: dict[str, tuple[str, int]]) -> dict[str, tuple[str, int]]:
+    """The map of two neighbouring stretches; associative."""
+    return {s: (b[t][0], n + b[t][1]) for s, (t, n) in a.items() if t in b}
 
 
-def scan(machine: Transducer, maps: list[tuple]) -> tuple:
+def scan(maps: list[dict[str, tuple[str, int]]]) -> dict[str, tuple[str, int]]:
     """Compose neighbours, then neighbours of those, until one map is left."""
     while len(maps) > 1:
-        maps = [compose(machine, *maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
     return maps[0]
 
 
-def count_tokens(docs: DataFrame, model_path: str, chunk_chars: int = 32_768) -> DataFrame:
-    """doc_id, n_bytes and n_tokens of every row of ``docs`` (doc_id, text).
+ENTRIES = "array<struct<source:string,target:string,n:bigint>>"
+_ENTRY = pa.struct([("source", pa.string()), ("target", pa.string()), ("n", pa.int64())])
 
-    Null and empty texts have 0 tokens. Any length is handled: chunks are
-    mapped independently and only their maps are brought together. Repeated
-    rows each get a row; other columns are ignored; an empty table gives none.
-    """
-    text = F.coalesce("text", F.lit(""))
-    n_chars = F.length(text)
-    starts = F.sequence(F.lit(1), F.greatest(n_chars, F.lit(1)), F.lit(chunk_chars))
-    chunks = F.when(n_chars <= chunk_chars, F.array(text)).otherwise(F.transform(starts, lambda i: F.substring(text, i, F.lit(chunk_chars))))
-    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id"))
-    cut = numbered.select("doc_id", "row_id", F.octet_length(text).cast("long").alias("n_bytes"), F.posexplode(chunks).alias("chunk", "text"))
-
-    def to_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _entries(maps: list[dict[str, tuple[str, int]]]) -> pa.Array:
+    return pa.array([[{"source": s, "target": t, "n": n} for s, (t, n) in m.items()] for m in maps], pa.list_(_ENTRY))
+
+
+def _read_map(entries: list[dict]) -> dict[str, tuple[str, int]]:
+    return {e["source"]: (e["target"], e["n"]) for e in entries}
+
+
+def _chunks(long: DataFrame, chunk_chars: int, context: int) -> DataFrame:
+    """row_id, doc_id, chunk, before and text of every chunk of long texts, dealt out and stored."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                text, ids = batch.column("text")[i].as_py(), batch.select(["row_id", "doc_id"]).slice(i, 1)
+                starts = range(0, len(text), chunk_chars)
+                for first in range(0, len(starts), 64):
+                    some = starts[first : first + 64]
+                    same = pa.array([0] * len(some))
+                    columns = [pa.array(range(first, first + len(some)), pa.int64()), pa.array([text[max(0, a - context) : a] for a in some]), pa.array([text[a : a + chunk_chars] for a in some])]
+                    yield pa.RecordBatch.from_arrays([*(c.take(same) for c in ids.columns), *columns], names=["row_id", "doc_id", "chunk", "before", "text"])
+
+    kind = long.schema["doc_id"].dataType.simpleString()
+    cut_up = long.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").mapInArrow(cut, f"row_id long, doc_id {kind}, chunk long, before string, text string")
+    return materialize(cut_up.repartition(partitions(long.sparkSession), "row_id", "chunk"))
+
+
+def _map_chunks(chunks: DataFrame, model_path: str) -> DataFrame:
+    """row_id, chunk and entries of the maps of ``chunks`` at their ``sources``."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = compiled(model_path)
         for batch in batches:
-            maps = [machine.chunk_map(t, k == 0) if t or k else ("", True, 0, 0) for t, k in zip(batch.column("text").to_pylist(), batch.column("chunk").to_pylist(), strict=True)]
-            heads, resets, counts, ends = zip(*maps, strict=True) if maps else ((), (), (), ())
-            states = [json.dumps(machine.states[e]) if e else "" for e in ends]
-            out = [pa.array(heads, pa.string()), pa.array(resets, pa.bool_()), pa.array(counts, pa.int64()), pa.array(states, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("doc_id", "row_id", "n_bytes", "chunk")] + out, names=["doc_id", "row_id", "n_bytes", "chunk", "head", "resets", "count", "end"])
+            rows = zip(*(batch.column(n).to_pylist() for n in ("before", "text", "sources")), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("chunk"), _entries([chunk_map(machine, *r) for r in rows])], names=["row_id", "chunk", "entries"])
+
+    return chunks.select("row_id", "chunk", "before", "text", "sources").mapInArrow(mapped, f"row_id long, chunk long, entries {ENTRIES}")
+
+
+def _closed_maps(chunks: DataFrame, model_path: str, few: int = 8) -> DataFrame:
+    """Maps of all chunks that hold every state which the chunk before leads to.
+
+    Each round maps the states that arrive unmapped. Where a text has few of
+    them they are mapped at all its chunks at once, since a text that never
+    settles is mostly a periodic one, where the same states come again.
+    """
+    none = F.array().cast("array<string>")
+    maps = materialize(_map_chunks(chunks.withColumn("sources", none), model_path))
+    while True:
+        arriving = maps.select("row_id", (F.col("chunk") + 1).alias("chunk"), F.explode("entries.target").alias("source")).distinct()
+        mapped = maps.select("row_id", "chunk", F.explode("entries.source").alias("source")).distinct()
+        inner = arriving.join(maps.select("row_id", "chunk").distinct().hint("merge"), ["row_id", "chunk"], "left_semi")
+        missing = materialize(inner.join(mapped.hint("merge"), ["row_id", "chunk", "source"], "left_anti"))
+        if missing.isEmpty():
+            merged = maps.groupBy("row_id", "chunk").agg(F.flatten(F.collect_list("entries")).alias("entries"))
+            return materialize(merged)
+        in_text = missing.groupBy("row_id").agg(F.slice(F.collect_set("source"), 1, few + 1).alias("s")).where(F.size("s") <= few).select("row_id", F.explode("s").alias("source"))
+        everywhere = maps.select("row_id", "chunk").where("chunk > 0").distinct().join(in_text.hint("merge"), "row_id").join(mapped.hint("merge"), ["row_id", "chunk", "source"], "left_anti")
+        wanted = missing.select("row_id", "chunk", "source").union(everywhere.select("row_id", "chunk", "source")).groupBy("row_id", "chunk").agg(F.collect_set("source").alias("sources"))
+        more = _map_chunks(chunks.join(materialize(wanted).hint("merge"), ["row_id", "chunk"]), model_path)
+        maps = materialize(maps.unionByName(more))
+
+
+def _compose_all(maps: DataFrame, run: int = 64) -> DataFrame:
+    """row_id and n_tokens by composing runs of maps, then runs of those."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [scan([_read_map(m["entries"]) for m in run]) for run in batch.column("maps").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("chunk"), _entries(found)], names=["row_id", "chunk", "entries"])
 
-    mapped = cut.mapInArrow(to_maps, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_id long, n_bytes long, chunk int, head string, resets boolean, count long, end string")
-    parts = mapped.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(F.struct("chunk", "head", "resets", "count", "end"))).alias("maps"))
+    while (maps.agg(F.max("chunk")).first()[0] or 0) > 0:
+        runs = maps.groupBy("row_id", F.floor(F.col("chunk") / run).alias("run")).agg(F.sort_array(F.collect_list(F.struct("chunk", "entries"))).alias("maps"))
+        maps = materialize(runs.select("row_id", F.col("run").alias("chunk"), "maps").mapInArrow(joined, f"row_id long, chunk long, entries {ENTRIES}"))
+    start = F.filter("entries", lambda e: e["source"] == json.dumps(START))
+    return maps.select("row_id", start[0]["n"].alias("n_tokens"))
 
-    def join_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def count_tokens(docs: DataFrame, model_path: str, chunk_chars: int = 32_768, context: int = 256) -> DataFrame:
+    """doc_id, n_bytes and n_tokens of every row of ``docs`` (doc_id, text).
+
+    Null and empty texts have 0 tokens. Texts of over ``chunk_chars`` characters
+    are counted chunk by chunk, in as many tasks as there are; the last few
+    (``context``) characters before a chunk only suggest a state, so they do not
+    change results. Repeated rows each get a row; other columns are ignored; an
+    empty table gives none.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    is_long = F.length("text") > chunk_chars
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = compiled(model_path)
         for batch in batches:
-            totals = []
-            for maps in batch.column("maps").to_pylist():
-                if len(maps) == 1:
-                    totals.append(maps[0]["count"])
-                    continue
-                machine = compiled(model_path)
-                states = [machine.number(tuple(map(tuple, json.loads(m["end"])))) if m["end"] else 0 for m in maps]
-                totals.append(scan(machine, [(m["head"], m["resets"], m["count"], s) for m, s in zip(maps, states, strict=True)])[2])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(totals, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
-
-    return parts.mapInArrow(join_maps, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
+            counts = [machine.advance(0, " " + t)[1] if t else 0 for t in batch.column("text").to_pylist()]
+            sizes = pc.binary_length(batch.column("text").cast(pa.binary())).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
+    short = texts.where(~is_long).mapInArrow(counted, f"doc_id {kind}, n_bytes long, n_tokens long")
+    chunks = _chunks(texts.where(is_long), chunk_chars, context)
+    sizes = chunks.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.sum(F.octet_length("text")).alias("n_bytes"))
+    long = sizes.join(_compose_all(_closed_maps(chunks, model_path)).hint("merge"), "row_id").select("doc_id", "n_bytes", "n_tokens")
+    return short.unionByName(long)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,14 @@ def test_words_and_shingles():
     assert len(shingle_hashes(b"a b")) == 1 and len(shingle_hashes(None)) == 0
 
 
+@pytest.mark.parametrize("size", [1, 131_071, 131_072, 131_073, 3 << 20, (3 << 20) + 1])
+def test_words_of_any_length(size):
+    """A word is one word however many blocks it spans, and differs from a longer one with the same beginning."""
+    text = b"a b c d " + b"x" * size
+    assert len(word_hashes(text)) == 5 and len(shingle_hashes(text)) == 1
+    assert word_hashes(text)[4] == word_hashes(b"  " + b"X" * size + b"\n")[0] != word_hashes(b"x" * (size + 1))[0]
+
+
 def test_token_counts(small, texts):
     import sentencepiece
 
@@ -112,9 +120,44 @@ def test_transducer_chunks_at_any_place():
     for i in range(400):
         alphabet = "theinganonreo " if i % 2 else "abé ▁ \n\tthe 中1289aaa  .'<s>"
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 120)))
-        step = rng.choice([1, 2, 5, 17, 1000])
-        maps = [machine.chunk_map(text[k : k + step], k == 0) for k in range(0, len(text), step)]
-        assert token_counts.scan(machine, maps)[2] == len(library.encode(text)), repr(text)
+        assert scanned(machine, text, rng.choice([1, 2, 5, 17, 1000]), rng.choice([1, 4, 16])) == len(library.encode(text)), repr(text)
+
+
+def scanned(machine, text, step, context):
+    """Tokens of ``text`` by maps of chunks, closed one after another and composed as a tree."""
+    chunks = [(text[max(0, a - context) : a], text[a : a + step]) for a in range(0, len(text), step)]
+    maps = [token_counts.chunk_map(machine, *c, []) for c in chunks]
+    for before, own, chunk in zip(maps, maps[1:], chunks[1:], strict=False):
+        for state, _ in list(before.values()):
+            if state not in own:
+                own |= token_counts.chunk_map(machine, *chunk, [state])
+    return token_counts.scan(maps)[machine.name(0)][1]
+
+
+def test_transducer_forgets(monkeypatch):
+    """Few remembered states and parts give the same counts, and no more are kept."""
+    import sentencepiece
+
+    library, machine = sentencepiece.SentencePieceProcessor(model_file=SP), token_counts.Transducer.of_model(SP)
+    monkeypatch.setattr(token_counts, "MOST_STEPS", 500)
+    monkeypatch.setattr(token_counts, "MOST_PART_BYTES", 5000)
+    rng = random.Random(5)
+    for _ in range(60):
+        text = "".join(rng.choice("abcdefghijklmno  é中") for _ in range(rng.randint(1, 400)))
+        assert machine.advance(0, " " + text)[1] == len(library.encode(text)), repr(text)
+        assert machine.n_steps <= 500 + len(text) and machine.counts.n_bytes <= 5000
+
+
+def test_token_counts_of_texts_without_spaces(spark):
+    """Long texts in which no place resets the state, periodic ones among them, in many chunks."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=SP)
+    rng = random.Random(3)
+    texts = {1: "a" * 70_001, 2: "theinganon" * 5000, 3: "".join(rng.choice("ABCDab0123+/") for _ in range(60_000)), 4: "=" * 30_000, 5: "x y " * 9000, 6: None}
+    frame = spark.createDataFrame([*texts.items(), (1, texts[1])], "doc_id long, text string")
+    got = token_counts.count_tokens(frame, SP, 1024, 16).collect()
+    assert len(got) == 7 and all((r.n_bytes, r.n_tokens) == (len(texts[r.doc_id] or ""), len(library.encode(texts[r.doc_id] or ""))) for r in got)
 
 
 def test_mix(spark, small):
@@ -302,6 +345,31 @@ def test_packing_round_trip(small, texts):
     check_sequences([(r.sequence_id, r.offset, r.length) for r in rows])
 
 
+def test_word_ids_equal_the_library():
+    """Odd words, a cache of next to nothing, and words that come again."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library, words, rng = Tokenizer.from_file(HF), packing.WordIds(HF, most_bytes=4000), random.Random(12)
+    parts = ["a", "B", "é", "e\u0301", " ", "  ", "\n", "\t", "\r", ".", ",", "'", "'s", "1", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "\u0130", "ß", "Σ", "…", '"', "!", "?", "中", "The", "I'LL", "-", "_", "\x00", "\x1c", "\u00a0", "\u212a", "ſ", "ǅ"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(5)]
+        raw, at = words.encode(pa.array(texts))
+        for t, a, b in zip(texts, at, at[1:], strict=False):
+            assert raw[4 * a : 4 * b] == np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), repr(t)
+        assert len(words.young) + len(words.old) < 60
+
+
+def test_pieces_of_long_texts_in_parts():
+    """A text that is encoded in parts gives the ids of the whole, whatever the parts."""
+    import pyarrow as pa
+
+    words, text = packing.WordIds(HF), " ".join(f"word{i}, other." for i in range(3000))
+    whole = words.encode(pa.array([text]))[0]
+    parts = list(packing._parts(pa.array(["x", text, ""]), 500))
+    assert b"".join(words.encode(t)[0] for row, t, _ in parts if row == 1) == whole and [m for r, _, m in parts if r == 1][-1] is False and len(parts) > 50
+
+
 def check_sequences(places):
     sequences = collections.defaultdict(list)
     for s, o, n in places:
