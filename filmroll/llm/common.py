@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Regular expressions of the white space and of the words between it.
 SPACE = r"[\x20\x09-\x0D]"
@@ -54,6 +55,17 @@ def sized_hint(stored: DataFrame) -> DataFrame:
     return stored.hint("broadcast" if stored.count() <= BROADCAST_ROWS else "merge")
 
 
+def set_aside(docs: DataFrame, *needed: str) -> DataFrame:
+    """The ``needed`` columns of ``docs`` and all others in one struct ``rest``, so that no name of theirs can clash."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*needed, F.struct(*(others or [F.lit(0).alias("none")])).alias("rest"))
+
+
+def put_back(df: DataFrame, columns: list[str]) -> list[Column]:
+    """The original ``columns`` of a frame from :func:`set_aside`; those still there as they are now."""
+    return [F.col(c) if c in df.columns and c != "rest" else F.col("rest").getField(c).alias(c) for c in columns]
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,6 +9,7 @@ once, and a batch is scored by gathering the rows' n-gram ids and summing by row
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -18,14 +19,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filmroll.llm.common import documents, slices
+from filmroll.llm.common import documents, put_back, set_aside, slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Most labelled rows that one language is learnt from; larger tables are sampled by a hash of doc_id.
 TRAIN_ROWS = 20_000
-#: Most languages; more would mean that the label column holds something else.
-MAX_LANGUAGES = 1000
+#: Languages learnt and scored at once (a matrix of 33 MB).
+LANGUAGES = 256
+#: Most languages; more mean that the label column holds something else, and raise a ValueError.
+MAX_LANGUAGES = 65_536
 
 _TABLE: list[np.ndarray] = []
 
@@ -77,11 +80,26 @@ def ngram_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.concatenate(ids), np.concatenate(owners), letters[:-1]) if ids else (np.empty(0, np.uint32), np.empty(0, np.int64), letters[:-1])
 
 
-def blocks(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
-    """Ranges of a batch's rows with about ``most`` characters each, and their texts."""
-    texts = [t or "" for t in batch.column("text").to_pylist()]
-    for a, b in slices(np.array([len(t) for t in texts], dtype=np.int64), most):
-        yield a, b, texts[a:b]
+def blocks(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Parts of a batch's texts, about ``most`` characters at once, and the row that each belongs to.
+
+    Longer texts are taken apart where a character is no letter, where no n-gram
+    is lost; only within a run of letters of over ``most`` characters the cut
+    costs the few n-grams across it.
+    """
+    parts = [(i, part) for i, t in enumerate(batch.column("text").to_pylist()) for part in _parts(t or "", most)]
+    for a, b in slices(np.array([len(t) for _, t in parts], dtype=np.int64), most):
+        yield np.array([i for i, _ in parts[a:b]], dtype=np.int64), [t for _, t in parts[a:b]]
+
+
+def _parts(text: str, most: int) -> Iterator[str]:
+    at = 0
+    while len(text) - at > 2 * most:
+        cut = re.compile(r"[\s\d.,;:!?]").search(text, at + most, at + 2 * most)
+        stop = cut.end() if cut else at + 2 * most
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
 
 
 def count_ngrams(labelled: DataFrame) -> DataFrame:
@@ -91,10 +109,10 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-            for a, b, texts in blocks(batch):
+            for rows, texts in blocks(batch):
                 ids, owner, _ = ngram_ids(texts)
-                for lang in set(langs[a:b]):
-                    mine = np.append(langs[a:b] == lang, False)
+                for lang in set(langs[rows]):
+                    mine = np.append(langs[rows] == lang, False)
                     sums[lang] = sums.get(lang, 0) + np.bincount(ids[mine[owner]], minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], names=["lang", "counts"])
 
@@ -114,61 +132,90 @@ def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], names=["lang", "counts"])
 
 
-def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS, smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their log-probability matrix, from ``labelled`` (doc_id, text, lang).
+def languages(labelled: DataFrame) -> dict[str, int]:
+    """Rows of each language of ``labelled``, in the languages' order; more than MAX_LANGUAGES raise a ValueError."""
+    rows = labelled.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(rows) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: the label column holds something else")
+    return dict(sorted((r["lang"], r["n"]) for r in rows))
+
+
+def fit(labelled: DataFrame, sizes: dict[str, int], train_rows: int = TRAIN_ROWS, smoothing: float = 0.1) -> np.ndarray:
+    """The log-probability matrix of the languages in ``sizes``, a row each, from ``labelled`` (doc_id, text, lang).
 
     Uses at most about ``train_rows`` whole texts of each language, picked by a
     hash of doc_id; the counts decide the share, so nothing but the narrow
     columns is read of the rest.
     """
-    labelled = labelled.where("lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
-        return [], np.zeros((0, BUCKETS), dtype=np.float32)
+        return np.zeros((0, BUCKETS), dtype=np.float32)
     shares = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, train_rows / n)))])
     ticket = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = labelled.where(ticket < F.element_at(shares, F.col("lang")))
+    sample = labelled.where(F.col("lang").isin(list(sizes))).where(ticket < F.element_at(shares, F.col("lang")))
     found = {r["lang"]: np.frombuffer(r["counts"], dtype="<i8") for r in count_ngrams(sample).collect()}  # one vector a language
-    langs = sorted(sizes)
-    counts = np.array([found.get(lang, np.zeros(BUCKETS)) for lang in langs], dtype=np.float64) + smoothing
-    return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    counts = np.array([found.get(lang, np.zeros(BUCKETS)) for lang in sizes], dtype=np.float64) + smoothing
+    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
-    """``docs`` (text and any other columns) with lang_pred and score.
+STATE = "lang_pred string, top double, odds double, has_letter boolean"
 
-    The score is the posterior probability under equal priors, with the
-    evidence tempered by the square root of the text's length, since n-grams of
-    one text are far from independent. Null texts, texts without a letter, and
-    all texts when nothing was learnt, are ``und`` with score 0. Columns named
-    lang_pred or score are replaced.
+
+def score_block(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
+    """``docs`` (text and columns that clash with none of STATE) with the best of ``langs``, or of those scored before, if it beats them.
+
+    ``top`` is the best tempered log likelihood, ``odds`` the sum over all languages of their odds to the best.
     """
-    docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))
+    shared = docs.sparkSession.sparkContext.broadcast((langs, matrix))  # LANGUAGES rows of BUCKETS numbers at most
+    before, kept = "top" in docs.columns, [c for c in docs.columns if c not in ("lang_pred", "top", "odds", "has_letter")]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights = shared.value
         for batch in batches:
-            preds, scores = [], []
-            for _, _, texts in blocks(batch):
-                ids, owner, letters = ngram_ids(texts)
-                if not names:
-                    preds += ["und"] * len(texts)
-                    scores += [0.0] * len(texts)
-                    continue
-                n = np.maximum(np.bincount(owner, minlength=len(texts) + 1)[: len(texts)], 1)
-                sums = np.array([np.bincount(owner, weights=w[ids], minlength=len(texts) + 1)[: len(texts)] for w in weights])
-                tempered = sums / np.sqrt(n)
-                odds = np.exp(tempered - tempered.max(axis=0))
-                best = np.argmax(tempered, axis=0)
-                share = odds.max(axis=0) / odds.sum(axis=0)
-                preds += [names[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
-                scores += np.where(letters, share, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
-
-    return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+            rows, k = len(batch), len(names)
+            sums, n, letters = np.zeros((k, rows)), np.zeros(rows), np.zeros(rows, dtype=bool)
+            for part_of, texts in blocks(batch):
+                ids, owner, has = ngram_ids(texts)
+                row = np.append(part_of, 0)[owner]  # what belongs to no text comes last and counts for none
+                real = owner < len(texts)
+                ids, row = ids[real], row[real]
+                n += np.bincount(row, minlength=rows)
+                np.logical_or.at(letters, part_of, has)
+                for i, w in enumerate(weights):
+                    sums[i] += np.bincount(row, weights=w[ids], minlength=rows)
+            tempered = sums / np.sqrt(np.maximum(n, 1))
+            best, top = np.argmax(tempered, axis=0), tempered.max(axis=0)
+            odds, preds = np.exp(tempered - top).sum(axis=0), np.array(names, dtype=object)[best]
+            if before:
+                old, old_odds, old_preds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("top", "odds", "lang_pred"))
+                high = np.maximum(old, top)
+                odds, preds, top = old_odds * np.exp(old - high) + odds * np.exp(top - high), np.where(old >= top, old_preds, preds), high
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(preds, pa.string()), pa.array(top), pa.array(odds), pa.array(letters)], names=[*kept, "lang_pred", "top", "odds", "has_letter"])
+
+    fields = [f for f in docs.schema.fields if f.name in kept]
+    return docs.mapInArrow(scored, T.StructType([*fields, *T.StructType.fromDDL(STATE).fields]))
+
+
+def predict(docs: DataFrame, labelled: DataFrame, train_rows: int = TRAIN_ROWS, langs_at_once: int = LANGUAGES) -> DataFrame:
+    """``docs`` (text and any other columns) with lang_pred and score, learnt from ``labelled`` (doc_id, text, lang).
+
+    The score is the posterior probability under equal priors, with the
+    evidence tempered by the square root of the text's length, since n-grams of
+    one text are far from independent; of languages equally good the first.
+    Languages are learnt and met ``langs_at_once`` at a time, so that neither
+    driver nor workers hold more than their matrix. Null texts, texts without a
+    letter, and all texts when nothing was learnt, are ``und`` with score 0.
+    Columns named lang_pred or score are replaced.
+    """
+    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    found, sizes = set_aside(docs, "text"), languages(labelled)
+    names = list(sizes)
+    for at in range(0, len(names), langs_at_once):
+        some = names[at : at + langs_at_once]
+        found = score_block(found, some, fit(labelled, {x: sizes[x] for x in some}, train_rows))
+    if not names:
+        found = found.selectExpr("*", "'und' AS lang_pred", "0D AS top", "1D AS odds", "false AS has_letter")
+    back = put_back(found.select("text", "rest"), columns)
+    return found.select(*back, F.when(F.col("has_letter"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("has_letter"), 1 / F.col("odds")).otherwise(0.0).alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -179,18 +226,23 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text, lang), learnt from the rows not held out.
 
-    Repeated rows each get a row; other columns are ignored; an empty table gives none.
+    Nulls and empty texts as in :func:`predict`; very long texts are read in
+    blocks; repeated rows each get a row; other columns are ignored; an empty
+    table gives none.
     """
-    langs, matrix = fit(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs.select("doc_id", "text"), langs, matrix).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), docs.where(~held_out(F.col("doc_id")))).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, lang and any others) in a language learnt from it, at a score of ``min_score`` at least."""
-    langs, matrix = fit(docs.where(~held_out(F.col("doc_id"))))
-    predicted = predict(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), langs, matrix)
-    kept = predicted.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*docs.columns)
+    """The rows of ``docs`` (doc_id, text, lang and any others) in a language learnt from it, at a score of ``min_score`` at least.
+
+    Null and empty texts, and those without a letter, go; repeated rows are
+    judged alike; columns keep any names; an empty table gives no rows.
+    """
+    found = set_aside(docs, "text")
+    scored = predict(found, docs.where(~held_out(F.col("doc_id"))))
+    kept = scored.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("text", "rest")
+    return kept.select(*put_back(kept, docs.columns))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

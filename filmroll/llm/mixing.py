@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from filmroll.llm.common import WORD, documents, materialize, sized_hint
+from filmroll.llm.common import WORD, documents, materialize, put_back, set_aside, sized_hint
 
 #: (time, factor) knots of a source's weight over training, linear between knots; sources take them in turn.
 RISING = ((0.0, 0.5), (1.0, 1.5))
@@ -117,19 +117,21 @@ def curriculum(docs: DataFrame, schedules: tuple = SCHEDULES, **options) -> Data
 
     A row is repeated once for each copy taken, each at its own position; the
     document at the end of a source's quota stays whole if at least half of it
-    is taken. Rows without words are left out: the mix takes nothing of them.
-    Columns as in ``docs``; rows of one doc_id and size are taken as often as
-    the one taken most.
+    is taken. Rows without words, null texts among them, are left out: the mix
+    takes nothing of them. Very long texts are counted and taken whole. Columns
+    as in ``docs``, with any names; rows of one doc_id and size, repeated ones
+    too, are taken as often as the one taken most; an empty table gives no rows.
     """
     copies = (F.col("taken") / F.col("size") + 0.5).cast("int")
-    mixed = mix(docs, schedules=schedules, **options).where("taken > 0").withColumn("_copies", copies).where("_copies > 0")
-    at = F.transform(F.sequence(F.lit(0), F.col("_copies") - 1), lambda k: F.col("start") + k * F.col("source_size"))
-    placed = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max_by(F.struct("source_size", "target", "turn", at.alias("at")), "_copies").alias("_m"))
-    placed = placed.select("_id", "_size", F.col("_m.target").alias("target"), F.col("_m.turn").alias("turn"), F.explode("_m.at").alias("at"))
-    placed = placed.select("_id", "_size", _position(F.col("at"), schedules).alias("_at")).groupBy("_id", "_size").agg(F.collect_list("_at").alias("_at"))
-    sized = docs.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    chosen = sized.join(sized_hint(materialize(placed)), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return chosen.withColumn("_at", F.explode("_at")).orderBy("_at", "doc_id").select(*docs.columns)
+    mixed = mix(docs, schedules=schedules, **options).where("taken > 0").withColumn("copies", copies).where("copies > 0")
+    at = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: F.col("start") + k * F.col("source_size"))
+    placed = mixed.groupBy(F.col("doc_id").alias("id"), "size").agg(F.max_by(F.struct("source_size", "target", "turn", at.alias("at")), "copies").alias("m"))
+    placed = placed.select("id", "size", F.col("m.target").alias("target"), F.col("m.turn").alias("turn"), F.explode("m.at").alias("at"))
+    placed = placed.select("id", "size", _position(F.col("at"), schedules).alias("at")).groupBy("id", "size").agg(F.collect_list("at").alias("at"))
+    sized = set_aside(docs, "doc_id", "text").withColumn("words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    chosen = sized.join(sized_hint(materialize(placed)), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("words") == F.col("size")))
+    ordered = chosen.withColumn("at", F.explode("at")).orderBy("at", "doc_id").select("doc_id", "text", "rest")
+    return ordered.select(*put_back(ordered, docs.columns))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

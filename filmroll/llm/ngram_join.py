@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from filmroll.llm.common import documents, materialize, mix64, partitions, shingle_hashes, sized_hint
+from filmroll.llm.common import documents, materialize, mix64, partitions, put_back, set_aside, shingle_hashes, sized_hint
 from filmroll.llm.components import connected_components
 
 SHINGLE = 5
@@ -377,7 +377,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     A row is known by its doc_id and the digest of its whole text, so rows that
     share a doc_id, or have none, are each judged by their own text. The least
     has the least doc_id (nulls last), then the least digest; of rows equal in
-    both one stays. Texts without words are components of their own and stay.
+    both one stays. Texts without words, null ones too, are components of their
+    own and stay. Very long texts are hashed in blocks, whole. Columns keep any
+    names; an empty table gives no rows.
     """
     rows, final = _rooted(docs)
     rows = rows.where("n > 0")
@@ -386,12 +388,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     by_key = materialize(final.join(winners.hint("merge"), "root").select("key", F.col("w.doc_id").alias("_doc"), F.col("w.digest").alias("_won")))
     judged = rows.join(by_key.hint("merge"), "key").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), (F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_won"))).alias("won"))
     found = materialize(judged.groupBy("_id", "_digest", "won").agg(F.count("*").alias("n")))
+    aside = set_aside(docs, "doc_id", "text")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.unhex(F.md5("text")) == F.col("_digest"))
-    rest = docs.join(sized_hint(materialize(found.where("NOT won").select("_id", "_digest"))), same, "left_anti")
+    rest = aside.join(sized_hint(materialize(found.where("NOT won").select("_id", "_digest"))), same, "left_anti")
     repeated = materialize(found.where("won AND n > 1").select("_id", "_digest"))
-    if repeated.isEmpty():
-        return rest
-    return rest.join(sized_hint(repeated), same, "left_anti").unionByName(rest.join(sized_hint(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    if not repeated.isEmpty():
+        one = rest.join(sized_hint(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"])
+        rest = rest.join(sized_hint(repeated), same, "left_anti").unionByName(one)
+    return rest.select(*put_back(rest, docs.columns))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
