@@ -3,9 +3,10 @@
 A rule is a regular expression over the normalised words of a text, with a
 label, a priority and a keyword without which it cannot match. Keywords are
 looked for first, so that most texts never meet an expression. Detections that
-overlap are settled by containment: a detection inside another is suppressed,
-of equal ones all but the strongest; those that only partly overlap all stay.
-An SPDX expression is read name by name.
+overlap are settled by priority and containment: a detection is suppressed by
+one that it lies in and that is at least as sure; of equal places the rule that
+comes first stays; detections that only partly overlap all stay. An SPDX
+expression is read name by name.
 """
 
 from __future__ import annotations
@@ -133,6 +134,113 @@ SIGNATURES = (
     ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", 0.6, "copyright"),
     ("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", 0.8, "proprietary"),
     ("no-redistribution", r"(?:redistribution|reproduction)(?: \w+){0,4} (?:is )?(?:strictly )?prohibited", 0.8, "prohibited"),
+    ("gpl", r"you can redistribute it and or modify it under the terms of the gnu general public license", 0.99, "redistribute it"),
+    ("lgpl", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 0.99, "redistribute it"),
+    ("agpl", r"you can redistribute it and or modify it under the terms of the gnu affero general public license", 0.99, "redistribute it"),
+    ("gpl", r"either version [123] of the license or at your option any later version", 0.9, "any later version"),
+    ("gpl", r"everyone is permitted to copy and distribute verbatim copies of this license document", 0.9, "verbatim copies"),
+    ("gfdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", 0.99, "free documentation"),
+    ("gfdl", r"with no invariant sections", 0.85, "invariant sections"),
+    ("apache", r"licensed under the apache license version 2 0 the license", 0.99, "apache"),
+    ("apache", r"you may not use this file except in compliance with the license", 0.9, "in compliance with"),
+    ("apache", r"unless required by applicable law or agreed to in writing software distributed under the license", 0.95, "applicable law"),
+    ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.97, "permission notice"),
+    ("mit-0", r"mit no attribution(?: license)?|mit 0 license", 0.95, "mit"),
+    ("bsd", r"redistributions of source code must retain the above copyright notice", 0.95, "redistributions"),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice", 0.95, "redistributions"),
+    ("bsd", r"neither the name of (?:the )?(?:\w+ ){1,8}nor the names of its contributors may be used to endorse", 0.97, "contributors"),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display", 0.97, "advertising materials"),
+    ("bsd-0-clause", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.98, "permission to use"),
+    ("isc", r"provided that the above copyright notice and this permission notice appear in all copies", 0.93, "permission notice"),
+    ("zlib", r"altered source versions must be plainly marked as such", 0.97, "plainly marked"),
+    ("zlib", r"the origin of this software must not be misrepresented", 0.97, "misrepresented"),
+    ("boost", r"boost org license 1 0 txt", 0.98, "boost org"),
+    ("boost", r"use reproduce display distribute execute and transmit the software", 0.97, "transmit the software"),
+    ("mpl", r"subject to the terms of the mozilla public license v ?(?:1 1|2 0)", 0.99, "mozilla public"),
+    ("mpl", r"if a copy of the mpl was not distributed with this file", 0.98, "copy of the mpl"),
+    ("mpl", r"mozilla org mpl 2 0", 0.97, "mozilla org"),
+    ("epl", r"eclipse org legal epl v ?(?:10|20|1 0|2 0)", 0.97, "eclipse org"),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse public license", 0.99, "eclipse public"),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution license", 0.99, "common development"),
+    ("cpl", r"made available under the terms of the common public license", 0.97, "common public"),
+    ("eupl", r"licensed under the eupl(?: version)? ?v?1 [012]", 0.98, "eupl"),
+    ("artistic", r"the intent of this document is to state the conditions under which a package may be copied", 0.97, "package may be copied"),
+    ("perl", r"under the same terms as perl(?: itself)?", 0.95, "as perl"),
+    ("ruby", r"under the same terms as ruby(?: itself)?", 0.95, "as ruby"),
+    ("python", r"psf license agreement(?: for python)?", 0.95, "psf license"),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software", 0.98, "anyone is free"),
+    ("wtfpl", r"you just do what the fuck you want to", 0.98, "what the fuck"),
+    ("beerware", r"beer ?ware(?: license)?", 0.9, "beer"),
+    ("beerware", r"you can buy me a beer in return", 0.97, "buy me a beer"),
+    ("json", r"the software shall be used for good not evil", 0.98, "not evil"),
+    ("ofl", r"with reserved font name", 0.93, "reserved font"),
+    ("ofl", r"scripts sil org ofl", 0.97, "sil org"),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", 0.98, "written agreement"),
+    ("openssl", r"this product includes software developed by the openssl project", 0.97, "openssl project"),
+    ("php", r"this product includes php software freely available", 0.97, "php software"),
+    ("curl", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided", 0.93, "permission to use"),
+    ("x11", r"except as contained in this notice the name of (?:the )?(?:\w+ ){1,6}shall not be used in advertising", 0.97, "used in advertising"),
+    ("ijg", r"this software is based in part on the work of the independent jpeg group", 0.98, "independent jpeg"),
+    ("ncsa", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software", 0.99, "deal with the software"),
+    ("odbl", r"opendatacommons org licenses odbl", 0.98, "opendatacommons"),
+    ("odc-by", r"opendatacommons org licenses by", 0.98, "opendatacommons"),
+    ("pddl", r"opendatacommons org licenses pddl", 0.98, "opendatacommons"),
+    ("cc0", r"creativecommons org publicdomain zero 1 0", 0.99, "creativecommons"),
+    ("public-domain", r"creativecommons org publicdomain mark 1 0", 0.97, "creativecommons"),
+    ("cc-by-sa", r"creativecommons org licenses by sa [1-4] [05]", 0.99, "creativecommons"),
+    ("cc-by-nc", r"creativecommons org licenses by nc [1-4] [05]", 0.99, "creativecommons"),
+    ("cc-by-nd", r"creativecommons org licenses by nd [1-4] [05]", 0.99, "creativecommons"),
+    ("cc-by-nc-sa", r"creativecommons org licenses by nc sa [1-4] [05]", 0.99, "creativecommons"),
+    ("cc-by-nc-nd", r"creativecommons org licenses by nc nd [1-4] [05]", 0.99, "creativecommons"),
+    ("cc0", r"waived all copyright and related or neighboring rights", 0.97, "neighboring rights"),
+    ("cc-by-sa", r"text is available under the creative commons attribution share ?alike license", 0.99, "creative commons"),
+    ("sspl", r"mongodb com licensing server side public license", 0.98, "mongodb com"),
+    ("elastic", r"elastic license (?:2 0|v2)", 0.97, "elastic license"),
+    ("bsl", r"(?:business source license|busl) 1 1", 0.98, "1 1"),
+    ("bsl", r"change date (?:\w+ ){1,6}change license", 0.9, "change license"),
+    ("commons-clause", r"commons clause(?: license condition)?", 0.93, "commons clause"),
+    ("polyform", r"polyform (?:noncommercial|small business|shield|strict|perimeter|free trial|internal use)(?: license)?", 0.95, "polyform"),
+    ("rail", r"creativeml open rail(?: m)?", 0.97, "creativeml"),
+    ("rail", r"bigscience (?:bloom )?(?:open )?rail(?: m)?(?: license)?", 0.97, "bigscience"),
+    ("llama", r"llama (?:2|3|3 [123]) community license", 0.97, "community license"),
+    ("gemma", r"gemma (?:terms of use|license)", 0.9, "gemma"),
+    ("ms-pl", r"microsoft public license ms pl", 0.98, "ms pl"),
+    ("cecill", r"governed by the cecill(?: [bc])? license", 0.97, "cecill"),
+    ("mulan", r"licensed under mulan psl v[12]", 0.98, "mulan psl"),
+    ("anti-996", r"anti 996 license", 0.97, "anti 996"),
+    ("hippocratic", r"hippocratic license", 0.95, "hippocratic"),
+    ("bittorrent", r"bittorrent open source license", 0.95, "bittorrent"),
+    ("intel", r"intel (?:open source|simplified software) license", 0.93, "intel"),
+    ("nasa", r"nasa open source agreement", 0.95, "nasa"),
+    ("ogl", r"open government licen[cs]e(?: v?[1-3](?: 0)?)?", 0.95, "open government"),
+    ("ogl", r"contains public sector information licensed under the open government licen[cs]e", 0.99, "public sector information"),
+    ("crown", r"crown copyright", 0.85, "crown copyright"),
+    ("etalab", r"licence ouverte(?: open licen[cs]e)?(?: etalab)?", 0.93, "licence ouverte"),
+    ("dl-de", r"datenlizenz deutschland(?: namensnennung| zero)?(?: 2 0)?", 0.95, "datenlizenz"),
+    ("public-domain", r"no rights reserved", 0.85, "rights reserved"),
+    ("reserved", r"some rights reserved", 0.7, "rights reserved"),
+    ("public-domain", r"this work is (?:now )?in the public domain", 0.93, "public domain"),
+    ("public-domain", r"public domain mark(?: 1 0)?", 0.93, "public domain"),
+    ("proprietary", r"unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: \w+){0,12} (?:is )?strictly prohibited", 0.9, "prohibited"),
+    ("proprietary", r"this (?:software|document|file|information) is (?:the )?(?:confidential|proprietary)", 0.85, "this"),
+    ("proprietary", r"end user license agreement", 0.85, "end user license"),
+    ("proprietary", r"trade secrets? of", 0.7, "trade secret"),
+    ("no-redistribution", r"may not be (?:copied |reproduced |redistributed |republished |published |broadcast |rewritten |or ){1,8}(?:without|in any form)", 0.85, "may not be"),
+    ("no-redistribution", r"no part of this (?:publication|book|work|document) may be reproduced", 0.93, "may be reproduced"),
+    ("no-derivatives", r"no derivative works", 0.7, "derivative works"),
+    ("non-commercial", r"for (?:personal (?:and|or) )?non ?commercial use only", 0.85, "commercial use only"),
+    ("non-commercial", r"not for commercial use", 0.85, "for commercial use"),
+    ("research-only", r"for (?:academic |scientific )?research purposes only", 0.85, "research purposes"),
+    ("attribution", r"attribution required", 0.6, "attribution required"),
+    ("reserved", r"tutti i diritti riservati", 0.8, "diritti riservati"),
+    ("reserved", r"todos os direitos reservados", 0.8, "direitos reservados"),
+    ("reserved", r"alle rechten voorbehouden", 0.8, "rechten voorbehouden"),
+    ("reserved", r"wszelkie prawa zastrzeżone", 0.8, "prawa zastrzeżone"),
+    ("copyright", r"copr (?:19|20)[0-9]{2}", 0.5, "copr"),
+    ("copyright", r"© (?:copyright )?(?:19|20)[0-9]{2}", 0.7, "© "),
+    ("copyright", r"©19[0-9]{2}", 0.7, "©1"),
+    ("copyright", r"©20[0-9]{2}", 0.7, "©2"),
+    ("copyright", r"copyright (?:and )?(?:database )?rights? (?:\w+ ){0,4}(?:19|20)[0-9]{2}", 0.6, "copyright"),
 )
 
 
@@ -149,7 +257,7 @@ class Rule:
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """All rules in order: the named signatures and every name in every form."""
+    """All rules in order: the signatures written out and every name in every form."""
     found = [(label, p, c, k) for label, p, c, k in SIGNATURES]
     for label, name in NAMES.items():
         key = max(re.findall(r"[a-z0-9]{2,}", re.sub(r"\([^()]*(?:\([^()]*\)[^()]*)*\)\??", "|", name)) or [""], key=len)
@@ -159,7 +267,7 @@ def rules() -> tuple[Rule, ...]:
 
 
 #: Words of which a text must hold one before any rule is tried.
-ANCHORS = ("licen", "copyright", "reserved", "domain", "warranty", "cc0", "cc by", "gpl", "creative", "redistribution", "permission", "gnu org", "proprietary", "prohibited", "unlicense", "derechos reservados", "droits réservés", "rechte vorbehalten", "unencumbered", "as is")
+ANCHORS = ("licen", "copyright", "reserved", "domain", "warranty", "cc0", "cc by", "gpl", "creative", "redistribut", "permission", "gnu org", "proprietary", "prohibited", "derechos reservados", "droits réservés", "rechte vorbehalten", "unencumbered", "as is", "applicable law", "permitted to copy", "any later version", "invariant sections", "contributors", "advertising", "plainly marked", "misrepresented", "boost org", "the software", "copy of the mpl", "mozilla org", "eclipse org", "eupl", "as perl", "as ruby", "anyone is free", "what the fuck", "beer", "not evil", "font name", "sil org", "openssl project", "php software", "independent jpeg", "opendatacommons", "neighboring rights", "busl", "commons clause", "polyform", "bigscience", "gemma", "mulan psl", "nasa open", "datenlizenz", "package may be copied", "confidential", "trade secret", "may not be", "may be reproduced", "derivative works", "commercial use", "research purposes", "attribution required", "diritti riservati", "direitos reservados", "rechten voorbehouden", "prawa zastrzeżone", "copr", "©")
 
 _SEPARATE = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -210,11 +318,22 @@ def detect(words: str) -> list[tuple[int, int, Rule]]:
     for rule in rules():
         if rule.keyword in words:
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(words)]
-    found.sort(key=lambda d: (d[0], -d[1], d[2].priority))
-    kept: list[tuple[int, int, Rule]] = []
-    for d in found:  # sorted by start, so one that ends no later than the last survivor is inside it
-        if not kept or d[1] > kept[-1][1]:
+    return survivors(found)
+
+
+def survivors(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """Detections that lie in no other one that is at least as sure; of equal places the first rule's.
+
+    In order of start, longest first, a detection lies in an earlier one exactly
+    if that one's end is not before its own, so the largest end so far of each
+    confidence tells.
+    """
+    ends: dict[float, int] = {}
+    kept = []
+    for d in sorted(found, key=lambda d: (d[0], -d[1], -d[2].confidence, d[2].priority)):
+        if not any(end >= d[1] for c, end in ends.items() if c >= d[2].confidence):
             kept.append(d)
+            ends[d[2].confidence] = d[1]
     return kept
 
 
@@ -243,7 +362,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """License labels of every row of ``docs`` (doc_id, text); other columns are ignored.
 
     Null and empty texts have no words, no labels and score 0. A text is read
-    once, whole. Repeated rows each get a row; an empty table gives none.
+    once, whole, however long: rules have bounded repeats, so time follows the
+    length. Repeated rows each get a row; an empty table gives none.
     """
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
