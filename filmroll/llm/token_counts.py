@@ -37,8 +37,10 @@ from filmroll.llm.common import documents, materialize, partitions
 
 MARK = "▁"  # stands for a space inside pieces
 START = ((0, -1, 0),)
-#: Transitions, and pairs of pieces, that a worker remembers; bytes of counted parts, of one beside its text, and characters of the longest.
-MOST_STEPS, MOST_PART_BYTES, PART_BYTES, LONG_PART = 300_000, 100 << 20, 120, 200
+#: Transitions and pairs of pieces that a worker remembers (some 300 and 200 bytes each).
+MOST_STEPS, MOST_FITS = 800_000, 500_000
+#: Bytes of counted parts that it remembers, of one beside its text, and characters of the longest.
+MOST_PART_BYTES, PART_BYTES, LONG_PART = 100 << 20, 170, 200
 
 
 class Transducer:
@@ -63,10 +65,10 @@ class Transducer:
             raise ValueError("pieces that span white space are not supported")
         self.kept = 0
         self.counts = _Counts(self)
+        self.fits: dict[tuple[int, int], bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.fits: dict[tuple[int, int], bool] = {}
         self.numbers: dict[tuple, int] = {START: 0}
         self.states: list[tuple] = [START]
         self.steps: list[dict[str, tuple[int, int]]] = [{}]
@@ -159,10 +161,12 @@ class Transducer:
 
     def tidy(self, number: int = 0) -> None:
         """Forget all states but one once there are too many; ``kept`` is the new number of that one."""
-        if self.n_steps > MOST_STEPS or len(self.fits) > MOST_STEPS:
+        if self.n_steps > MOST_STEPS:
             state = self.states[number]
             self._forget()
             number = self.number(state)
+        if len(self.fits) > MOST_FITS:
+            self.fits.clear()
         self.kept = number
 
     def name(self, number: int) -> str:
