@@ -57,6 +57,11 @@ def normalize_metadata(raw: Column) -> Column:
     return F.when(F.greatest(*[v.isNotNull() for v in fields.values()]), F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
+def json_field(text: Column, path: str) -> Column:
+    """F7. A field of a JSON text as text; null where the text is no JSON or lacks it."""
+    return F.try_variant_get(F.try_parse_json(text), path, "string")
+
+
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

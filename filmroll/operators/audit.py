@@ -35,13 +35,18 @@ def orphan_identities(identities: DataFrame, clusters: DataFrame) -> DataFrame:
     return identities.join(clusters.where("label_user IS NOT NULL").select(F.col("label_user").alias("name")).distinct(), "name", "left_anti")
 
 
-def catalog_audit(assignments: DataFrame, clusters: DataFrame, vectors: DataFrame, identities: DataFrame) -> DataFrame:
-    """A12. All findings as rows (check, key, detail); a sound catalog has none."""
+def catalog_audit(assignments: DataFrame, clusters: DataFrame, vectors: DataFrame, identities: DataFrame, item_assignments: DataFrame | None = None, item_clusters: DataFrame | None = None) -> DataFrame:
+    """A12. All findings as rows (check, key, detail); a sound catalog has none.
+
+    With the clusters of items given as well, their sizes are checked too.
+    """
     row = lambda df, check, key, detail: df.select(F.lit(check).alias("check"), F.col(key).cast("string").alias("key"), detail.alias("detail"))
     sizes = row(size_audit(assignments, clusters), "size", "cluster_id", F.format_string("%d recorded, %d there", F.col("size").cast("long"), F.col("actual")))
     empty = row(missing_vectors(vectors), "vector", "vec_id", F.lit("missing"))
     orphans = row(orphan_identities(identities, clusters), "identity", "name", F.lit("no cluster"))
     noise = row(clusters.where((F.col("cluster_no") == NOISE) & F.col("label_user").isNotNull()), "noise", "cluster_id", F.lit("labelled"))
+    if item_clusters is not None:
+        sizes = sizes.unionByName(row(size_audit(item_assignments, item_clusters), "item size", "cluster_id", F.format_string("%d recorded, %d there", F.col("size").cast("long"), F.col("actual"))))
     return sizes.unionByName(empty).unionByName(orphans).unionByName(noise)
 
 

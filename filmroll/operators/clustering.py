@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -155,11 +156,30 @@ def cluster_items(vectors: DataFrame, n_components: int, min_size: int, min_samp
     reduced = staged(reduce_dims(vectors, n_components))
     joined = reduced.join(density_cluster(reduced, min_size, min_samples, eps), "vec_id")
     means = centroids(joined.where("cluster_no >= 0"), "cluster_no", "reduced").select("cluster_no", "centroid")
-    members = joined.join(means, "cluster_no", "left").select("vec_id", F.lit(run_id).alias("run_id"), "cluster_no", F.when(F.col("cluster_no") < 0, 0.0).otherwise(euclidean(F.col("reduced"), F.col("centroid"))).alias("distance"))
+    members = joined.join(means.hint("merge"), "cluster_no", "left").select("vec_id", F.lit(run_id).alias("run_id"), "cluster_no", F.when(F.col("cluster_no") < 0, 0.0).otherwise(euclidean(F.col("reduced"), F.col("centroid"))).alias("distance"))
     members = staged(members)
     return members.groupBy("run_id", "cluster_no").agg(F.count("*").alias("size")), members
 
 
+def run_row(spark: SparkSession, run_id: int, **params: object) -> DataFrame:
+    """V9. The row of a run in cluster_runs: run_id, created_at and its parameters as JSON."""
+    rows = spark.createDataFrame([(run_id, json.dumps(params, sort_keys=True))], "run_id long, params string")
+    return rows.select("run_id", F.current_timestamp().alias("created_at"), "params")
+
+
+def adopt_orphans(found: tuple[DataFrame, DataFrame], vectors: DataFrame, identities: DataFrame, assignments: DataFrame, threshold: float = 0.5) -> dict[str, DataFrame]:
+    """V11. What a clustering of orphans changes: clusters labelled by the identities they match one to one, members, and the old assignments without the regions that found a cluster."""
+    from filmroll.operators.matching import match_one_to_one
+
+    clusters, members = found
+    placed = members.where("cluster_no >= 0")
+    own = centroids(placed.join(vectors, "vec_id"), "cluster_no")
+    matched = match_one_to_one(own.select(F.col("cluster_no").cast("string").alias("cluster"), F.col("centroid").alias("vector")), identities.select("name", F.col("centroid").alias("vector")), threshold)
+    named = clusters.join(matched.select(F.col("cluster").cast("int").alias("cluster_no"), F.col("name").alias("label_user")).hint("merge"), "cluster_no", "left")
+    rest = assignments.join(placed.select(F.col("vec_id").alias("region_id")), "region_id", "left_anti")
+    return {"clusters": named, "members": members, "assignments": rest}
+
+
 def recluster_orphans(vectors: DataFrame, orphans: DataFrame, **options) -> tuple[DataFrame, DataFrame] | None:
     """V11. Cluster only the vectors of unidentified regions; None where there are too few."""
     pool = vectors.join(orphans.select(F.col("region_id").alias("vec_id")), "vec_id", "left_semi")

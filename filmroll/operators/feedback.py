@@ -141,11 +141,58 @@ def rename_label(clusters: DataFrame, mapping: DataFrame) -> DataFrame:
     return joined.withColumn("label_user", new).select(*clusters.columns)
 
 
+def rename_identities(identities: DataFrame, mapping: DataFrame) -> DataFrame:
+    """V16. Identities (name, centroid, n_samples) after renames (old, new): moved to a new name, or merged where that one exists.
+
+    A name that is cleared (null or empty) loses its identity.
+    """
+    cleared = mapping.where("new IS NULL OR new = ''").select(F.col("old").alias("name"))
+    identities = identities.join(cleared, "name", "left_anti")
+    wanted = mapping.where("new IS NOT NULL AND new <> '' AND old <> new").select("old", "new").join(identities.select(F.col("name").alias("old")), "old", "left_semi")
+    targets = wanted.groupBy("new").agg(F.collect_set("old").alias("olds"))
+    # a name that several take over, or that exists, is a mean of all that come together there, by their samples
+    renamed = identities.join(wanted.select(F.col("old").alias("name"), F.col("new").alias("_new")), "name", "left").withColumn("name", F.coalesce("_new", "name"))
+    touched = renamed.join(targets.select(F.col("new").alias("name")), "name", "left_semi").select("name", "centroid", "n_samples")
+    sums = touched.select("name", "n_samples", F.posexplode("centroid").alias("pos", "x")).groupBy("name", "pos").agg((F.sum(F.col("x") * F.col("n_samples")) / F.sum("n_samples")).alias("x"))
+    merged = sums.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("centroid"))
+    counts = touched.groupBy("name").agg(F.sum("n_samples").alias("n_samples"))
+    rest = renamed.join(targets.select(F.col("new").alias("name")), "name", "left_anti").select("name", "centroid", "n_samples")
+    return rest.unionByName(merged.hint("merge").join(counts, "name").select("name", "centroid", "n_samples"))
+
+
+def name_clusters(clusters: DataFrame, mapping: DataFrame, members: DataFrame, identities: DataFrame) -> dict[str, DataFrame]:
+    """V15. Labels set or cleared in bulk by mapping (cluster_id, label; null or empty clears), noise refused.
+
+    Returns clusters, identities and rejected (cluster_id, reason). The identity
+    of a label that is set becomes the mean of the ``members`` (cluster_id,
+    embedding) of the clusters that get it, and its statistics start anew.
+    """
+    from filmroll.operators.vectors import centroids
+
+    wanted = mapping.groupBy("cluster_id").agg(F.max_by(F.nullif("label", F.lit("")), F.coalesce("label", F.lit(""))).alias("_label")).withColumn("_hit", F.lit(True))
+    judged = wanted.join(clusters.select("cluster_id", "cluster_no"), "cluster_id", "left").withColumn("reason", F.when(F.col("cluster_no").isNull(), "unknown cluster").when(F.col("cluster_no") == NOISE, "noise"))
+    applied = judged.where("reason IS NULL").select("cluster_id", "_label", "_hit")
+    named = clusters.join(applied, "cluster_id", "left").withColumn("label_user", F.when(F.col("_hit"), F.col("_label")).otherwise(F.col("label_user"))).select(*clusters.columns)
+    means = centroids(members.join(applied.where("_label IS NOT NULL"), "cluster_id").select(F.col("_label").alias("name"), "embedding"), "name")
+    fresh = means.select("name", "centroid", F.col("n").alias("n_samples"), F.lit(0).cast("long").alias("sim_n"), F.lit(0.0).alias("sim_mean"), F.lit(0.0).alias("sim_m2"))
+    kept = identities.join(fresh.select("name").hint("merge"), "name", "left_anti").select(*fresh.columns)
+    return {"clusters": named, "identities": kept.unionByName(fresh), "rejected": judged.where("reason IS NOT NULL").select("cluster_id", "reason")}
+
+
+def read_mapping(texts: DataFrame, column: str) -> DataFrame:
+    """S15. key, value and is_text of the entries of JSON objects such as {"17": "Anne"}; texts that are no JSON give none."""
+    parsed = texts.select(F.try_parse_json(column).alias("_json")).where("_json IS NOT NULL")
+    entries = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("_json").outer()))
+    return entries.select("key", F.try_variant_get("value", "$", "string").alias("value"), (F.schema_of_variant("value").isin("STRING", "VOID")).alias("is_text"))
+
+
 def rename_bulk(clusters: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """S15. (applied, rejected) of a mapping of cluster ids to labels (key, value: both text; null or empty clears)."""
+    """S15. (applied, rejected) of a mapping of cluster ids to labels (key, value: both text; null or empty clears; is_text, if there, tells values that were none)."""
     probed = mapping.withColumn("cluster_id", F.col("key").try_cast("long"))
     joined = probed.join(clusters.select("cluster_id", F.lit(True).alias("_known"), "cluster_no"), "cluster_id", "left")
     reason = F.when(F.col("cluster_id").isNull(), "not a number").when(F.col("_known").isNull(), "unknown cluster").when(F.col("cluster_no") == NOISE, "noise")
+    if "is_text" in mapping.columns:
+        reason = reason.when(~F.col("is_text"), "not a text")
     judged = joined.withColumn("reason", reason)
     return judged.where("reason IS NULL").select("cluster_id", F.nullif("value", F.lit("")).alias("label")), judged.where("reason IS NOT NULL").select("key", "reason")
 

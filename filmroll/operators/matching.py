@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -42,29 +41,25 @@ def match_one_to_one(clusters: DataFrame, identities: DataFrame, threshold: floa
             break
         owned = staged(owned.join(won.select("name"), "name", "left_anti").unionByName(won))
         out = staged(out.unionByName(gone))
+    else:
+        raise RuntimeError(f"the auction did not end in {rounds} rounds: raise rounds or epsilon")
     return pairs.join(owned.select("name", "cluster"), ["name", "cluster"]).select("cluster", "name", "sim")
 
 
 def match_boxes(old: DataFrame, new: DataFrame, min_iou: float = 0.4) -> DataFrame:
     """J14. old_id and new_id of boxes that overlap, the largest old box choosing first, every new box used once.
 
-    Candidates come from an equi-join on the item; the choice is made item by
-    item, among the overlapping pairs of one image.
+    Candidates come from an equi-join on the item; an item's overlapping pairs
+    stand in the order of choice and are gone through once, so each item's
+    result follows its pairs.
     """
     joined = old.select("item_id", F.col("region_id").alias("old_id"), F.col("box").alias("_a")).join(new.select("item_id", F.col("region_id").alias("new_id"), F.col("box").alias("_b")), "item_id")
-    scored = joined.withColumn("iou", iou(F.col("_a"), F.col("_b"))).where(F.col("iou") >= min_iou).select("item_id", "old_id", "new_id", "iou", (F.col("_a.w") * F.col("_a.h")).alias("size"))
-
-    def choose(pairs: pd.DataFrame) -> pd.DataFrame:
-        used: set[int] = set()
-        kept = []
-        for _, group in sorted(pairs.groupby("old_id"), key=lambda g: (-g[1]["size"].iloc[0], g[0])):
-            free = group[~group["new_id"].isin(used)].sort_values(["iou", "new_id"], ascending=[False, True])
-            if len(free):
-                used.add(free["new_id"].iloc[0])
-                kept.append(free.iloc[0])
-        return pd.DataFrame(kept, columns=pairs.columns)[["item_id", "old_id", "new_id", "iou"]]
-
-    return scored.groupBy("item_id").applyInPandas(choose, "item_id long, old_id long, new_id long, iou double")
+    scored = joined.withColumn("iou", iou(F.col("_a"), F.col("_b"))).where(F.col("iou") >= min_iou)
+    rank = F.struct((-F.col("_a.w") * F.col("_a.h")).alias("size"), "old_id", (-F.col("iou")).alias("worse"), "new_id")
+    pairs = scored.groupBy("item_id").agg(F.array_sort(F.collect_list(rank)).alias("p"))
+    kind = "array<struct<size:{},old_id:bigint,worse:double,new_id:bigint>>".format(scored.select((-F.col("_a.w") * F.col("_a.h")).alias("s")).schema["s"].dataType.simpleString())
+    taken = F.aggregate("p", F.array().cast(kind), lambda t, x: F.when(F.exists(t, lambda y: (y["old_id"] == x["old_id"]) | (y["new_id"] == x["new_id"])), t).otherwise(F.concat(t, F.array(x))))
+    return pairs.select("item_id", F.explode(taken).alias("t")).select("item_id", "t.old_id", "t.new_id", (-F.col("t.worse")).alias("iou"))
 
 
 def redetect_merge(old: DataFrame, new: DataFrame, min_iou: float = 0.4) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from filmroll.functions.scalars import json_field
+
 NOISE = -1
 
 
@@ -27,7 +29,7 @@ def attach_similarity(distance: Column, manual: Column) -> Column:
 
 def latest_run(runs: DataFrame, manual: bool = False) -> DataFrame:
     """W7. The newest run, or the newest with ``manual`` set in its parameters."""
-    pool = runs.where(F.get_json_object("params", "$.manual").isin("1", "true")) if manual else runs
+    pool = runs.where(json_field(F.col("params"), "$.manual").isin("1", "true")) if manual else runs
     return pool.agg(F.max("run_id").alias("run_id"))
 
 

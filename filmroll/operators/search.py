@@ -95,6 +95,26 @@ def vector_search(vectors: DataFrame, query: list[float], k: int, allowed: DataF
     return scored.orderBy(F.desc("sim"), "vec_id").limit(k)
 
 
+def hybrid_search(items: DataFrame, item_tags: DataFrame, labelled: DataFrame, regions: DataFrame, vectors: DataFrame, query: list[float] | None = None, k: int = 50, tags: list[str] | None = None, people: list[str] | None = None, run_id: int | None = None, min_score: float = 0.0) -> DataFrame:
+    """V1, U2. item_id, path, mean_score and sim of items with all ``tags`` and all ``people`` (of one run, if named), nearest to ``query`` first.
+
+    Without a query vector the best mean score comes first; what is not asked
+    for is null. Filters go before the scores; ``vectors``: item_id, embedding.
+    """
+    pool = items.select("item_id", "path")
+    if tags:
+        pool = search_by_all_tags(item_tags, items, tags, min_score).select("item_id", "path", "mean_score")
+    else:
+        pool = pool.withColumn("mean_score", F.lit(None).cast("double"))
+    if people:
+        pool = pool.join(search_by_all_people(labelled, regions, people, run_id), "item_id", "left_semi")
+    if query is None:
+        return pool.withColumn("sim", F.lit(None).cast("double")).orderBy(F.desc_nulls_last("mean_score"), "item_id").limit(k)
+    asked = vectors.select("item_id", "embedding").where("embedding IS NOT NULL").join(pool, "item_id")
+    scored = asked.select("item_id", "path", "mean_score", cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])).alias("sim"))
+    return scored.orderBy(F.desc("sim"), "item_id").limit(k)
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column | str], k: int) -> DataFrame:
     """W2, W3. The first k rows of each group."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("long")).where(F.col("rank") <= k)

@@ -62,7 +62,7 @@ def top2(vectors: DataFrame, identities: DataFrame, excluded: DataFrame | None =
     sent to the executors; more are dealt into blocks, and the blocks' winners
     are merged.
     """
-    sims = staged(vectors.select("region_id", "embedding").where("embedding IS NOT NULL"))
+    sims = vectors.select("region_id", "embedding").where("embedding IS NOT NULL")
     if excluded is not None:
         lists = excluded.groupBy("region_id").agg(F.collect_set("label").alias("excluded"))
         sims = sims.join(lists, "region_id", "left")
@@ -70,9 +70,11 @@ def top2(vectors: DataFrame, identities: DataFrame, excluded: DataFrame | None =
         sims = sims.withColumn("excluded", F.lit(None).cast("array<string>"))
     known = identities.select("name", "centroid").orderBy("name")
     if small(known, MATRIX_ROWS):
-        rows = known.collect()
-        blocks = [([r["name"] for r in rows], [r["centroid"] for r in rows])]
-        return sims.mapInArrow(_scorer(blocks), TOP2)
+        by_dim: dict[int, list] = {}
+        for r in known.where("centroid IS NOT NULL").collect():
+            by_dim.setdefault(len(r["centroid"]), []).append(r)
+        fixed = {dim: ([r["name"] for r in rows], _unit([r["centroid"] for r in rows])) for dim, rows in by_dim.items()}
+        return sims.mapInArrow(_scorer(sims.sparkSession.sparkContext.broadcast(fixed)), TOP2)  # MATRIX_ROWS at most
     numbered = staged(known.withColumn("block", F.pmod(F.xxhash64("name"), F.ceil(F.lit(known.count() / BLOCK_ROWS)))))
     block_rows = numbered.groupBy("block").agg(F.collect_list(F.struct("name", "centroid")).alias("identities"))
     tasks = sims.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-known.count() // BLOCK_ROWS) - 1)).cast("array<bigint>")))
@@ -82,8 +84,8 @@ def top2(vectors: DataFrame, identities: DataFrame, excluded: DataFrame | None =
     return ranked.where("_n = 1").select("region_id", "name", "sim", F.greatest("second", "_next").alias("second"), F.col("_x").cast("int").alias("n_excluded"))
 
 
-def _scorer(fixed: list | None):
-    """Arrow function that scores batches against one fixed block, or against the block each row carries."""
+def _scorer(fixed: object | None):
+    """Arrow function that scores batches against a broadcast matrix for each dimension, or against the block each row carries."""
 
     def score(names: list[str], matrix: np.ndarray, ids: list, vectors: list, excluded: list) -> list[tuple]:
         out, place = [], {n: i for i, n in enumerate(names)}
@@ -107,13 +109,16 @@ def _scorer(fixed: list | None):
             for i, v in enumerate(cols["embedding"]):
                 groups.setdefault((len(v), cols["block"][i] if fixed is None else 0), []).append(i)
             for (dim, _), rows in groups.items():
-                known = fixed[0] if fixed is not None else tuple(zip(*[(x["name"], x["centroid"]) for x in cols["identities"][rows[0]]], strict=True))
-                own = [(n, c) for n, c in zip(*known, strict=True) if c is not None and len(c) == dim]
+                if fixed is not None:
+                    names, matrix = fixed.value.get(dim, ([], None))
+                else:
+                    own = [x for x in cols["identities"][rows[0]] if x["centroid"] is not None and len(x["centroid"]) == dim]
+                    names, matrix = [x["name"] for x in own], _unit([x["centroid"] for x in own]) if own else None
                 ids = [cols["region_id"][i] for i in rows]
-                if not own:
+                if not names:
                     out += [(i, None, None, None, 0) for i in ids]
                     continue
-                out += score([n for n, _ in own], _unit([c for _, c in own]), ids, [cols["embedding"][i] for i in rows], [cols["excluded"][i] for i in rows])
+                out += score(names, matrix, ids, [cols["embedding"][i] for i in rows], [cols["excluded"][i] for i in rows])
             columns = list(zip(*out, strict=True)) or [()] * 5
             types = (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in TOP2.split(", ")])
@@ -129,7 +134,7 @@ def auto_attach(vectors: DataFrame, identities: DataFrame, threshold: float = 0.
     """
     found = top2(vectors, identities, excluded)
     limits = identities.select("name", validate_threshold(auto_verify, F.col("sim_n"), F.col("sim_mean"), F.col("sim_m2")).alias("_limit"))
-    joined = found.join(limits, "name", "left")
+    joined = found.join(limits.hint("broadcast" if small(limits, MATRIX_ROWS) else "merge"), "name", "left")
     status = F.when(F.col("sim").isNull() | (F.col("sim") < threshold), "below").when(F.col("second").isNotNull() & (F.col("sim") - F.col("second") < margin), "ambiguous").otherwise("matched")
     return joined.withColumn("status", status).withColumn("validated", (F.col("status") == "matched") & (F.col("sim") >= F.col("_limit"))).select("region_id", "name", "sim", "second", "n_excluded", "status", "validated")
 
@@ -150,13 +155,16 @@ def persist_attach(attached: DataFrame, vectors: DataFrame, identities: DataFram
     means = centroids(matched.join(vectors.select("region_id", "embedding"), "region_id"), "name")
     stats = running_stats(matched, "name", "sim").select("name", F.struct(F.col("n"), F.col("mean"), F.col("m2")).alias("_s"))
     old = F.struct(F.col("sim_n").alias("n"), F.col("sim_mean").alias("mean"), F.col("sim_m2").alias("m2"))
-    folded = identities.join(means.select("name", F.col("n").alias("_n"), F.col("centroid").alias("_c")), "name").join(stats, "name").withColumn("_m", merge_stats(old, F.col("_s")))
+    folded = identities.join(means.select("name", F.col("n").alias("_n"), F.col("centroid").alias("_c")).hint("merge"), "name").join(stats, "name").withColumn("_m", merge_stats(old, F.col("_s")))
+    item = vectors.select("region_id", F.col("item_id") if "item_id" in vectors.columns else F.lit(None).cast("long").alias("item_id"))
+    log = matched.join(item, "region_id").join(clusters.select(F.col("label_user").alias("name"), "cluster_id"), "name")
+    log = log.select("region_id", "item_id", F.lit("named").alias("action"), "cluster_id", "name", F.current_timestamp().alias("created_at"))
     return {
         "clusters": clusters,
         "assignments": matched.join(clusters.select(F.col("label_user").alias("name"), "cluster_id"), "name").select("region_id", "cluster_id", (1 - F.col("sim")).alias("distance"), F.lit("cosine_dist").alias("distance_kind")),
         "identities": folded.select("name", blend(F.col("centroid"), F.col("n_samples"), F.col("_c"), F.col("_n")).alias("centroid"), (F.col("n_samples") + F.col("_n")).alias("n_samples"), F.col("_m.n").alias("sim_n"), F.col("_m.mean").alias("sim_mean"), F.col("_m.m2").alias("sim_m2")),
         "verified": matched.where("validated").select("region_id", F.lit(1).alias("user_verified")),
-        "log": matched.select("region_id", F.lit("named").alias("action"), "name"),
+        "log": log,
         "detach": matched.select("region_id"),
     }
 

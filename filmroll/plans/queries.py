@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filmroll.functions import scalars as X
-from filmroll.operators import audit, clustering, feedback, matching, people, places, search, vectors
+from filmroll.operators import audit, clustering, feedback, matching, people, places, rules, search, vectors
 from filmroll.plans.views import ctes, view
 from filmroll.sources import export, files, tables
 
@@ -165,22 +165,25 @@ def _(item_tags, members, tag_category, cluster_category, item_category):
     return search.categories_for_items(item_tags, members, tag_category, cluster_category, item_category).select("item_id", joined("categories").alias("categories"))
 
 
-@query("a21_category_counts", "tag_category", "cluster_category", sql="""
+@query("a21_category_counts", "region", "tag_category", "cluster_category", sql="""
 SELECT category, CAST(sum(is_tag) AS BIGINT) AS n_tags, CAST(sum(is_cluster) AS BIGINT) AS n_clusters FROM (
   SELECT r_name AS category, 0 AS is_tag, 0 AS is_cluster FROM region UNION ALL SELECT category, 1, 0 FROM tag_category UNION ALL SELECT category, 0, 1 FROM cluster_category) t GROUP BY category""")
-def _(tag_category, cluster_category):
-    names = tag_category.sparkSession.table("region").select(F.col("r_name").alias("category"))
-    tagged = tag_category.groupBy("category").agg(F.count("*").alias("n_tags"))
-    clustered = cluster_category.groupBy("category").agg(F.count("*").alias("n_clusters"))
-    return names.join(tagged, "category", "left").join(clustered, "category", "left").fillna(0)
+def _(region, tag_category, cluster_category):
+    return rules.category_counts(region.select(F.col("r_name").alias("category")), tag_category, cluster_category)
 
 
 @query("j18_list_rules", "tag_category", "cluster_category", "item_category", sql="""
 SELECT 'tag' AS layer, tag AS target, category FROM tag_category UNION ALL SELECT 'cluster', CAST(cluster_id AS VARCHAR), category FROM cluster_category
 UNION ALL SELECT 'item', CAST(item_id AS VARCHAR), category FROM item_category""")
 def _(tag_category, cluster_category, item_category):
-    row = lambda df, layer, key: df.select(F.lit(layer).alias("layer"), F.col(key).cast("string").alias("target"), "category")
-    return tables.union_all([row(tag_category, "tag", "tag"), row(cluster_category, "cluster", "cluster_id"), row(item_category, "item", "item_id")])
+    return rules.list_rules(tag_category, cluster_category, item_category)
+
+
+@query("j18_add_rules_rejected", "tag_category", "region", "nation", sql="""
+SELECT n_name AS tag, 'ASIA' AS category, 'unknown target' AS reason FROM nation UNION ALL SELECT tag, 'NOWHERE', 'unknown category' FROM tag_category""")
+def _(tag_category, region, nation):
+    new = nation.select(F.col("n_name").alias("tag"), F.lit("ASIA").alias("category")).union(tag_category.select("tag", F.lit("NOWHERE")))
+    return rules.add_rules(tag_category, new, tag_category, region.select(F.col("r_name").alias("category")))[1]
 
 
 # --- regions and people
@@ -284,9 +287,8 @@ def _(clusters):
 
 @query("p07_cluster_order", "clusters", sql="SELECT cluster_id, row_number() OVER (ORDER BY (label_user IS NULL), size DESC, cluster_id) AS place FROM clusters")
 def _(clusters):
-    from pyspark.sql.window import Window as W
-
-    return clusters.select("cluster_id", F.row_number().over(W.orderBy(F.col("label_user").isNull(), F.desc("size"), "cluster_id")).cast("long").alias("place"))
+    listed = people.cluster_order(clusters).select("cluster_id").collect()  # a page of a list, as the caller shows it
+    return clusters.sparkSession.createDataFrame([(r["cluster_id"], i + 1) for i, r in enumerate(listed)], "cluster_id int, place long")
 
 
 @query("w05_split_label", "clusters", sql="""
@@ -392,11 +394,11 @@ def _(clusters, identities):
 _MAPPING = "SELECT CASE WHEN n_nationkey % 4 = 0 THEN n_name ELSE CAST(1000 + n_nationkey AS VARCHAR) END AS key, n_name AS value FROM nation"
 
 
-@query("s15_rename_bulk_rejected", "identities", "clusters", sql=f"""
+@query("s15_rename_bulk_rejected", "nation", "clusters", sql=f"""
 SELECT key, CASE WHEN try_cast(key AS BIGINT) IS NULL THEN 'not a number' WHEN c.cluster_id IS NULL THEN 'unknown cluster' ELSE 'noise' END AS reason
 FROM ({_MAPPING}) m LEFT JOIN clusters c ON try_cast(key AS BIGINT) = c.cluster_id WHERE c.cluster_id IS NULL OR c.cluster_no = -1""")
-def _(identities, clusters):
-    mapping = identities.sparkSession.table("nation").selectExpr("CASE WHEN n_nationkey % 4 = 0 THEN n_name ELSE CAST(1000 + n_nationkey AS STRING) END AS key", "n_name AS value")
+def _(nation, clusters):
+    mapping = nation.selectExpr("CASE WHEN n_nationkey % 4 = 0 THEN n_name ELSE CAST(1000 + n_nationkey AS STRING) END AS key", "n_name AS value")
     return feedback.rename_bulk(clusters, mapping)[1]
 
 
@@ -711,3 +713,197 @@ def _(v):
 def _(regions):
     boxes = regions.selectExpr("region_id", "item_id", "user_verified", "det_score", "named_struct('x', CAST(region_id % 50 AS INT), 'y', CAST(region_id % 40 AS INT), 'w', w + 20, 'h', h + 20) AS box")
     return matching.match_boxes(boxes.where("user_verified = 1"), boxes.where("user_verified IS NULL")).select("item_id", "old_id", "new_id", F.round("iou", 6).alias("iou"))
+
+
+# --- composed searches, naming, backfill
+
+
+@query("v01_hybrid_search", "items", "item_tags", "labelled", "regions", "vectors", sql="""
+SELECT h.item_id, h.path, h.mean_score, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS sim FROM (
+  SELECT t.item_id, any_value(path) AS path, round(avg(score), 6) AS mean_score FROM item_tags t JOIN items i ON t.item_id = i.item_id WHERE tag = 'Brand#1' AND score >= 0.2 GROUP BY t.item_id) h
+JOIN vectors v ON v.vec_id = h.item_id CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 7) q
+WHERE h.item_id IN (SELECT r.item_id FROM labelled l JOIN regions r ON l.region_id = r.region_id WHERE run_id = 2 AND label_user = 'ARGENTINA')
+ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, h.item_id LIMIT 50""")
+def _(items, item_tags, labelled, regions, v):
+    asked = v.where("vec_id = 7").first()["embedding"]
+    found = search.hybrid_search(items, item_tags, labelled, regions, v.select(F.col("vec_id").alias("item_id"), "embedding"), asked, 50, ["Brand#1"], ["ARGENTINA"], 2, 0.2)
+    return found.select("item_id", "path", r6("mean_score"), F.round("sim", 5).alias("sim"))
+
+
+_NAMING = "naming AS (SELECT CAST(1000 + n_nationkey AS INT) AS cluster_id, CASE WHEN n_nationkey % 5 <> 0 THEN lower(n_name) END AS label FROM nation)"
+
+
+def _naming(nation):
+    return nation.selectExpr("CAST(1000 + n_nationkey AS INT) AS cluster_id", "CASE WHEN n_nationkey % 5 <> 0 THEN lower(n_name) END AS label")
+
+
+@query("v15_name_clusters", "clusters", "nation", "vectors", sql=f"WITH {_NAMING} SELECT c.cluster_id, CASE WHEN n.cluster_id IS NOT NULL AND c.cluster_no <> -1 THEN n.label ELSE c.label_user END AS label_user FROM clusters c LEFT JOIN naming n ON c.cluster_id = n.cluster_id")
+def _(clusters, nation, v):
+    members = v.select((F.lit(1001) + F.col("vec_id") % 10).cast("int").alias("cluster_id"), "embedding")
+    return feedback.name_clusters(clusters, _naming(nation), members, _identities(v))["clusters"].select("cluster_id", "label_user")
+
+
+@query("v15_named_identities", "clusters", "nation", "vectors", sql=f"""
+WITH {_NAMING}, m AS (SELECT n.label, v.embedding FROM vectors v JOIN clusters c ON c.cluster_id = 1001 + v.vec_id % 10 JOIN naming n ON n.cluster_id = c.cluster_id WHERE n.label IS NOT NULL AND c.cluster_no <> -1)
+SELECT label AS name, count(*) AS n_samples, round(avg(embedding[1]::DOUBLE), 5) AS first FROM m GROUP BY label""")
+def _(clusters, nation, v):
+    members = v.select((F.lit(1001) + F.col("vec_id") % 10).cast("int").alias("cluster_id"), "embedding")
+    found = feedback.name_clusters(clusters, _naming(nation), members, _identities(v).limit(0))["identities"]
+    return found.select("name", "n_samples", F.round(F.col("centroid")[0], 5).alias("first"))
+
+
+@query("v15_naming_rejected", "clusters", "nation", "vectors", sql=f"WITH {_NAMING} SELECT n.cluster_id, CASE WHEN c.cluster_id IS NULL THEN 'unknown cluster' ELSE 'noise' END AS reason FROM naming n LEFT JOIN clusters c ON n.cluster_id = c.cluster_id WHERE c.cluster_id IS NULL OR c.cluster_no = -1")
+def _(clusters, nation, v):
+    return feedback.name_clusters(clusters, _naming(nation), v.select(F.lit(0).alias("cluster_id"), "embedding").limit(0), _identities(v))["rejected"]
+
+
+@query("v16_rename_identities", "vectors", sql=f"""
+WITH {_CENTROIDS}, r AS (SELECT CASE WHEN label % 3 = 1 THEN CAST(label - 1 AS VARCHAR) WHEN label % 3 = 2 THEN concat('new ', CAST(label AS VARCHAR)) ELSE CAST(label AS VARCHAR) END AS name, centroid[1] AS x, n FROM cent WHERE label % 15 <> 6)
+SELECT name, CAST(sum(n) AS BIGINT) AS n_samples, round(sum(x * n) / sum(n), 5) AS first FROM r GROUP BY name""")
+def _(v):
+    known = _identities(v)
+    mapping = known.selectExpr("name AS old", "CASE WHEN CAST(name AS INT) % 3 = 1 THEN CAST(CAST(name AS INT) - 1 AS STRING) WHEN CAST(name AS INT) % 3 = 2 THEN concat('new ', name) WHEN CAST(name AS INT) % 15 = 6 THEN '' ELSE name END AS new")
+    return feedback.rename_identities(known, mapping).select("name", "n_samples", F.round(F.col("centroid")[0], 5).alias("first"))
+
+
+@query("v17_merge_identities", "vectors", sql=f"""
+WITH {_CENTROIDS}, p AS (SELECT a.label AS s, a.centroid[1] AS sx, a.n AS sn, b.centroid[1] AS lx, b.n AS ln FROM cent a JOIN cent b ON b.label = a.label + 1 WHERE a.label % 2 = 0)
+SELECT CAST(s AS VARCHAR) AS name, sn + ln AS n_samples, round((sx * least(sn, 200) + lx * ln) / (least(sn, 200) + ln), 5) AS first FROM p""")
+def _(v):
+    known = _identities(v)
+    mapping = known.selectExpr("name AS survivor", "CAST(CAST(name AS INT) + 1 AS STRING) AS loser").where("CAST(survivor AS INT) % 2 = 0")
+    return vectors.merge_identities(known, mapping)[0].select("name", "n_samples", F.round(F.col("centroid")[0], 5).alias("first"))
+
+
+@query("v05_attach_log", "vectors", sql=f"""
+WITH {_CENTROIDS}, {_SIMS}, {_TOP2} SELECT region_id, region_id * 10 AS item_id, 'named' AS action, name, dense_rank() OVER (ORDER BY name) AS cluster_id FROM top2 WHERE {_STATUS} = 'matched'""")
+def _(v):
+    regions = _regions_of(v).withColumn("item_id", F.col("region_id") * 10)
+    found = vectors.auto_attach(regions, _identities(v), 0.1, 0.02, 0.3)
+    return vectors.persist_attach(found, regions, _identities(v), 3)["log"].select("region_id", "item_id", "action", "name", F.col("cluster_id").cast("long").alias("cluster_id"))
+
+
+@query("a16_blend_centroids", "vectors", sql=f"WITH {_CENTROIDS} SELECT label, round((centroid[1] * 200 + centroid[2] * n) / (200 + n), 5) AS first FROM cent")
+def _(v):
+    means = vectors.centroids(v, "label")
+    shifted = F.concat(F.slice("centroid", 2, 1000), F.slice("centroid", 1, 1))
+    return means.select("label", F.round(vectors.blend(F.col("centroid"), F.lit(5000), shifted, F.col("n"))[0], 5).alias("first"))
+
+
+@query("f08_metadata_backfill", "items", sql="""
+SELECT CASE WHEN item_id % 3 = 0 THEN 'skipped' WHEN item_id % 5 = 0 THEN 'missing' WHEN item_id % 7 = 0 THEN 'empty' ELSE 'filled' END AS status, count(*) AS n FROM items GROUP BY 1""")
+def _(items):
+    known = items.select("item_id", F.when(F.col("item_id") % 3 == 0, F.create_map(F.lit("make"), F.lit("x"))).alias("metadata"))
+    raw = items.where("item_id % 5 <> 0").select("item_id", F.when(F.col("item_id") % 7 == 0, F.create_map(F.lit("Other"), F.lit("x"))).otherwise(F.create_map(F.lit("Make"), F.col("hash"))).alias("raw"))
+    return files.metadata_backfill(known, raw)[1]
+
+
+# --- scalar functions
+
+
+@query("f01_degrees", "points", sql="SELECT item_id, round((floor(abs(lat)) + 30 / 60.0 + 15 / 3600.0) * CASE WHEN lat < 0 THEN -1 ELSE 1 END, 6) AS degrees FROM points")
+def _(points):
+    parts = F.array(F.floor(F.abs("lat")).cast("double"), F.lit(30.0), F.lit(15.0))
+    return points.select("item_id", F.round(X.dms_to_degrees(parts, F.when(F.col("lat") < 0, " s").otherwise("N")), 6).alias("degrees"))
+
+
+@query("f02_dates", "items", sql="SELECT item_id, CASE item_id % 3 WHEN 0 THEN strftime(mtime, '%Y-%m-%dT%H:%M:%S') WHEN 1 THEN 'garbage' END AS taken_at FROM items")
+def _(items):
+    text = F.when(F.col("item_id") % 3 == 0, F.date_format("mtime", "yyyy:MM:dd HH:mm:ss")).when(F.col("item_id") % 3 == 1, " garbage ").otherwise("  ")
+    return items.select("item_id", X.parse_date(text).alias("taken_at"))
+
+
+@query("f03_clean_text", "nation", sql="SELECT n_nationkey, CASE WHEN n_nationkey % 4 <> 0 THEN n_name END AS name FROM nation")
+def _(nation):
+    nul = F.lit(chr(0))
+    return nation.select("n_nationkey", X.clean_text(F.when(F.col("n_nationkey") % 4 == 0, F.concat(nul, F.lit("  "))).otherwise(F.concat(F.lit("  "), "n_name", nul, F.lit(" ")))).alias("name"))
+
+
+@query("f04_rational", "items", sql="SELECT item_id, CASE WHEN item_id % 7 = 0 THEN NULL ELSE round(item_id / CAST(item_id % 7 AS DOUBLE), 6) END AS value FROM items")
+def _(items):
+    return items.select("item_id", F.round(X.rational(F.concat_ws("/", F.col("item_id").cast("string"), (F.col("item_id") % 7).cast("string"))), 6).alias("value"))
+
+
+@query("f05_first_text", "nation", sql="SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'other' END AS text FROM nation")
+def _(nation):
+    return nation.select("n_nationkey", X.first_text(F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise("  "), F.lit("other")).alias("text"))
+
+
+@query("f06_metadata", "nation", sql="SELECT n_nationkey, n_name AS make, CAST(100 + n_nationkey AS INT) AS iso, 2.8::DOUBLE AS f_number, CAST(-(n_nationkey + 0.5) AS DOUBLE) AS lat FROM nation")
+def _(nation):
+    raw = F.create_map(*[c for k, v in (("Make", F.concat(F.col("n_name"), F.lit(" "))), ("ISOSpeedRatings", (100 + F.col("n_nationkey")).cast("string")), ("FNumber", F.lit("28/10")), ("GPSLatitude", F.concat(F.col("n_nationkey").cast("string"), F.lit(", 30, 0"))), ("GPSLatitudeRef", F.lit("S")), ("GPSLongitude", F.lit("1, 0, 0")), ("GPSLongitudeRef", F.lit("E"))) for c in (F.lit(k), v)])
+    return nation.select("n_nationkey", X.normalize_metadata(raw).alias("m")).select("n_nationkey", "m.make", "m.iso", "m.f_number", F.col("m.gps.lat").alias("lat"))
+
+
+@query("f07_json_field", "nation", sql="SELECT n_nationkey, CASE WHEN n_nationkey % 3 <> 0 THEN n_name END AS name FROM nation")
+def _(nation):
+    text = F.when(F.col("n_nationkey") % 3 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("n_name").alias("a"))))
+    return nation.select("n_nationkey", X.json_field(text, "$.a").alias("name"))
+
+
+_BOXES = "b AS (SELECT region_id, region_id % 50 AS ax, region_id % 40 AS ay, w + 20 AS aw, h + 20 AS ah, region_id % 45 AS bx, region_id % 35 AS \"by\", w + 10 AS bw, h + 30 AS bh FROM regions), o AS (SELECT *, greatest(least(ax + aw, bx + bw) - greatest(ax, bx), 0) * greatest(least(ay + ah, \"by\" + bh) - greatest(ay, \"by\"), 0) AS common FROM b)"
+
+
+@query("f11_iou", "regions", sql=f"WITH {_BOXES} SELECT region_id, round(common / CAST(aw * ah + bw * bh - common AS DOUBLE), 6) AS iou FROM o")
+def _(regions):
+    box = lambda x, y, w, h: F.struct((F.col("region_id") % x).cast("int").alias("x"), (F.col("region_id") % y).cast("int").alias("y"), (F.col("w") + w).alias("w"), (F.col("h") + h).alias("h"))
+    return regions.select("region_id", F.round(X.iou(box(50, 40, 20, 20), box(45, 35, 10, 30)), 6).alias("iou"))
+
+
+@query("f12_exposure", "nation", sql="SELECT n_nationkey, printf('f/%.1f 1/%ds ISO %d %.0fmm', 2.8, 50 + n_nationkey, 100 + n_nationkey, 35.0) AS line FROM nation")
+def _(nation):
+    return nation.select("n_nationkey", X.exposure_summary(F.lit(2.8), 1 / (50 + F.col("n_nationkey")).cast("double"), 100 + F.col("n_nationkey"), F.lit(35.0)).alias("line"))
+
+
+@query("s15_mapping_not_text", "nation", "clusters", sql="""
+SELECT CAST(cluster_id AS VARCHAR) AS key, 'not a text' AS reason FROM clusters WHERE cluster_no <> -1 AND cluster_id % 2 = 0""")
+def _(nation, clusters):
+    entry = F.concat(F.lit('{"'), F.col("cluster_id").cast("string"), F.lit('": '), F.when(F.col("cluster_id") % 2 == 0, "17").otherwise('"x"'), F.lit("}"))
+    return feedback.rename_bulk(clusters, feedback.read_mapping(clusters.where("cluster_no <> -1").select(entry.alias("j")), "j"))[1]
+
+
+# --- purge, sidecars, constraints
+
+
+@query("s11_purge", "regions", "assignments", "identities", "corrections", sql="""
+SELECT 'regions' AS name, 0::BIGINT AS n UNION ALL SELECT 'assignments', 0 UNION ALL SELECT 'identities', count(*) FROM identities UNION ALL SELECT 'corrections', count(*) FROM corrections""")
+def _(regions, assignments, identities, corrections):
+    left = tables.purge({"regions": regions, "assignments": assignments, "identities": identities, "corrections": corrections})
+    return tables.union_all([t.agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n, t in left.items()])
+
+
+@query("s18_sidecar_diff", "items", sql="SELECT CASE WHEN item_id % 2 = 0 AND item_id % 3 = 0 THEN 'skipped' ELSE 'written' END AS status, count(*) AS n FROM items GROUP BY 1")
+def _(items):
+    plan = items.select("path", "mtime", F.array("hash", F.lit("x")).alias("subjects"))
+    existing = items.where("item_id % 2 = 0").select("path", F.col("mtime").alias("sidecar_mtime"), F.when(F.col("item_id") % 3 == 0, F.array(F.lit("x"), F.col("hash"))).otherwise(F.array(F.lit("y"))).alias("existing_subjects"))
+    return export.sidecar_diff(plan, existing).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("s19_sidecar_packets", "nation", sql="""
+SELECT concat(n_name, '.xmp') AS sidecar_path, concat('<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:lr="http://ns.adobe.com/lightroom/1.0/"><dc:subject><rdf:Bag><rdf:li>',
+  n_name, '</rdf:li><rdf:li>a &amp; &lt;b&gt;</rdf:li></rdf:Bag></dc:subject><lr:hierarchicalSubject><rdf:Bag><rdf:li>c|', n_name, '</rdf:li></rdf:Bag></lr:hierarchicalSubject></rdf:Description></rdf:RDF></x:xmpmeta>') AS body FROM nation""")
+def _(nation):
+    plan = nation.select(F.col("n_name").alias("path"), F.array("n_name", F.lit("a & <b>")).alias("subjects"), F.array(F.concat(F.lit("c|"), "n_name")).alias("hierarchical"))
+    return export.sidecar_packets(plan)
+
+
+@query("v13_apply_constraints", "corrections", "clusters", sql=f"""
+WITH {_INTENT}, gone AS (SELECT DISTINCT l.region_id, c.label_user AS label FROM corrections l JOIN clusters c ON l.cluster_id = c.cluster_id WHERE action = 'unassigned' AND label_user IS NOT NULL),
+cannot AS (SELECT DISTINCT least(g.region_id, i.region_id) AS src, greatest(g.region_id, i.region_id) AS dst FROM gone g JOIN intent i ON i.name = g.label AND i.action = 'named' WHERE g.region_id <> i.region_id),
+must AS (SELECT min(region_id) OVER (PARTITION BY name) AS src, region_id AS dst FROM intent WHERE action = 'named'),
+edges AS (SELECT DISTINCT region_id AS src, region_id + 1 AS dst, 0.5::DOUBLE AS weight FROM corrections UNION ALL SELECT src, dst, 0.0::DOUBLE FROM must WHERE src <> dst)
+SELECT e.src, e.dst, min(weight) AS weight FROM edges e LEFT JOIN cannot c ON e.src = c.src AND e.dst = c.dst WHERE c.src IS NULL GROUP BY e.src, e.dst""")
+def _(corrections, clusters):
+    edges = corrections.select(F.col("region_id").alias("src"), (F.col("region_id") + 1).alias("dst"), F.lit(0.5).alias("weight")).distinct()
+    return feedback.apply_constraints(edges, feedback.must_links(corrections), feedback.rejections(corrections, clusters))
+
+
+@query("v21_pick_region", "regions", sql="""
+WITH r AS (SELECT region_id, item_id, region_id % 50 AS x, region_id % 40 AS y, w + 20 AS w, h + 20 AS h, det_score FROM regions),
+q AS (SELECT item_id AS request_id, item_id, min(x) AS x, min(y) AS y FROM r GROUP BY item_id)
+SELECT request_id, region_id FROM (SELECT q.request_id, r.region_id, row_number() OVER (PARTITION BY q.request_id ORDER BY det_score DESC, r.region_id) AS k FROM q JOIN r ON q.item_id = r.item_id
+  WHERE r.x + r.w / 2 BETWEEN q.x AND q.x + 60 AND r.y + r.h / 2 BETWEEN q.y AND q.y + 60) t WHERE k = 1""")
+def _(regions):
+    boxes = regions.selectExpr("region_id", "item_id", "det_score", "named_struct('x', CAST(region_id % 50 AS INT), 'y', CAST(region_id % 40 AS INT), 'w', w + 20, 'h', h + 20) AS box")
+    drawn = boxes.groupBy("item_id").agg(F.struct(F.min("box.x").alias("x"), F.min("box.y").alias("y"), F.lit(60).alias("w"), F.lit(60).alias("h")).alias("box")).select(F.col("item_id").alias("request_id"), "item_id", "box")
+    return people.pick_region(drawn, boxes).select("request_id", "region_id")

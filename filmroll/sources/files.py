@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from filmroll.functions.scalars import normalize_metadata
+
 #: File name endings of images and of raw images.
-EXTENSIONS = ("jpg", "jpeg", "png", "webp", "bmp", "tif", "tiff", "heic", "heif")
-RAW_EXTENSIONS = ("cr2", "cr3", "nef", "arw", "dng", "raf", "orf", "rw2")
+EXTENSIONS = ("jpg", "jpeg", "png", "webp", "tif", "tiff", "heic", "heif", "bmp", "gif")
+RAW_EXTENSIONS = ("cr2", "cr3", "nef", "arw", "raf", "dng", "orf", "rw2")
 
 
 def scan_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, include_raw: bool = False) -> DataFrame:
@@ -54,6 +56,20 @@ def prune(catalog: DataFrame, listing: DataFrame) -> DataFrame:
     return catalog.join(listing.select("path"), "path", "left_anti")
 
 
+def metadata_backfill(items: DataFrame, raw: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """F8. (filled, counts): metadata of items that have none, or of all with ``force``, and the number of items by status.
+
+    ``items``: item_id and metadata; ``raw``: item_id and a map of raw camera
+    fields for the files that could be read. An item is skipped (it has
+    metadata), missing (no file), empty (the file says nothing) or filled.
+    """
+    read = raw.select("item_id", F.col("raw").alias("_raw"), F.lit(True).alias("_read"))
+    joined = items.select("item_id", F.col("metadata").isNotNull().alias("_has")).join(read, "item_id", "left").withColumn("_new", normalize_metadata(F.col("_raw")))
+    status = F.when(F.col("_has") & F.lit(not force), "skipped").when(F.col("_read").isNull(), "missing").when(F.col("_new").isNull(), "empty").otherwise("filled")
+    judged = joined.withColumn("status", status)
+    return judged.where("status = 'filled'").select("item_id", F.col("_new").alias("metadata")), judged.groupBy("status").agg(F.count("*").alias("n"))
+
+
 def ingest_counts(status: DataFrame) -> DataFrame:
     """A23. Number of rows by status."""
     return status.groupBy("status").agg(F.count("*").alias("n"))

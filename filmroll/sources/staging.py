@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` under spark.checkpoint.dir (a temporary folder where none is set) and read it back."""
+    """Write ``df`` under spark.checkpoint.dir and read it back; a temporary folder serves only a session of one process, as in tests."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         root = tempfile.mkdtemp(prefix="filmroll-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/staged-{uuid.uuid4().hex}"

@@ -336,3 +336,51 @@ def test_sidecars(spark):
     assert {r.path: r.status for r in export.sidecar_diff(plan, there).collect()} == {"a": "skipped", "b": "written"}
     packet = export.sidecar_packets(plan).where("sidecar_path = 'a.xmp'").first().body
     assert "<rdf:li>x &amp; y</rdf:li>" in packet and "c|z" in packet
+
+
+def test_gif_files_are_listed(spark, tmp_path):
+    for name in ("a.gif", "b.JPG", "c.txt", "d.raf"):
+        (tmp_path / name).write_bytes(b"x")
+    found = [r.path.rsplit("/", 1)[1] for r in files.scan_files(spark, str(tmp_path)).collect()]
+    assert sorted(found) == ["a.gif", "b.JPG"]
+
+
+def test_boxes_are_matched_like_a_plain_greedy_choice(spark):
+    rng = random.Random(31)
+    box = lambda: tuple(rng.randint(0, 12) for _ in range(2)) + tuple(rng.randint(4, 12) for _ in range(2))
+    old, new = ([(i, i % 4, box()) for i in range(n, n + 40)] for n in (0, 100))
+    schema = "region_id long, item_id long, box struct<x:int,y:int,w:int,h:int>"
+    got = {(r.item_id, r.old_id, r.new_id) for r in matching.match_boxes(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), 0.2).collect()}
+
+    def overlap(a, b):
+        w, h = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]), min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+        common = max(w, 0) * max(h, 0)
+        return common / (a[2] * a[3] + b[2] * b[3] - common)
+
+    want, used = set(), set()
+    for i, item, a in sorted(old, key=lambda r: (-r[2][2] * r[2][3], r[0])):
+        free = [(-overlap(a, b), j) for j, other, b in new if other == item and j not in used and overlap(a, b) >= 0.2]
+        if free:
+            used.add(min(free)[1])
+            want.add((item, i, min(free)[1]))
+    assert got == want and len(want) > 10
+
+
+def test_an_auction_that_does_not_end_says_so(spark):
+    both = [(f"c{i}", [1.0, 0.01 * i]) for i in range(5)]
+    one = spark.createDataFrame(both, "cluster string, vector array<double>")
+    with pytest.raises(RuntimeError, match="did not end"):
+        matching.match_one_to_one(one, one.withColumnRenamed("cluster", "name"), -1.0, rounds=1)
+
+
+def test_orphans_are_adopted(spark):
+    v = spark.createDataFrame([(i, [1.0, 0.01 * i]) for i in range(3)] + [(i, [0.0, 1.0]) for i in range(3, 6)], "vec_id long, embedding array<double>")
+    clusters = spark.createDataFrame([(1, 0, 3), (1, 1, 2), (1, -1, 1)], "run_id int, cluster_no int, size long")
+    members = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, -1)], "vec_id long, cluster_no int")
+    known = spark.createDataFrame([("Anne", [1.0, 0.0])], "name string, centroid array<double>")
+    old = spark.createDataFrame([(0, 9), (5, 9), (7, 9)], "region_id long, run_id int")
+    changes = clustering.adopt_orphans((clusters, members), v, known, old)
+    assert {r.cluster_no: r.label_user for r in changes["clusters"].collect()} == {0: "Anne", 1: None, -1: None}
+    assert ids(changes["assignments"]) == [5, 7]
+    row = clustering.run_row(spark, 4, eps=0.5, min_size=3).first()
+    assert row.run_id == 4 and row.params == '{"eps": 0.5, "min_size": 3}' and row.created_at is not None
