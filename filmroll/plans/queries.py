@@ -67,10 +67,10 @@ def _(item_tags, items, members):
 
 
 @query("j10_search_by_all_people", "labelled", "regions", sql="""
-SELECT r.item_id FROM labelled l JOIN regions r ON l.region_id = r.region_id WHERE label_user IN ('ARGENTINA', 'CANADA', 'GERMANY')
-GROUP BY r.item_id HAVING count(DISTINCT label_user) = (SELECT count(DISTINCT label_user) FROM labelled WHERE label_user IN ('ARGENTINA', 'CANADA', 'GERMANY'))""")
+SELECT r.item_id FROM labelled l JOIN regions r ON l.region_id = r.region_id WHERE label_user IN ('NATION_1', 'NATION_2', 'NATION_4')
+GROUP BY r.item_id HAVING count(DISTINCT label_user) = (SELECT count(DISTINCT label_user) FROM labelled WHERE label_user IN ('NATION_1', 'NATION_2', 'NATION_4'))""")
 def _(labelled, regions):
-    names = [r[0] for r in labelled.where(F.col("label_user").isin("ARGENTINA", "CANADA", "GERMANY")).select("label_user").distinct().collect()]
+    names = [r[0] for r in labelled.where(F.col("label_user").isin("NATION_1", "NATION_2", "NATION_4")).select("label_user").distinct().collect()]
     return search.search_by_all_people(labelled, regions, names)
 
 
@@ -722,11 +722,11 @@ def _(regions):
 SELECT h.item_id, h.path, h.mean_score, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS sim FROM (
   SELECT t.item_id, any_value(path) AS path, round(avg(score), 6) AS mean_score FROM item_tags t JOIN items i ON t.item_id = i.item_id WHERE tag = 'Brand#1' AND score >= 0.2 GROUP BY t.item_id) h
 JOIN vectors v ON v.vec_id = h.item_id CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 7) q
-WHERE h.item_id IN (SELECT r.item_id FROM labelled l JOIN regions r ON l.region_id = r.region_id WHERE run_id = 2 AND label_user = 'ARGENTINA')
+WHERE h.item_id IN (SELECT r.item_id FROM labelled l JOIN regions r ON l.region_id = r.region_id WHERE run_id = 2 AND label_user = 'NATION_1')
 ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, h.item_id LIMIT 50""")
 def _(items, item_tags, labelled, regions, v):
     asked = v.where("vec_id = 7").first()["embedding"]
-    found = search.hybrid_search(items, item_tags, labelled, regions, v.select(F.col("vec_id").alias("item_id"), "embedding"), asked, 50, ["Brand#1"], ["ARGENTINA"], 2, 0.2)
+    found = search.hybrid_search(items, item_tags, labelled, regions, v.select(F.col("vec_id").alias("item_id"), "embedding"), asked, 50, ["Brand#1"], ["NATION_1"], 2, 0.2)
     return found.select("item_id", "path", r6("mean_score"), F.round("sim", 5).alias("sim"))
 
 
