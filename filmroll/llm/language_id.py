@@ -80,7 +80,7 @@ def ngram_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.concatenate(ids), np.concatenate(owners), letters[:-1]) if ids else (np.empty(0, np.uint32), np.empty(0, np.int64), letters[:-1])
 
 
-def blocks(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, list[str]]]:
+def blocks(batch: pa.RecordBatch, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, list[str]]]:
     """Parts of a batch's texts, about ``most`` characters at once, and the row that each belongs to.
 
     Longer texts are taken apart where a character is no letter, where no n-gram
