@@ -149,7 +149,7 @@ class WordIds:
 
 
 #: Bytes of texts that are encoded at once; a longer text is taken apart at white space.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 _LOADED: dict[str, WordIds] = {}
 
