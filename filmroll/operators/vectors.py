@@ -16,6 +16,8 @@ from filmroll.sources.staging import small, staged
 #: Identities that are sent to every executor as one matrix; more are joined block by block.
 MATRIX_ROWS = 20_000
 BLOCK_ROWS = 4_096
+#: Vectors that meet a block of identities at once.
+PACK_ROWS = 8_192
 
 
 def centroids(vectors: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
@@ -59,15 +61,10 @@ def top2(vectors: DataFrame, identities: DataFrame, excluded: DataFrame | None =
     Identities of another dimension, and those that ``excluded`` (region_id,
     label) names for the region, take no part. Blocks of vectors meet the
     identities as one matrix product and leave one row each. Few identities are
-    sent to the executors; more are dealt into blocks, and the blocks' winners
-    are merged.
+    sent to the executors; more are dealt into blocks that meet packs of
+    vectors, and the blocks' winners are merged.
     """
-    sims = vectors.select("region_id", "embedding").where("embedding IS NOT NULL")
-    if excluded is not None:
-        lists = excluded.groupBy("region_id").agg(F.collect_set("label").alias("excluded"))
-        sims = sims.join(lists, "region_id", "left")
-    else:
-        sims = sims.withColumn("excluded", F.lit(None).cast("array<string>"))
+    sims = _with_excluded(vectors, excluded)
     known = identities.select("name", "centroid").orderBy("name")
     if small(known, MATRIX_ROWS):
         by_dim: dict[int, list] = {}
@@ -75,17 +72,60 @@ def top2(vectors: DataFrame, identities: DataFrame, excluded: DataFrame | None =
             by_dim.setdefault(len(r["centroid"]), []).append(r)
         fixed = {dim: ([r["name"] for r in rows], _unit([r["centroid"] for r in rows])) for dim, rows in by_dim.items()}
         return sims.mapInArrow(_scorer(sims.sparkSession.sparkContext.broadcast(fixed)), TOP2)  # MATRIX_ROWS at most
-    numbered = staged(known.withColumn("block", F.pmod(F.xxhash64("name"), F.ceil(F.lit(known.count() / BLOCK_ROWS)))))
-    block_rows = numbered.groupBy("block").agg(F.collect_list(F.struct("name", "centroid")).alias("identities"))
-    tasks = sims.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-known.count() // BLOCK_ROWS) - 1)).cast("array<bigint>")))
-    partial = tasks.join(block_rows.hint("merge"), "block").mapInArrow(_scorer(None), TOP2)
     order = W.partitionBy("region_id").orderBy(F.desc("sim"), "name")
-    ranked = partial.withColumn("_next", F.lead("sim").over(order)).withColumn("_n", F.row_number().over(order)).withColumn("_x", F.sum("n_excluded").over(W.partitionBy("region_id")))
-    return ranked.where("_n = 1").select("region_id", "name", "sim", F.greatest("second", "_next").alias("second"), F.col("_x").cast("int").alias("n_excluded"))
+    ranked = _block_best(sims, known, 2).withColumn("second", F.lead("sim").over(order)).withColumn("_n", F.row_number().over(order)).withColumn("_x", F.sum("n_excluded").over(W.partitionBy("region_id")))
+    return ranked.where("_n = 1").select("region_id", "name", "sim", "second", F.col("_x").cast("int").alias("n_excluded"))
+
+
+def _with_excluded(vectors: DataFrame, excluded: DataFrame | None) -> DataFrame:
+    """region_id, embedding and the names ``excluded`` (region_id, label) for it, of vectors that are there."""
+    sims = vectors.select("region_id", "embedding").where("embedding IS NOT NULL")
+    if excluded is None:
+        return sims.withColumn("excluded", F.lit(None).cast("array<string>"))
+    return sims.join(excluded.groupBy("region_id").agg(F.collect_set("label").alias("excluded")), "region_id", "left")
 
 
-def _scorer(fixed: object | None):
-    """Arrow function that scores batches against a broadcast matrix for each dimension, or against the block each row carries."""
+def _block_best(sims: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """region_id, name and sim of the ``k`` best of each block of identities for every vector, and n_excluded (in one row of a block).
+
+    Vectors are dealt into packs and identities into blocks; each pack meets
+    each block in a group of its own, of bounded size. A vector without an
+    identity in a block has a row of nulls there.
+    """
+    sims, known = staged(sims), staged(known.where("centroid IS NOT NULL"))
+    n_packs, n_blocks = (max(1, -(-df.count() // most)) for df, most in ((sims, PACK_ROWS), (known, BLOCK_ROWS)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    left = sims.withColumn("pack", F.pmod(F.xxhash64("region_id"), F.lit(n_packs))).withColumn("block", every(n_blocks))
+    right = known.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(n_blocks))).withColumn("pack", every(n_packs))
+
+    def best(pack: pa.Table, block: pa.Table) -> pa.Table:
+        by_dim: dict[int, list[tuple[str, list]]] = {}
+        for name, centroid in sorted(zip(block["name"].to_pylist(), block["centroid"].to_pylist(), strict=True)):
+            by_dim.setdefault(len(centroid), []).append((name, centroid))
+        fixed = {dim: ([n for n, _ in own], _unit([c for _, c in own])) for dim, own in by_dim.items()}
+        out: list[tuple] = []
+        for batch in pack.to_batches(max_chunksize=1024):
+            ids, gone, probes = (batch.column(c).to_pylist() for c in ("region_id", "excluded", "embedding"))
+            for dim in {len(p) for p in probes}:
+                rows = [i for i, p in enumerate(probes) if len(p) == dim]
+                names, matrix = fixed.get(dim, ([], np.zeros((0, dim))))
+                place = {n: i for i, n in enumerate(names)}
+                part = _unit([probes[i] for i in rows]) @ matrix.T
+                hits = [[place[x] for x in gone[i] or () if x in place] for i in rows]
+                for row, hit in zip(part, hits, strict=True):
+                    row[hit] = -np.inf
+                order = np.argsort(-part, axis=1, kind="stable")[:, :k]  # equal ones stay by name
+                for i, row, hit, top in zip(rows, part, hits, order.tolist(), strict=True):
+                    found = [(ids[i], names[j], float(row[j]), 0) for j in top if row[j] > -np.inf] or [(ids[i], None, None, 0)]
+                    out += [(*found[0][:3], len(hit)), *found[1:]]
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.float64(), pa.int32()), strict=True)], names=["region_id", "name", "sim", "n_excluded"])
+
+    return left.groupBy("pack", "block").cogroup(right.groupBy("pack", "block")).applyInArrow(best, "region_id long, name string, sim double, n_excluded int")
+
+
+def _scorer(fixed: object):
+    """Arrow function that scores batches against a broadcast matrix for each dimension."""
 
     def score(names: list[str], matrix: np.ndarray, ids: list, vectors: list, excluded: list) -> list[tuple]:
         out, place = [], {n: i for i, n in enumerate(names)}
@@ -105,15 +145,11 @@ def _scorer(fixed: object | None):
         for batch in batches:
             cols = {n: batch.column(n).to_pylist() for n in batch.schema.names}
             out: list[tuple] = []
-            groups: dict[tuple, list[int]] = {}
+            groups: dict[int, list[int]] = {}
             for i, v in enumerate(cols["embedding"]):
-                groups.setdefault((len(v), cols["block"][i] if fixed is None else 0), []).append(i)
-            for (dim, _), rows in groups.items():
-                if fixed is not None:
-                    names, matrix = fixed.value.get(dim, ([], None))
-                else:
-                    own = [x for x in cols["identities"][rows[0]] if x["centroid"] is not None and len(x["centroid"]) == dim]
-                    names, matrix = [x["name"] for x in own], _unit([x["centroid"] for x in own]) if own else None
+                groups.setdefault(len(v), []).append(i)
+            for dim, rows in groups.items():
+                names, matrix = fixed.value.get(dim, ([], None))
                 ids = [cols["region_id"][i] for i in rows]
                 if not names:
                     out += [(i, None, None, None, 0) for i in ids]
@@ -170,15 +206,19 @@ def persist_attach(attached: DataFrame, vectors: DataFrame, identities: DataFram
 
 
 def suggest(vectors: DataFrame, identities: DataFrame, k: int = 5, excluded: DataFrame | None = None, min_sim: float | None = None, gap: float = 0.05) -> DataFrame:
-    """V2, P12. The k best identities of every vector, but for rejected ones; ambiguous where the first two are close."""
+    """V2, P12. The k best identities of every vector, but for rejected ones; ambiguous where the first two are close.
+
+    More than MATRIX_ROWS identities are met in blocks, each of which gives its k + 1 best.
+    """
     from filmroll.functions.scalars import cosine
 
-    if not small(identities, MATRIX_ROWS):
-        raise ValueError(f"more than {MATRIX_ROWS} identities: use top2")
-    pool = F.broadcast(identities.select("name", "centroid", F.size("centroid").alias("_dim")))
-    pairs = vectors.select("region_id", "embedding", F.size("embedding").alias("_dim")).join(pool, "_dim").select("region_id", "name", cosine(F.col("embedding"), F.col("centroid")).alias("sim"))
-    if excluded is not None:
-        pairs = pairs.join(excluded.select("region_id", F.col("label").alias("name")), ["region_id", "name"], "left_anti")
+    if small(identities, MATRIX_ROWS):
+        pool = F.broadcast(identities.select("name", "centroid", F.size("centroid").alias("_dim")))
+        pairs = vectors.select("region_id", "embedding", F.size("embedding").alias("_dim")).join(pool, "_dim").select("region_id", "name", cosine(F.col("embedding"), F.col("centroid")).alias("sim"))
+        if excluded is not None:
+            pairs = pairs.join(excluded.select("region_id", F.col("label").alias("name")), ["region_id", "name"], "left_anti")
+    else:
+        pairs = _block_best(_with_excluded(vectors, excluded), identities.select("name", "centroid"), k + 1).where("name IS NOT NULL").drop("n_excluded")
     order = W.partitionBy("region_id").orderBy(F.desc("sim"), "name")
     ranked = pairs.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("_next", F.lead("sim").over(order)).where(F.col("rank") <= k)
     ranked = ranked.withColumn("ambiguous", (F.col("rank") == 1) & F.coalesce(F.col("sim") - F.col("_next") < gap, F.lit(False))).drop("_next")

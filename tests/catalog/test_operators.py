@@ -168,9 +168,27 @@ def test_top2_in_blocks_equals_one_matrix(spark, monkeypatch):
     whole = keep(vectors.top2(probes, known, gone))
     monkeypatch.setattr(vectors, "MATRIX_ROWS", 5)
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(vectors, "PACK_ROWS", 15)
     assert keep(vectors.top2(probes, known, gone)) == whole
 
 
+def test_suggest_in_blocks_equals_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"n{i:02d}", [rng.gauss(0, 1) for _ in range(4)], 1) for i in range(25)]
+    known = identities(spark, *rows, ("twin", rows[0][1], 1), ("flat", [1.0, 0.0], 1))  # a tie, and another dimension
+    probes = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(30)] + [(90, [1.0, 1.0]), (91, [1.0]), (92, None)], VECTOR)
+    gone = spark.createDataFrame([(i, f"n{i % 25:02d}") for i in range(30)], "region_id long, label string")
+    keep = lambda df: sorted((r.region_id, r["rank"], round(r.sim, 6), r.ambiguous) for r in df.collect())
+    names = lambda df: {(r.region_id, r.name) for r in df.collect()}
+    whole = vectors.suggest(probes, known, 4, gone, gap=0.2)
+    first = keep(whole), names(whole)
+    monkeypatch.setattr(vectors, "MATRIX_ROWS", 5)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(vectors, "PACK_ROWS", 15)
+    blocks = vectors.suggest(probes, known, 4, gone, gap=0.2)
+    assert (keep(blocks), names(blocks)) == first
+
+
 def test_running_stats_merge(spark):
     sims = [0.85, 0.86, 0.84, 0.95, 0.55]
     stat = lambda x: F.struct(F.lit(len(x)).alias("n"), F.lit(sum(x) / len(x)).alias("mean"), F.lit(sum((v - sum(x) / len(x)) ** 2 for v in x)).alias("m2"))
