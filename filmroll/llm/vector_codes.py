@@ -117,6 +117,15 @@ def _typed(block: np.ndarray, books: list[np.ndarray]) -> tuple[np.ndarray, list
     return block.astype(kind), [b.astype(kind) for b in books]
 
 
+SUMS = "p int, e int, n long, total array<string>"
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    """Position, entry, count and sums of components."""
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["p", "e", "n", "total"])
+
+
 def _learn(rows: DataFrame, books: list[np.ndarray], length: int) -> list[np.ndarray]:
     """The codebooks after one round; sums come from the leaves of every block's tries and meet by position and entry."""
     width = books[0].shape[1]
@@ -131,14 +140,21 @@ def _learn(rows: DataFrame, books: list[np.ndarray], length: int) -> list[np.nda
                 np.add.at(total, codes, parts * weights[:, None])
                 count = np.bincount(codes, weights, len(own[p]))
                 found += [(p, int(e), int(count[e]), [str(v) for v in total[e]]) for e in np.flatnonzero(count)]
-            p, e, n, total = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(e, pa.int32()), pa.array(n, pa.int64()), pa.array(total, pa.list_(pa.string()))], names=["p", "e", "n", "total"])
-
-    partial = rows.select("vector").mapInArrow(sums, "p int, e int, n long, total array<string>")
-    each = partial.select("p", "e", "n", *(F.get("total", F.lit(d)).cast("decimal(38,0)").alias(f"d{d}") for d in range(width)))
+            yield batch_of(found)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], list[int]] = {}
+        for batch in batches:
+            for p, e, n, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = found.setdefault((p, e), [0] * (width + 1))
+                held[:] = [a + int(b) for a, b in zip(held, (n, *total), strict=True)]
+        rows = [(*k, v[0], [str(x) for x in v[1:]]) for k, v in found.items()]
+        yield batch_of(rows)
+
+    partial = rows.select("vector").mapInArrow(sums, SUMS).repartition("p", "e")  # sums may pass 64 bits, so they travel as texts
     learnt = [b.astype(object) for b in books]
-    for row in each.groupBy("p", "e").agg(F.sum("n").alias("n"), *(F.sum(f"d{d}").alias(f"d{d}") for d in range(width))).collect():
-        learnt[row["p"]][row["e"]] = [int(row[f"d{d}"]) // row["n"] for d in range(width)]
+    for row in partial.mapInArrow(add, SUMS).collect():
+        learnt[row["p"]][row["e"]] = [int(x) // row["n"] for x in row["total"]]
     small = all(abs(int(x)) < 1 << 23 for b in learnt for x in b.flat)
     return [b.astype(np.int64) for b in learnt] if small else learnt
 
