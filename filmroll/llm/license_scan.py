@@ -263,11 +263,11 @@ def rules() -> tuple[Rule, ...]:
         key = max(re.findall(r"[a-z0-9]{2,}", re.sub(r"\([^()]*(?:\([^()]*\)[^()]*)*\)\??", "|", name)) or [""], key=len)
         found += [(label, form.format(name), c, key) for form, c in FORMS]
     ordered = sorted(found, key=lambda x: -x[2])
-    return tuple(Rule(label, re.compile(rf"(?<![^ ]){p}(?![^ ])"), c, k, i) for i, (label, p, c, k) in enumerate(ordered))
+    return tuple(Rule(label, re.compile(rf"(?<![^ ])(?:{p})(?![^ ])"), c, k, i) for i, (label, p, c, k) in enumerate(ordered))
 
 
 #: Words of which a text must hold one before any rule is tried.
-ANCHORS = ("licen", "copyright", "reserved", "domain", "warranty", "cc0", "cc by", "gpl", "creative", "redistribut", "permission", "gnu org", "proprietary", "prohibited", "derechos reservados", "droits réservés", "rechte vorbehalten", "unencumbered", "as is", "applicable law", "permitted to copy", "any later version", "invariant sections", "contributors", "advertising", "plainly marked", "misrepresented", "boost org", "the software", "copy of the mpl", "mozilla org", "eclipse org", "eupl", "as perl", "as ruby", "anyone is free", "what the fuck", "beer", "not evil", "font name", "sil org", "openssl project", "php software", "independent jpeg", "opendatacommons", "neighboring rights", "busl", "commons clause", "polyform", "bigscience", "gemma", "mulan psl", "nasa open", "datenlizenz", "package may be copied", "confidential", "trade secret", "may not be", "may be reproduced", "derivative works", "commercial use", "research purposes", "attribution required", "diritti riservati", "direitos reservados", "rechten voorbehouden", "prawa zastrzeżone", "copr", "©")
+ANCHORS = ("licen", "copyright", "reserved", "domain", "warranty", "cc0", "cc by", "gpl", "creative", "redistribut", "permission", "gnu org", "proprietary", "prohibited", "derechos reservados", "droits réservés", "rechte vorbehalten", "unencumbered", "as is", "applicable law", "permitted to copy", "any later version", "invariant sections", "contributors", "advertising", "plainly marked", "misrepresented", "boost org", "the software", "copy of the mpl", "mozilla org", "eclipse org", "eupl", "as perl", "as ruby", "anyone is free", "what the fuck", "beer", "not evil", "font name", "sil org", "openssl project", "php software", "independent jpeg", "opendatacommons", "neighboring rights", "busl", "commons clause", "polyform", "bigscience", "gemma", "mulan psl", "nasa open", "datenlizenz", "package may be copied", "confidential", "trade secret", "may not be", "may be reproduced", "derivative works", "commercial use", "research purposes", "attribution required", "diritti riservati", "direitos reservados", "rechten voorbehouden", "prawa zastrzeżone", "copr", "©", "mit no attribution")
 
 _SEPARATE = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
