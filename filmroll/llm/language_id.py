@@ -83,9 +83,8 @@ def ngram_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def blocks(batch: pa.RecordBatch, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, list[str]]]:
     """Parts of a batch's texts, about ``most`` characters at once, and the row that each belongs to.
 
-    Longer texts are taken apart where a character is no letter, where no n-gram
-    is lost; only within a run of letters of over ``most`` characters the cut
-    costs the few n-grams across it.
+    Longer texts are taken apart before a character that is no letter, where no
+    n-gram is lost; a run of letters is never cut, so memory follows the longest.
     """
     parts = [(i, part) for i, t in enumerate(batch.column("text").to_pylist()) for part in _parts(t or "", most)]
     for a, b in slices(np.array([len(t) for _, t in parts], dtype=np.int64), most):
@@ -93,10 +92,15 @@ def blocks(batch: pa.RecordBatch, most: int = 1 << 18) -> Iterator[tuple[np.ndar
 
 
 def _parts(text: str, most: int) -> Iterator[str]:
-    at = 0
+    letters, at = _letters(), 0
     while len(text) - at > 2 * most:
-        cut = re.compile(r"[\s\d.,;:!?]").search(text, at + most, at + 2 * most)
-        stop = cut.end() if cut else at + 2 * most
+        stop = at + most
+        while stop < len(text):
+            ahead = text[stop : stop + most]
+            gaps = np.flatnonzero(letters[np.frombuffer(ahead.encode("utf-32-le", "surrogatepass"), dtype="<u4")] == 32)
+            stop += int(gaps[0]) if len(gaps) else len(ahead)
+            if len(gaps):
+                break
         yield text[at:stop]
         at = stop
     yield text[at:]
