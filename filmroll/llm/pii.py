@@ -2,7 +2,7 @@
 
 Candidate spans come from strict patterns, which always count, and from wider
 ones: spelled-out and spaced addresses, national phone numbers, IPv6 and
-defanged addresses, card numbers with other separators or a wrong check digit,
+defanged addresses, card numbers with other separators (their check digit must hold),
 keys and tokens. Labelers vote on every candidate or abstain: its pattern, check
 digits and character counts, gazetteers, the words before, what follows, its
 shape. Expectation-maximisation over the counted vote patterns of each kind
@@ -117,10 +117,10 @@ def _luhn() -> Column:
 
 
 def _possible() -> Column:
-    """What a wider match needs to be looked at: lengths that fit, and no strict match in the same place."""
+    """What a wider match needs to be looked at: lengths that fit, a card's check digit, and no strict match in the same place."""
     kind, n = F.col("kind"), F.length(_digits())
-    same = F.col("match").rlike(r"^[0-9](?:[\x20-]?[0-9])+$") & _luhn()
-    return F.when(kind == "card", n.between(13, 19) & ~same).when(kind == "phone", n.between(7, 15)).when(kind == "ip", F.length("match") > 2).otherwise(F.lit(True))
+    strict = F.col("match").rlike(r"^[0-9](?:[\x20-]?[0-9])+$")
+    return F.when(kind == "card", n.between(13, 19) & ~strict & _luhn()).when(kind == "phone", n.between(7, 15)).when(kind == "ip", F.length("match") > 2).otherwise(F.lit(True))
 
 
 def _valid() -> Column:
@@ -153,7 +153,7 @@ def label(spans: DataFrame) -> DataFrame:
     check = by_kind(
         email=either(tld.rlike(r"^[a-z]{2,}$"), tld.rlike(r"^[0-9]|^.$")),
         ip=F.when(v4, either(octets, ~octets)).otherwise(either((groups == 8) & ~match.contains("::") | match.rlike(r"^[0-9A-Fa-f:]*::[0-9A-Fa-f]+") & (F.length(F.regexp_replace(match, "[^0-9A-Fa-f]", "")) > 4), (groups < 8) & ~match.contains("::"))),
-        card=either(_luhn() & ~same_digit, ~_luhn() | same_digit),
+        card=either(~same_digit, same_digit),
         phone=either(n.between(9, 13), (n < 9) | (n > 13)),
         secret=either((kinds_of_chars >= 10) & (8 * n >= F.length(match)) | match.startswith("-----"), (kinds_of_chars < 8) | (16 * n < F.length(match))),
     )

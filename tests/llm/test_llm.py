@@ -246,6 +246,16 @@ def test_license_rules_find_their_own_text():
         assert rule.pattern.search(words), (rule.label, example)
 
 
+def test_license_rules_end_with_their_words():
+    """No rule matches inside longer words, whichever of its branches it is."""
+    labels = lambda text: license_scan.scan_text(text)[5]
+    assert labels("mit no attribution") == "mit-0" and labels("the MIT-0 license") == "mit-0"
+    assert labels("you permit 0 license fees") == "" and "mit-0" not in labels("mit no attributions license")
+    for rule in (*license_scan.rules(), *license_scan.spdx_rules()):
+        inner = rule.pattern.pattern
+        assert inner.startswith("(?<![^ ])(?:") and inner.endswith(")(?![^ ])") or rule.keyword == "spdx"
+
+
 def test_license_suppression_by_brute_force():
     """A detection goes if another one that is at least as sure holds it; of equal places the surest and first rule's stays."""
     rng = random.Random(21)
@@ -273,6 +283,14 @@ def test_language_accuracy_and_neighbours(spark):
         assert sorted(ids[owner == i].tolist()) == sorted(language_id.ngram_ids([t])[0].tolist())
 
 
+def test_language_blocks_lose_no_ngram():
+    """Texts taken apart at hyphens, at full-width punctuation, and within no run of letters."""
+    for text in ("ab-cde-fghi-" * 500, "语言，识别。" * 700, "x" * 5000, "ab" * 2000 + "_" + "cd" * 2000):
+        parts = list(language_id._parts(text, 100))
+        ids = [np.sort(language_id.ngram_ids(list(p))[0]) for p in (parts, [text])]
+        assert "".join(parts) == text and (ids[0] == ids[1]).all() and len(parts) > 1 or set(text) == {"x"}
+
+
 def test_language_posterior_by_brute_force(spark):
     """Counts, log probabilities and posteriors by plain Python; languages met all at once and one by one; a long text in parts."""
     rng = random.Random(14)
@@ -405,7 +423,8 @@ def test_components(spark):
 def test_oracle(spark, name):
     con = duckdb.connect()
     sf = str(DATA / "sf0.001")
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     want = con.execute(registry.ORACLE_SQL[name])
     columns = [d[0] for d in want.description]
     plain = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
@@ -669,6 +688,17 @@ def test_pii_classifier_by_brute_force(spark, small):
             assert got[r.row_id, r.start, r.kind] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-3)
 
 
+def test_pii_never_adds_a_number_that_fails_its_check(spark):
+    """Neither on the given tables nor where failing numbers are all there is."""
+    luhn = lambda m: sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(re.sub("[^0-9]", "", m)))) % 10 == 0
+    rng = random.Random(8)
+    numbers = [f"card {n[:4]}{s}{n[4:8]}{s}{n[8:12]}{s}{n[12:]} ok" for n in (str(rng.randint(4 * 10**15, 6 * 10**15)) for _ in range(200)) for s in ("", ".", "-")]
+    frames = [spark.createDataFrame(list(enumerate(numbers)), "doc_id long, text string"), *(spark.read.parquet(str(DATA / sf / "documents.parquet")) for sf in ("sf0.001", "sf0.01"))]
+    for docs in frames:
+        added = pii.find_pii(docs).select("doc_id", F.explode("spans").alias("s")).where("s.kind = 'card'").join(docs.select("doc_id", "text"), "doc_id")
+        assert all(luhn(r.found) for r in added.selectExpr("substring(text, CAST(s.start + 1 AS INT), CAST(s.end - s.start AS INT)) AS found").collect())
+
+
 def test_pii_precision_of_added_spans(spark):
     """On the given table keys are added, and no number that fails its check."""
     docs = spark.read.parquet(str(DATA / "sf0.01" / "documents.parquet"))
