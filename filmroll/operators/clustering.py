@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from filmroll.functions.scalars import euclidean, normalize
 from filmroll.operators.graph import components
 from filmroll.operators.vectors import centroids
 from filmroll.sources.staging import staged
+from filmroll.sources.tables import union_all
 
 #: Points of a block of the neighbour join, and dimensions of the grid it goes by.
 CELL_POINTS, GRID_DIMS = 1_024, 3
@@ -24,6 +26,18 @@ CELL_POINTS, GRID_DIMS = 1_024, 3
 PAIR_ROWS = 100
 
 
+@contextmanager
+def pair_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside take Arrow batches of PAIR_ROWS rows, as a row is a pair of blocks."""
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, PAIR_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(limit, before)
+
+
 def reduce_dims(vectors: DataFrame, n_components: int) -> DataFrame:
     """V7. vec_id and reduced: the first principal components of the unit vectors."""
     unit = vectors.select("vec_id", array_to_vector(normalize(F.col("embedding"))).alias("_v"))
@@ -129,18 +143,15 @@ def density_cluster(points: DataFrame, min_size: int, min_samples: int, eps: flo
                 at = np.array([*_forest(near & ~both), *np.argwhere(both).tolist()], dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(other[at[:, 1]]), pa.array(dist[at[:, 0], at[:, 1]])], names=["src", "dst", "weight"])
 
-    limit, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", points.sparkSession
-    records = spark.conf.get(limit)
-    spark.conf.set(limit, PAIR_ROWS)
-    within = _block_pairs(nodes, eps, ordered=False).mapInArrow(counted, "node long, n long")
-    core = staged(within.groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") - 1 >= min_samples).select("node"))  # but the point itself
-    edges = _block_pairs(nodes.join(core, "node"), eps, ordered=True).mapInArrow(linked, "src long, dst long, weight double").where("src <> dst")
-    if constraints:
-        from filmroll.operators.feedback import apply_constraints
+    with pair_batches(points.sparkSession):
+        within = _block_pairs(nodes, eps, ordered=False).mapInArrow(counted, "node long, n long")
+        core = staged(within.groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") - 1 >= min_samples).select("node"))  # but the point itself
+        edges = _block_pairs(nodes.join(core, "node"), eps, ordered=True).mapInArrow(linked, "src long, dst long, weight double").where("src <> dst")
+        if constraints:
+            from filmroll.operators.feedback import apply_constraints
 
-        edges = apply_constraints(staged(edges), *constraints)
-    roots = components(edges.where(F.col("weight") <= eps).select(F.col("src").alias("u"), F.col("dst").alias("v")))
-    spark.conf.set(limit, records)
+            edges = apply_constraints(staged(edges), *constraints)
+        roots = components(edges.where(F.col("weight") <= eps).select(F.col("src").alias("u"), F.col("dst").alias("v")))
     rooted = nodes.join(roots, "node", "left").join(core.withColumn("_core", F.lit(True)), "node", "left")
     rooted = rooted.select("reduced", "alone", F.coalesce("root", F.when(F.col("_core"), F.col("node"))).alias("root"))
     labelled = staged(named.join(rooted, ["reduced", "alone"]).select("vec_id", F.coalesce("root", "vec_id").alias("root")))
@@ -149,12 +160,126 @@ def density_cluster(points: DataFrame, min_size: int, min_samples: int, eps: flo
     return labelled.join(numbered, "root", "left").select("vec_id", F.coalesce("cluster_no", F.lit(-1)).alias("cluster_no"))
 
 
-def cluster_items(vectors: DataFrame, n_components: int, min_size: int, min_samples: int, eps: float, run_id: int) -> tuple[DataFrame, DataFrame]:
-    """V9. (clusters, members) of a new run: reduced, clustered, with distances to the centroid; noise has distance 0."""
+def level_grid(eps: float, levels: int) -> list[float]:
+    """The distances of a hierarchy, each the square root of 2 times the one before, ``eps`` being the last."""
+    return [eps * 2 ** (-(levels - 1 - i) / 2) for i in range(levels)]
+
+
+def density_hierarchy(points: DataFrame, min_size: int, min_samples: int, eps: float, levels: int = 12) -> DataFrame:
+    """V8. vec_id, cluster_no (-1: noise) and level of birth: the most stable clusters over a grid of cuts.
+
+    HDBSCAN* (Campello, Moulavi and Sander, 2013) with the cuts of
+    ``level_grid``: at each level the components of the mutual-reachability graph
+    with ``min_size`` points and more. Towards smaller distances a component
+    goes on as the same cluster while one such part of it is left; where there
+    are several, they are new clusters. A cluster's stability is the sum, over the
+    levels it lives, of its size times what 1 / distance gains there. Of clusters
+    that lie in each other those with the largest sum are taken (excess of mass;
+    the outer one on ties), a point being in a cluster it was in at its birth.
+
+    Points meet once, in blocks of the grid of the largest distance: that leaves
+    counts of neighbours by level, and a minimum spanning forest of each pair of
+    blocks, by level. All levels' components are found in one go, on nodes
+    numbered by point and level.
+    """
+    grid = np.array(level_grid(eps, levels))
+    named = staged(points.select("vec_id", "reduced", F.lit(-1).alias("alone"), F.lit(False).alias("tied")))
+    nodes = staged(named.groupBy("reduced", "alone", "tied").agg(F.min("vec_id").alias("node"), F.count("*").alias("w")))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (node, a, _, _), (_, b, w, _) in _read(batch):
+                at = np.searchsorted(grid, _close(a, b))
+                n = np.stack([((at == i) @ w) for i in range(levels)], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), *(pa.array(n[:, i], pa.int64()) for i in range(levels))], names=["node", *(f"n{i}" for i in range(levels))])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (node, a, core_a, _), (other, b, core_b, _) in _read(batch):
+                at = np.maximum(np.searchsorted(grid, _close(a, b)), np.maximum(core_a[:, None], core_b[None, :]))
+                src, dst, level = [*zip(*_level_forest(at, node.tolist(), other.tolist(), levels), strict=True)] or ((),) * 3
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(level, pa.int32())], names=["src", "dst", "level"])
+
+    with pair_batches(points.sparkSession):
+        within = _block_pairs(nodes, eps, ordered=False).mapInArrow(counted, "node long, " + ", ".join(f"n{i} long" for i in range(levels)))
+        sums = within.groupBy("node").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(levels)])
+        upto = F.lit(-1)  # but the point itself
+        first = F.lit(None).cast("int")
+        for i in range(levels):
+            upto = upto + F.col(f"n{i}")
+            first = F.coalesce(first, F.when(upto >= min_samples, F.lit(i)))
+        core = staged(sums.select("node", first.alias("core")).where("core IS NOT NULL"))
+        ranked = nodes.drop("w").join(core, "node").withColumnRenamed("core", "w")  # blocks carry core levels in place of weights
+        edges = staged(_block_pairs(ranked, eps, ordered=True).mapInArrow(linked, "src long, dst long, level int").where("src <> dst").groupBy("src", "dst").agg(F.min("level").alias("level")))
+
+    every = lambda least: F.explode(F.sequence(least, F.lit(levels - 1))).alias("l")
+    at_level = lambda c: (F.col(c) * levels + F.col("l")).alias
+    roots = components(edges.select("src", "dst", every(F.col("level"))).select(at_level("src")("u"), at_level("dst")("v")))
+    alive = core.select("node", every(F.col("core"))).withColumn("id", at_level("node")("id"))
+    placed = alive.join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").join(nodes.select("node", "w").hint("merge"), "node")
+    placed = staged(placed.select("node", "l", F.coalesce("root", "id").alias("root"), "w"))
+    large = placed.groupBy("l", "root").agg(F.sum("w").alias("size"), F.min("node").alias("one")).where(F.col("size") >= min_size)
+    above = placed.select((F.col("l") - 1).alias("l"), F.col("node").alias("one"), F.col("root").alias("parent"))
+    tree = staged(large.join(above.hint("merge"), ["l", "one"], "left").select("l", "root", "size", "parent"))
+    chosen = _excess_of_mass(tree, [1 / x for x in grid])
+    own = placed.join(chosen.hint("merge"), ["l", "root"]).groupBy("node").agg(F.max_by(F.struct("l", "root"), "l").alias("c")).select("node", "c.*")
+    labelled = staged(named.join(nodes.join(own.hint("merge"), "node", "left"), ["reduced", "alone", "tied"]).select("vec_id", "l", "root"))
+    least = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("vec_id").alias("least"))
+    numbered = least.withColumn("cluster_no", (F.row_number().over(W.orderBy("least")) - 1).cast("int"))
+    return labelled.join(numbered.hint("merge"), "root", "left").select("vec_id", F.coalesce("cluster_no", F.lit(-1)).alias("cluster_no"), F.col("l").alias("level"))
+
+
+def _level_forest(at: np.ndarray, rows: list[int], columns: list[int], levels: int) -> list[tuple[int, int, int]]:
+    """Edges (node, node, level) of a minimum spanning forest of a matrix of levels."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    found = []
+    for level in np.unique(at[at < levels]).tolist():
+        for i, j in _forest(at <= level):
+            a, b = top(rows[i]), top(columns[j])
+            if a != b:
+                up[a] = b
+                found.append((rows[i], columns[j], level))
+    return found
+
+
+def _excess_of_mass(tree: DataFrame, gains: list[float]) -> DataFrame:
+    """l and root of the clusters to take, at the level of their birth. ``tree``: components l, root, size and parent (root at the next level).
+
+    From the smallest distance up, a component has the stability of its cluster
+    so far and the best that the clusters below it give; one row each, so
+    each level is one aggregation of its parts.
+    """
+    states, below = [], None
+    for i, gain in enumerate(gains):
+        own = tree.where(F.col("l") == i).withColumn("mass", F.col("size") * F.lit(gain - (gains[i + 1] if i + 1 < len(gains) else 0.0)))
+        if below is None:
+            state = own.withColumns({"parts": F.lit(0).cast("long"), "stability": F.col("mass"), "best": F.lit(0.0)})
+        else:
+            merged = below.groupBy(F.col("parent").alias("root")).agg(F.count("*").alias("parts"), F.sum("stability").alias("s"), F.sum("best").alias("b"), F.sum(F.greatest("stability", "best")).alias("split"))
+            state = own.join(merged.hint("merge"), "root", "left").select("l", "root", "size", "parent", "mass", F.coalesce("parts", F.lit(0)).alias("parts"), (F.col("mass") + F.when(F.col("parts") == 1, F.col("s")).otherwise(0.0)).alias("stability"), F.when(F.col("parts") == 1, F.col("b")).otherwise(F.coalesce("split", F.lit(0.0))).alias("best"))
+        below = staged(state.select("l", "root", "parent", "parts", "stability", "best"))
+        states.append(below)
+    whole = union_all(states)
+    born = whole.join(whole.select((F.col("l") - 1).alias("l"), F.col("root").alias("parent"), F.col("parts").alias("siblings")).hint("merge"), ["l", "parent"], "left")
+    return born.where("(siblings IS NULL OR siblings > 1) AND stability >= best").select("l", "root")
+
+
+def cluster_items(vectors: DataFrame, n_components: int, min_size: int, min_samples: int, eps: float, run_id: int, levels: int = 1) -> tuple[DataFrame, DataFrame]:
+    """V9. (clusters, members) of a new run: reduced, clustered, with distances to the centroid; noise has distance 0.
+
+    One level is the flat cut at ``eps``; more are a hierarchy up to it, for clusters of differing density.
+    """
     if vectors.limit(min_size).count() < min_size:
         raise ValueError("fewer vectors than the smallest cluster")
     reduced = staged(reduce_dims(vectors, n_components))
-    joined = reduced.join(density_cluster(reduced, min_size, min_samples, eps), "vec_id")
+    found = density_cluster(reduced, min_size, min_samples, eps) if levels == 1 else density_hierarchy(reduced, min_size, min_samples, eps, levels).drop("level")
+    joined = reduced.join(found, "vec_id")
     means = centroids(joined.where("cluster_no >= 0"), "cluster_no", "reduced").select("cluster_no", "centroid")
     members = joined.join(means.hint("merge"), "cluster_no", "left").select("vec_id", F.lit(run_id).alias("run_id"), "cluster_no", F.when(F.col("cluster_no") < 0, 0.0).otherwise(euclidean(F.col("reduced"), F.col("centroid"))).alias("distance"))
     members = staged(members)
