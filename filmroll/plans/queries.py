@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filmroll.functions import scalars as X
-from filmroll.operators import audit, clustering, feedback, matching, people, places, rules, search, vectors
+from filmroll.operators import audit, clustering, feedback, matching, people, places, rules, search, vector_index, vectors
 from filmroll.plans.views import ctes, view
 from filmroll.sources import export, files, tables
 
@@ -624,6 +624,16 @@ def _(v):
     return search.vector_search(v, v.where("vec_id = 7").first()["embedding"], 20).select("vec_id", F.round("sim", 5).alias("sim"))
 
 
+@query("v01_batch_search", "vectors", sql="""
+SELECT query_id, vec_id, round(sim, 4) AS sim, rank FROM (
+  SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id) AS rank
+  FROM vectors q CROSS JOIN vectors v WHERE q.vec_id % 50 = 0) WHERE rank <= 10""")
+def _(v):
+    index = vector_index.build_index(v, 64)
+    return vector_index.batch_search(index, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10).withColumn("sim", F.round("sim", 4))
+
+
 @query("v01_filtered_search", "vectors", sql="SELECT v.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS sim FROM vectors v CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE v.vec_id % 3 = 0 ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC LIMIT 20")
 def _(v):
     return search.vector_search(v, v.where("vec_id = 7").first()["embedding"], 20, allowed=v.where("vec_id % 3 = 0")).select("vec_id", F.round("sim", 5).alias("sim"))
