@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from filmroll.llm.common import documents, materialize
+from filmroll.llm.common import batches_of, documents, materialize
 
 #: Least count of a candidate, rows of a language, and the share of a phrase that a longer one must hold to replace it (in per cent).
 MIN_COUNT, TOP, COVER = 30, 2000, 80
 #: Words that a worker gathers, over all languages, before it writes its shards.
 SHARD_WORDS = 1 << 21
+#: Bytes of shards or indexes that a worker is handed at once, and phrases that it hands back.
+ROW_BYTES, PHRASE_ROWS = 1 << 21, 1 << 16
 #: Bytes of a text that are cut into words at once.
 BLOCK_BYTES = 1 << 20
 #: Parts of a language whose best phrases are found on their own, before they meet.
@@ -196,11 +198,16 @@ def _indexes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarr
             yield row, gids, Index(*(np.frombuffer(row[n].as_buffer(), dtype=np.int32) for n in ("forward", "backward")), len(gids) - 1)
 
 
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, PHRASE_ROWS):
+        yield batch.slice(at, PHRASE_ROWS)
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Phrases of two words of each shard, with counts."""
     for row, gids, index in _indexes(batches):
         word, follower, _, _, n = index.extend(False, *index.words())
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), row["shard"].as_py())), pa.array(gids[word + 1]), pa.array(gids[follower]), pa.array(n)], names=["shard", "g1", "g2", "n"])
+        yield from _sliced(pa.RecordBatch.from_arrays([pa.array(np.full(len(n), row["shard"].as_py())), pa.array(gids[word + 1]), pa.array(gids[follower]), pa.array(n)], names=["shard", "g1", "g2", "n"]))
 
 
 def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,10 +227,10 @@ def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, c, *ends = index.extend(False, *ends)
         keep = known(b[of], c)
         a, b, c, ends = a[of][keep], b[of][keep], c[keep], [e[keep] for e in ends]
-        yield _phrases(gids, (a, b, c), ends[2])
+        yield from _sliced(_phrases(gids, (a, b, c), ends[2]))
         of, before, _, _, n = index.extend(True, *ends)
         keep = known(before, a[of])
-        yield _phrases(gids, (before[keep], a[of][keep], b[of][keep], c[of][keep]), n[keep])
+        yield from _sliced(_phrases(gids, (before[keep], a[of][keep], b[of][keep], c[of][keep]), n[keep]))
 
 
 def _phrases(gids: np.ndarray, codes: tuple[np.ndarray, ...], n: np.ndarray) -> pa.RecordBatch:
@@ -262,14 +269,18 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) -> DataFra
 
     placed = shards.select("shard", "lang", F.posexplode("words").alias("place", "word"))
     known = placed.join(words.select("lang", "word", "gid").hint("merge"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "gid")).alias("known"))
-    inputs = shards.select("shard", "ids").join(known.hint("merge"), "shard")
-    index = materialize(inputs.mapInArrow(_build, "shard long, gids array<long>, forward binary, backward binary"))
-
-    pairs = materialize(index.mapInArrow(_pairs, "shard long, g1 long, g2 long, n long"))
-    frequent = materialize(_sum(pairs, ["g1", "g2"], min_count))
-    own = pairs.select("shard", "g1", "g2").join(frequent.select("g1", "g2").hint("merge"), ["g1", "g2"]).groupBy("shard").agg(F.collect_list(F.struct("g1", "g2")).alias("pairs"))
-    longer = _sum(index.join(own.hint("merge"), "shard").mapInArrow(_longer, "g array<long>, n long"), ["g"], min_count)
-    phrases = materialize(frequent.select(F.array("g1", "g2").alias("g"), "a").union(longer.select("g", "a")))
+    with batches_of(docs.sparkSession, ROW_BYTES):
+        inputs = shards.select("shard", "ids").join(known.hint("merge"), "shard")
+        index = materialize(inputs.mapInArrow(_build, "shard long, gids array<long>, forward binary, backward binary"))
+
+        # one shuffle of the pairs tells both which are frequent and which shards hold them
+        everywhere = F.sum("n").over(W.partitionBy("g1", "g2"))
+        held = index.mapInArrow(_pairs, "shard long, g1 long, g2 long, n long").withColumn("a", everywhere)
+        pairs = materialize(held.where(F.col("a") >= min_count).select("shard", "g1", "g2", "a"))
+        own = pairs.groupBy("shard").agg(F.collect_list(F.struct("g1", "g2")).alias("pairs"))
+        longer = index.join(own.hint("merge"), "shard").mapInArrow(_longer, "g array<long>, n long")
+        frequent = pairs.select(F.array("g1", "g2").alias("g"), "a").distinct()
+        phrases = materialize(frequent.union(_sum(longer, ["g"], min_count).select("g", "a")))
 
     parts = words.select(F.array("gid").alias("g"), "a").union(phrases.where(F.size("g") < 4))
     cuts = phrases.select("g", "a", F.explode(F.sequence(F.lit(1), F.size("g") - 1)).alias("k"))

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, n_bytes: int) -> Iterator[None]:
+    """Jobs that run inside take Arrow batches of about ``n_bytes``, for tables whose rows are large."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, n_bytes)
+    try:
+        yield
+    finally:
+        spark.conf.set(limit, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only for a session of one process, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
