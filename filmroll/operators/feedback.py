@@ -101,21 +101,43 @@ def replay_corrections(log: DataFrame, assignments: DataFrame, clusters: DataFra
     return moved, named
 
 
-def apply_actions(regions: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
-    """V20. Regions after a batch of actions: the newest of each family counts. Also the rows to delete, unassign and name."""
-    family = F.when(F.col("action").isin("verified", "unverified"), "check").when(F.col("action").isin("named", "unassigned"), "name").otherwise(F.col("action"))
-    last = log.where("region_id IS NOT NULL").groupBy("region_id", family.alias("family")).agg(F.max_by(F.struct("id", "action", "name", "cluster_id"), "id").alias("a")).select("region_id", "family", "a.*")
-    checks = last.where("family = 'check'").select("region_id", F.when(F.col("action") == "verified", 1).otherwise(0).alias("_v"))
-    gone = last.where("action = 'deleted'").select("region_id")
-    kept = regions.join(gone, "region_id", "left_anti").join(checks, "region_id", "left")
+#: What an action speaks to. Naming a region confirms it as well.
+FAMILIES = {"verified": ("check",), "unverified": ("check",), "named": ("check", "name"), "unassigned": ("name",), "deleted": ("deleted",)}
+NEWEST = "region_id long, family string, id long, action string, name string, cluster_id long"
+
+
+def newest_actions(log: DataFrame) -> DataFrame:
+    """V20. region_id, family, id, action, name and cluster_id: the newest action of each family of a region."""
+    families = F.create_map(*[x for a, own in FAMILIES.items() for x in (F.lit(a), F.array(*map(F.lit, own)))])
+    each = log.where("region_id IS NOT NULL").select("region_id", F.explode(F.element_at(families, F.col("action"))).alias("family"), F.struct("id", "action", "name", "cluster_id").alias("a"))
+    return each.groupBy("region_id", "family").agg(F.max_by("a", "a.id").alias("a")).select("region_id", "family", "a.*")
+
+
+def apply_newest(regions: DataFrame, newest: DataFrame) -> dict[str, DataFrame]:
+    """V20. What :func:`newest_actions` of a log change: regions (confirmed, doubted, deleted), and the rows to delete, unassign and name."""
+    checks = newest.where("family = 'check'").select("region_id", F.when(F.col("action") != "unverified", 1).alias("_v"), F.lit(True).alias("_hit"))
+    gone = newest.where("family = 'deleted'").select("region_id")
+    kept = regions.join(gone.hint("merge"), "region_id", "left_anti").join(checks.hint("merge"), "region_id", "left")
     return {
-        "regions": kept.withColumn("user_verified", F.coalesce("_v", "user_verified")).select(*regions.columns),
+        "regions": kept.withColumn("user_verified", F.when(F.col("_hit"), F.col("_v")).otherwise(F.col("user_verified"))).select(*regions.columns),
         "deleted": gone,
-        "unassigned": last.where("action = 'unassigned'").select("region_id", "cluster_id"),
-        "named": last.where("action = 'named'").select("region_id", "name"),
+        "unassigned": newest.where("action = 'unassigned'").select("region_id", "cluster_id"),
+        "named": newest.where("action = 'named' AND family = 'name'").select("region_id", "name"),
     }
 
 
+def apply_actions(regions: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
+    """V20. Regions after a batch of actions, the newest of each family counting.
+
+    Verifying or naming a region confirms it (1), unverifying takes that back
+    (null). Also the rows to delete, unassign and name, and ``log``, the audit rows to
+    append: one for each action on a region there is.
+    """
+    known = regions.select("region_id", F.col("item_id") if "item_id" in regions.columns else F.lit(None).cast("long").alias("item_id"))
+    audit = log.join(known, "region_id").select("id", "region_id", "item_id", "action", "cluster_id", "name")
+    return apply_newest(regions, newest_actions(log)) | {"log": audit}
+
+
 def unassign(assignments: DataFrame, regions: DataFrame, run_id: int) -> tuple[DataFrame, DataFrame]:
     """V19. Assignments without these regions in one run, and the log rows that say so."""
     hit = assignments.where(F.col("run_id") == run_id).join(regions.select("region_id"), "region_id", "left_semi")
@@ -189,7 +211,7 @@ def read_mapping(texts: DataFrame, column: str) -> DataFrame:
 def rename_bulk(clusters: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """S15. (applied, rejected) of a mapping of cluster ids to labels (key, value: both text; null or empty clears; is_text, if there, tells values that were none)."""
     probed = mapping.withColumn("cluster_id", F.col("key").try_cast("long"))
-    joined = probed.join(clusters.select("cluster_id", F.lit(True).alias("_known"), "cluster_no"), "cluster_id", "left")
+    joined = probed.join(clusters.select("cluster_id", F.lit(True).alias("_known"), "cluster_no").hint("merge"), "cluster_id", "left")
     reason = F.when(F.col("cluster_id").isNull(), "not a number").when(F.col("_known").isNull(), "unknown cluster").when(F.col("cluster_no") == NOISE, "noise")
     if "is_text" in mapping.columns:
         reason = reason.when(~F.col("is_text"), "not a text")

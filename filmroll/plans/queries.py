@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from filmroll.functions import scalars as X
 from filmroll.operators import audit, clustering, feedback, matching, people, places, rules, search, vector_index, vectors
@@ -285,10 +286,10 @@ def _(clusters):
     return people.unnamed_clusters(clusters, 1).select("cluster_id", "size")
 
 
-@query("p07_cluster_order", "clusters", sql="SELECT cluster_id, row_number() OVER (ORDER BY (label_user IS NULL), size DESC, cluster_id) AS place FROM clusters")
+@query("p07_cluster_order", "clusters", sql="SELECT cluster_id, (label_user IS NULL) AS unnamed, size, lag(cluster_id) OVER (PARTITION BY label_user IS NULL ORDER BY size DESC, cluster_id) AS before FROM clusters")
 def _(clusters):
-    listed = people.cluster_order(clusters).select("cluster_id").collect()  # a page of a list, as the caller shows it
-    return clusters.sparkSession.createDataFrame([(r["cluster_id"], i + 1) for i, r in enumerate(listed)], "cluster_id int, place long")
+    listed = people.cluster_order(clusters).withColumns({"unnamed": F.col("label_user").isNull(), "at": F.monotonically_increasing_id()})
+    return listed.withColumn("before", F.lag("cluster_id").over(W.partitionBy("unnamed").orderBy("at"))).select("cluster_id", "unnamed", "size", "before")
 
 
 @query("w05_split_label", "clusters", sql="""
@@ -366,14 +367,19 @@ def _(corrections, assignments, clusters):
 
 
 @query("v20_apply_actions", "regions", "corrections", sql="""
-WITH last AS (SELECT region_id, fam, arg_max(action, id) AS action FROM (
-  SELECT *, CASE WHEN action IN ('verified', 'unverified') THEN 'check' WHEN action IN ('named', 'unassigned') THEN 'name' ELSE action END AS fam FROM corrections) t GROUP BY region_id, fam)
-SELECT r.region_id, coalesce(CASE c.action WHEN 'verified' THEN 1 WHEN 'unverified' THEN 0 END, r.user_verified) AS user_verified FROM regions r
-LEFT JOIN (SELECT * FROM last WHERE fam = 'check') c ON r.region_id = c.region_id WHERE r.region_id NOT IN (SELECT region_id FROM last WHERE action = 'deleted')""")
+WITH last AS (SELECT region_id, arg_max(action, id) AS action FROM corrections WHERE action IN ('verified', 'unverified', 'named') GROUP BY region_id)
+SELECT r.region_id, CASE WHEN c.action IS NULL THEN r.user_verified WHEN c.action <> 'unverified' THEN 1 END AS user_verified FROM regions r
+LEFT JOIN last c ON r.region_id = c.region_id WHERE r.region_id NOT IN (SELECT region_id FROM corrections WHERE action = 'deleted')""")
 def _(regions, corrections):
     return feedback.apply_actions(regions, corrections)["regions"].select("region_id", "user_verified")
 
 
+@query("v20_audit_rows", "regions", "corrections", sql="""
+SELECT c.id, r.region_id, r.item_id, c.action, c.cluster_id, c.name FROM corrections c JOIN regions r ON r.region_id = c.region_id""")
+def _(regions, corrections):
+    return feedback.apply_actions(regions, corrections)["log"]
+
+
 @query("v19_unassign", "assignments", "corrections", sql="""
 SELECT region_id, run_id, cluster_no FROM assignments WHERE NOT (run_id = 2 AND region_id IN (SELECT region_id FROM corrections WHERE action = 'deleted'))""")
 def _(assignments, corrections):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -70,6 +70,15 @@ def metadata_backfill(items: DataFrame, raw: DataFrame, force: bool = False) ->
     return judged.where("status = 'filled'").select("item_id", F.col("_new").alias("metadata")), judged.groupBy("status").agg(F.count("*").alias("n"))
 
 
+STATUSES = ("new", "changed", "unchanged", "missing")
+
+
+def observe_counts(status: DataFrame) -> tuple[DataFrame, Observation]:
+    """A23. The rows as they are, and an observation of their number by status, which is there once they have been written; no second job."""
+    seen = Observation()
+    return status.observe(seen, *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES]), seen
+
+
 def ingest_counts(status: DataFrame) -> DataFrame:
     """A23. Number of rows by status."""
     return status.groupBy("status").agg(F.count("*").alias("n"))

@@ -5,42 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from filmroll.operators.feedback import apply_actions
-from filmroll.operators.vectors import auto_attach
-from filmroll.sources.files import classify_changes
-from filmroll.sources.tables import upsert
+from filmroll.operators.feedback import FAMILIES, NEWEST, apply_newest
+from filmroll.operators.vectors import auto_attach, persist_attach
+from filmroll.sources.buckets import BucketTable
+from filmroll.sources.files import classify_changes, observe_counts
+from filmroll.sources.staging import staged
 
 
-def _versions(root: str, name: str, schema: object) -> tuple[Callable, Callable]:
-    """Reader of the newest version of a table and writer of a batch's version; a batch that runs again overwrites its own."""
+def stream_ingest(listing: DataFrame, table: BucketTable, checkpoint: str, report: Callable[[int, dict], None] | None = None) -> StreamingQuery:
+    """T1. Keep a table of files (path, mtime, hash), keyed by path, up to date.
 
-    def latest(spark, before: int) -> DataFrame:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        found = [int(p.getPath().getName()[1:]) for p in fs.listStatus(path) if p.getPath().getName()[:1] == "v"] if fs.exists(path) else []
-        older = [v for v in found if v < before]
-        return spark.read.schema(schema).parquet(f"{root}/{name}/v{max(older)}") if older else spark.createDataFrame([], schema)
-
-    def write(df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{root}/{name}/v{version}")
-
-    return latest, write
-
-
-def stream_ingest(listing: DataFrame, root: str, checkpoint: str, schema: object) -> StreamingQuery:
-    """T1. Keep a table of files (path, mtime, hash) up to date; batches are idempotent, as each writes its own version."""
-    latest, write = _versions(root, "items", schema)
+    A batch rewrites only the buckets its new and changed files fall into, and
+    gives the same table if it runs again. ``report`` gets the batch's number and
+    its counts by status, observed while the changes are written (A23).
+    """
+    table.ensure(listing.sparkSession)
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        base = latest(batch.sparkSession, batch_id)
-        newest = batch.groupBy("path").agg(F.max_by(F.struct("mtime", "hash"), "mtime").alias("f")).select("path", "f.*")
-        status = classify_changes(newest, base, newest).where("status IN ('new', 'changed')")
-        write(upsert(base, newest.join(status.select("path"), "path", "left_semi"), ["path"]), batch_id)
+        newest = staged(batch.groupBy("path").agg(F.max_by(F.struct("mtime", "hash"), "mtime").alias("f")).select("path", "f.*"))
+        known = table.slice(batch.sparkSession, table.touched(newest))
+        status = classify_changes(newest, known, newest).where("status <> 'missing'")
+        counted, counts = observe_counts(status)
+        changed = staged(counted.join(newest.hint("merge"), "path").select("path", "mtime", "hash", "status"))
+        table.upsert(changed.where("status <> 'unchanged'").drop("status"))
+        if report:
+            report(batch_id, counts.get)
 
     return listing.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -76,21 +70,79 @@ def stream_identity_stats(sims: DataFrame) -> DataFrame:
     return sims.groupBy("name").transformWithStateInPandas(IdentityStats(), "name string, n long, mean double, m2 double", "Update", "None")
 
 
-def stream_apply_actions(log: DataFrame, root: str, checkpoint: str, schema: object) -> StreamingQuery:
-    """T4. Keep the table of regions up to date with a stream of corrections."""
-    latest, write = _versions(root, "regions", schema)
+class NewestActions(StatefulProcessor):
+    """T4. The newest id of each action family of a region; passes on the actions that become the newest, so late ones are lost."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "check long, name long, deleted long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        families = ("check", "name", "deleted")
+        seen = dict(zip(families, self.seen.get() if self.seen.exists() else (None,) * 3, strict=True))
+        new: dict[str, tuple] = {}
+        for frame in rows:
+            for id_, action, name, cluster in frame[["id", "action", "name", "cluster_id"]].itertuples(index=False):
+                for family in FAMILIES.get(action, ()):
+                    if seen[family] is None or id_ > seen[family]:
+                        seen[family] = int(id_)
+                        new[family] = (int(key[0]), family, int(id_), action, name if isinstance(name, str) else None, None if pd.isna(cluster) else int(cluster))
+        self.seen.update(tuple(seen[f] for f in families))
+        if new:
+            frame = pd.DataFrame(list(new.values()), columns=["region_id", "family", "id", "action", "name", "cluster_id"])
+            yield frame.astype({"cluster_id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_newest_actions(log: DataFrame) -> DataFrame:
+    """T4. Actions (id, region_id, action, cluster_id, name) that are the newest of their family so far, by region; needs the RocksDB state store."""
+    return log.where("region_id IS NOT NULL").groupBy("region_id").transformWithStateInPandas(NewestActions(), NEWEST, "Update", "None")
+
+
+def stream_apply_actions(log: DataFrame, table: BucketTable, checkpoint: str) -> StreamingQuery:
+    """T4. Keep the table of regions, keyed by region_id, up to date with a stream of corrections in any order.
+
+    The state holds the newest id of each family, so the table is what
+    ``apply_actions`` makes of the whole log, however it is cut and mixed. Only
+    buckets with changes are rewritten; a batch that runs again changes nothing more.
+    """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        write(apply_actions(latest(batch.sparkSession, batch_id), batch)["regions"], batch_id)
+        newest = staged(batch)
+        buckets = table.touched(newest)
+        table.rewrite(buckets, apply_newest(table.slice(batch.sparkSession, buckets), newest)["regions"])
+
+    return stream_newest_actions(log).writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Snapshots of the identities that are kept; a batch reads the one before its own.
+SNAPSHOTS = 3
+
+
+def snapshot(spark: SparkSession, root: str, batch_id: int, schema: object) -> DataFrame:
+    """T5. The identities after a batch, -1 being those at the start; only the last SNAPSHOTS are kept."""
+    return spark.read.schema(schema).parquet(f"{root}/identities/slot={batch_id % SNAPSHOTS}")
 
-    return log.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+def stream_attach(vectors: DataFrame, identities: DataFrame, root: str, checkpoint: str, run_id: int = 0, **options) -> StreamingQuery:
+    """T5. Match each batch of new vectors against the identities as the batch before left them, and fold its matches in.
 
-def stream_attach(vectors: DataFrame, identities: DataFrame, sink: str, checkpoint: str, **options) -> StreamingQuery:
-    """T5. Match each batch of new vectors against the identities as they are; a batch that runs again overwrites its own folder."""
+    Under ``root``: matches/batch=n, and identities/slot=k with the snapshot after
+    a batch. A batch reads the snapshot before it and writes its own two
+    folders, both from that alone, so a batch that runs again changes nothing.
+    """
+    identities.write.mode("ignore").parquet(f"{root}/identities/slot={-1 % SNAPSHOTS}")
+    schema = identities.schema
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        auto_attach(batch, identities, **options).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        spark, own = batch.sparkSession, staged(batch)
+        known = snapshot(spark, root, batch_id - 1, schema)
+        attached = staged(auto_attach(own, known, **options))
+        folded = persist_attach(attached, own, known, run_id)["identities"]
+        after = known.join(folded.select("name").hint("merge"), "name", "left_anti").unionByName(folded.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]))
+        after.write.mode("overwrite").parquet(f"{root}/identities/slot={batch_id % SNAPSHOTS}")
+        attached.write.mode("overwrite").parquet(f"{root}/matches/batch={batch_id}")
 
     return vectors.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import random
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from filmroll.functions import scoring
+from filmroll.operators import feedback
 from filmroll.operators.vectors import running_stats
+from filmroll.sources.buckets import BucketTable
 from filmroll.streaming import streams
 
 
@@ -16,15 +21,46 @@ def run(df, name, mode="append"):
     return df.sparkSession.table(name)
 
 
-def test_ingest_and_actions(spark, tmp_path):
-    schema = "path string, mtime double, hash long"
-    src = str(tmp_path / "in")
-    spark.createDataFrame([("a", 1.0, 1), ("b", 1.0, 2)], schema).coalesce(1).write.parquet(src)
+def files_of(table):
+    return {str(p.relative_to(table.path)): p.stat().st_mtime_ns for p in Path(table.path).rglob("*.parquet")}
+
+
+def test_ingest_rewrites_only_what_changes(spark, tmp_path):
+    schema = spark.createDataFrame([], "path string, mtime double, hash long").schema
+    table, src, seen = BucketTable(str(tmp_path / "items"), schema, ("path",), 16), str(tmp_path / "in"), {}
     read = lambda: spark.readStream.schema(schema).parquet(src)
-    streams.stream_ingest(read(), str(tmp_path / "t"), str(tmp_path / "c"), spark.createDataFrame([], schema).schema).awaitTermination(120)
-    spark.createDataFrame([("a", 2.0, 9), ("c", 1.0, 3)], schema).coalesce(1).write.mode("append").parquet(src)
-    streams.stream_ingest(read(), str(tmp_path / "t"), str(tmp_path / "c"), spark.createDataFrame([], schema).schema).awaitTermination(120)
-    assert {(r.path, r.hash) for r in spark.read.parquet(str(tmp_path / "t/items/v1")).collect()} == {("a", 9), ("b", 2), ("c", 3)}
+    take = lambda: streams.stream_ingest(read(), table, str(tmp_path / "c"), lambda n, counts: seen.setdefault(n, counts)).awaitTermination(120)
+    spark.createDataFrame([(f"f{i}", 1.0, i) for i in range(40)], schema).coalesce(1).write.parquet(src)
+    take()
+    before = files_of(table)
+    assert table.read(spark).count() == 40 and len({Path(p).parent for p in before}) > 8
+    spark.createDataFrame([("f3", 2.0, 99), ("f4", 1.0, 4), ("f5", 2.0, 5)], schema).coalesce(1).write.mode("append").parquet(src)
+    take()
+    after = files_of(table)
+    assert {(r.path, r.hash) for r in table.read(spark).collect()} == {(f"f{i}", 99 if i == 3 else i) for i in range(40)}
+    bucket = spark.createDataFrame([("f3",)], "path string").select(table.bucket()).first()[0]
+    changed = {p for p in before.keys() | after.keys() if before.get(p) != after.get(p)}
+    assert {Path(p).parent.name for p in changed} == {f"bucket={bucket}"}  # and its old file is gone
+    assert seen == {0: {"new": 40, "changed": 0, "unchanged": 0, "missing": 0}, 1: {"new": 0, "changed": 1, "unchanged": 2, "missing": 0}}
+
+
+def test_bucket_tables(spark, tmp_path):
+    """Upserts, slices and deletions are those of whole tables; emptied buckets stay empty; a change made again changes nothing."""
+    schema = spark.createDataFrame([], "k long, v string").schema
+    table = BucketTable(str(tmp_path / "t"), schema, ("k",), 4)
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    got = lambda: sorted((r.k, r.v) for r in table.read(spark).collect())
+    table.create(frame([(i, "old") for i in range(10)]))
+    for _ in range(2):
+        table.upsert(frame([(3, "new"), (20, "new")]))
+        assert got() == sorted([(i, "new" if i == 3 else "old") for i in range(10)] + [(20, "new")])
+    table.upsert(frame([(4, "ignored"), (21, "new")]), ignore=True)
+    table.replace_slice(frame([(5, "a"), (5, "b")]))
+    assert (4, "old") in got() and [v for k, v in got() if k == 5] == ["a", "b"]
+    for _ in range(2):
+        table.delete(frame([(i, None) for i in [*range(10), 20, 21]]))
+        assert got() == []
+    assert table.upsert(frame([])) == [] and table.delete(frame([(99, None)])) and got() == []
 
 
 def test_identity_stats_stream_equals_batch(spark, tmp_path):
@@ -54,21 +90,58 @@ def test_rates_sessions_and_dedup(spark, tmp_path):
     assert unique.count() == events.select("user_id", "action").distinct().count()
 
 
-def test_attach_stream(spark, tmp_path):
+def test_attach_stream_folds_each_batch(spark, tmp_path):
+    """The second batch meets what the first one folded; running a batch again changes nothing."""
     schema = "region_id long, embedding array<float>"
-    spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], schema).coalesce(1).write.parquet(str(tmp_path / "v"))
-    known = spark.createDataFrame([("Anne", [1.0, 0.0], 5, 0, 0.0, 0.0)], "name string, centroid array<double>, n_samples long, sim_n long, sim_mean double, sim_m2 double")
-    streams.stream_attach(spark.readStream.schema(schema).parquet(str(tmp_path / "v")), known, str(tmp_path / "o"), str(tmp_path / "k")).awaitTermination(120)
-    assert {r.region_id: r.status for r in spark.read.parquet(str(tmp_path / "o")).collect()} == {1: "matched", 2: "below"}
-
-
-def test_actions_stream(spark, tmp_path):
+    known = spark.createDataFrame([("Anne", [1.0, 0.0], 1, 0, 0.0, 0.0), ("Bob", [0.0, -1.0], 5, 0, 0.0, 0.0)], "name string, centroid array<double>, n_samples long, sim_n long, sim_mean double, sim_m2 double")
+    src, root = str(tmp_path / "v"), str(tmp_path / "o")
+    turned = [(1, [0.8, 0.6]), (2, [0.8, 0.6]), (3, [0.8, 0.6])]
+    late = [(4, [0.0, 1.0]), (5, [-1.0, 0.0])]
+    take = lambda c: streams.stream_attach(spark.readStream.schema(schema).parquet(src), known, root, str(tmp_path / c), threshold=0.35).awaitTermination(120)
+    spark.createDataFrame(turned, schema).coalesce(1).write.parquet(src)
+    take("k")
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(src)
+    take("k")
+    status = {r.region_id: (r.status, r.name) for r in spark.read.parquet(root + "/matches").collect()}
+    assert status[1] == ("matched", "Anne") and status[4] == ("matched", "Anne") and status[5][0] == "below"  # against (1, 0) it would be below
+    after = lambda n: {r.name: (r.n_samples, [round(x, 6) for x in r.centroid]) for r in streams.snapshot(spark, root, n, known.schema).collect()}
+    assert after(-1)["Anne"][0] == 1 and after(0) == {"Anne": (4, [0.85, 0.45]), "Bob": (5, [0.0, -1.0])} and after(1)["Anne"][0] == 5
+    want, matches = after(1), status
+    commits = sorted((tmp_path / "k" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()  # as if it was lost before the batch was noted as done
+    for crc in (tmp_path / "k" / "commits").glob(".*.crc"):
+        crc.unlink()
+    take("k")
+    assert after(1) == want and {r.region_id: (r.status, r.name) for r in spark.read.parquet(root + "/matches").collect()} == matches
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_actions_stream_in_any_order(spark, tmp_path, seed):
+    """A log cut into batches and mixed gives what the whole log gives at once."""
+    rng = random.Random(seed)
+    schema = "id long, region_id long, action string, cluster_id long, name string"
+    log = [(i, rng.choice([None, *range(12)]), rng.choice(["verified", "unverified", "named", "unassigned", "verified", "deleted" if i % 9 == 0 else "named"]), rng.choice([None, 7]), rng.choice([None, "Anne"])) for i in range(60)]
+    region = spark.createDataFrame([(i, rng.choice([None, 0, 1])) for i in range(15)], "region_id long, user_verified int")
+    table = BucketTable(str(tmp_path / "regions"), region.schema, ("region_id",), 4)
+    table.create(region)
+    mixed, src = rng.sample(log, len(log)), str(tmp_path / "l")
+    for at in range(0, 60, 20):
+        spark.createDataFrame(mixed[at : at + 20], schema).coalesce(1).write.mode("append").parquet(src)
+        streams.stream_apply_actions(spark.readStream.schema(schema).parquet(src), table, str(tmp_path / "k")).awaitTermination(180)
+    want = feedback.apply_actions(region, spark.createDataFrame(log, schema))
+    assert sorted(map(tuple, table.read(spark).collect()), key=str) == sorted(map(tuple, want["regions"].collect()), key=str)
+    assert want["log"].count() == sum(r[1] is not None for r in log)
+
+
+def test_late_actions_lose(spark, tmp_path):
     schema = "id long, region_id long, action string, cluster_id long, name string"
-    spark.createDataFrame([(1, 1, "verified", None, None)], schema).coalesce(1).write.parquet(str(tmp_path / "l"))
-    region = spark.createDataFrame([(1, 0), (2, 0)], "region_id long, user_verified int")
-    region.write.parquet(str(tmp_path / "r/regions/v-1"))
-    streams.stream_apply_actions(spark.readStream.schema(schema).parquet(str(tmp_path / "l")), str(tmp_path / "r"), str(tmp_path / "k"), region.schema).awaitTermination(120)
-    assert {r.region_id: r.user_verified for r in spark.read.parquet(str(tmp_path / "r/regions/v0")).collect()} == {1: 1, 2: 0}
+    region = spark.createDataFrame([(1, None), (2, 0)], "region_id long, user_verified int")
+    table = BucketTable(str(tmp_path / "regions"), region.schema, ("region_id",), 4)
+    table.create(region)
+    for row in ((10, 1, "verified", None, None), (5, 1, "unverified", None, None)):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "l"))
+        streams.stream_apply_actions(spark.readStream.schema(schema).parquet(str(tmp_path / "l")), table, str(tmp_path / "k")).awaitTermination(120)
+    assert {r.region_id: r.user_verified for r in table.read(spark).collect()} == {1: 1, 2: 0}
 
 
 def test_scoring(spark):
