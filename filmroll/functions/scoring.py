@@ -102,6 +102,31 @@ def detect(df: DataFrame, factory: Callable[[], Detector], model_name: str, batc
     return df.select("item_id", "content").mapInPandas(run, "item_id long, x int, y int, w int, h int, det_score double, vector array<float>, model_name string, error string")
 
 
+REGION = "x int, y int, w int, h int, det_score double, vector array<float>, error string"
+
+
+def detector_table(factory: Callable[[], Detector]) -> object:
+    """X3. The detector as a table function of one content, for lateral joins: rows come out as regions are found.
+
+    A content that cannot be read gives one row with the error; the others of its batch are not touched.
+    """
+
+    class Detect:
+        def eval(self, content):  # noqa: ANN001, ANN202
+            try:
+                for r in _model(factory).detect([content])[0]:
+                    yield (*map(int, r["box"]), float(r["score"]), [float(v) for v in r["vector"]], None)
+            except Exception as e:
+                yield (None,) * 6 + (f"{type(e).__name__}: {e}"[:200],)
+
+    return F.udtf(Detect, returnType=REGION)
+
+
+def detect_lateral(df: DataFrame, factory: Callable[[], Detector]) -> DataFrame:
+    """X3. item_id and the regions found in every content (item_id, content), by a lateral join with the detector."""
+    return df.select("item_id", "content").lateralJoin(detector_table(factory)(F.col("content").outer())).drop("content")
+
+
 def unscored(items: DataFrame, existing: DataFrame, model_name: str, force: bool = False) -> DataFrame:
     """X5. Items that a model has not scored yet."""
     return items if force else items.join(existing.where(F.col("model_name") == model_name).select("item_id").distinct(), "item_id", "left_anti")
@@ -140,3 +165,16 @@ class FakeTagger:
         if any(str(c).startswith("bad") for c in contents):
             raise ValueError("unreadable")
         return [[(FAKE_TAGS[b % 7], 0.5 + b / 512) for b in hashlib.sha256(str(c).encode()).digest()[:3]] for c in contents]
+
+
+class FakeDetector:
+    """X6. None to three deterministic regions per content; contents that start with "bad" fail."""
+
+    def detect(self, contents: list) -> list[list[dict]]:
+        if any(str(c).startswith("bad") for c in contents):
+            raise ValueError("unreadable")
+        out = []
+        for c in contents:
+            raw = hashlib.sha256(str(c).encode()).digest()
+            out.append([{"box": (raw[i], raw[i + 1], 20 + i, 30 + i), "score": raw[i + 2] / 256, "vector": [raw[i] / 256, raw[i + 1] / 256]} for i in range(1, 1 + raw[0] % 4)])
+        return out

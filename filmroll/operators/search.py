@@ -45,6 +45,21 @@ def hits_by_cluster(found: DataFrame) -> DataFrame:
     return found.groupBy("cluster_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.col("item_id"))), ",").alias("item_ids"))
 
 
+def split_tags(item_tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """J1. (tags, facts) of flat rows (item_id, tag, score, model_name): each tag of a kind once, with an id, and facts that name the id.
+
+    The id is a hash of tag and kind, so tables split at different times agree.
+    """
+    keyed = item_tags.withColumn("kind", tag_kind(F.col("model_name"))).withColumn("tag_id", F.xxhash64("tag", "kind"))
+    return keyed.select("tag_id", "tag", "kind").distinct(), keyed.select("item_id", "tag_id", "score", "model_name")
+
+
+def tagged_items(facts: DataFrame, tags: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """J1. Facts (item_id, tag_id, ...) with the tags (tag_id, tag, kind) they name, and the path of their items if ``items`` are given."""
+    named = facts.join(tags.select("tag_id", "tag", "kind"), "tag_id").drop("tag_id")
+    return named if items is None else named.join(items.select("item_id", "path"), "item_id")
+
+
 def list_tags(item_tags: DataFrame, min_score: float = 0.0) -> DataFrame:
     """P3. Tags above a score, best first."""
     return item_tags.where(F.col("score") >= min_score).orderBy(F.desc("score"), "tag")

@@ -64,14 +64,28 @@ def top2(vectors: DataFrame, identities: DataFrame, excluded: DataFrame | None =
     sent to the executors; more are dealt into blocks that meet packs of
     vectors, and the blocks' winners are merged.
     """
+    few = few_rows(identities.select("name", "centroid"))
+    return _top2_few(vectors, few, excluded) if few is not None else _top2_many(vectors, identities, excluded)
+
+
+def few_rows(identities: DataFrame) -> list | None:
+    """The rows, by name, of a table of up to MATRIX_ROWS; None if there are more. Computes it once."""
+    rows = identities.limit(MATRIX_ROWS + 1).collect()
+    return sorted(rows, key=lambda r: (r["name"] is None, r["name"] or "")) if len(rows) <= MATRIX_ROWS else None
+
+
+def _top2_few(vectors: DataFrame, rows: list, excluded: DataFrame | None) -> DataFrame:
     sims = _with_excluded(vectors, excluded)
-    known = identities.select("name", "centroid").orderBy("name")
-    if small(known, MATRIX_ROWS):
-        by_dim: dict[int, list] = {}
-        for r in known.where("centroid IS NOT NULL").collect():
+    by_dim: dict[int, list] = {}
+    for r in rows:
+        if r["centroid"] is not None:
             by_dim.setdefault(len(r["centroid"]), []).append(r)
-        fixed = {dim: ([r["name"] for r in rows], _unit([r["centroid"] for r in rows])) for dim, rows in by_dim.items()}
-        return sims.mapInArrow(_scorer(sims.sparkSession.sparkContext.broadcast(fixed)), TOP2)  # MATRIX_ROWS at most
+    fixed = {dim: ([r["name"] for r in own], _unit([r["centroid"] for r in own])) for dim, own in by_dim.items()}
+    return sims.mapInArrow(_scorer(sims.sparkSession.sparkContext.broadcast(fixed)), TOP2)  # MATRIX_ROWS at most
+
+
+def _top2_many(vectors: DataFrame, identities: DataFrame, excluded: DataFrame | None) -> DataFrame:
+    sims, known = _with_excluded(vectors, excluded), identities.select("name", "centroid")
     order = W.partitionBy("region_id").orderBy(F.desc("sim"), "name")
     ranked = _block_best(sims, known, 2).withColumn("second", F.lead("sim").over(order)).withColumn("_n", F.row_number().over(order)).withColumn("_x", F.sum("n_excluded").over(W.partitionBy("region_id")))
     return ranked.where("_n = 1").select("region_id", "name", "sim", "second", F.col("_x").cast("int").alias("n_excluded"))
@@ -168,9 +182,14 @@ def auto_attach(vectors: DataFrame, identities: DataFrame, threshold: float = 0.
     ``identities``: name, centroid, and sim_n, sim_mean, sim_m2 of earlier
     matches. Centroids stay as they are for the whole batch.
     """
-    found = top2(vectors, identities, excluded)
-    limits = identities.select("name", validate_threshold(auto_verify, F.col("sim_n"), F.col("sim_mean"), F.col("sim_m2")).alias("_limit"))
-    joined = found.join(limits.hint("broadcast" if small(limits, MATRIX_ROWS) else "merge"), "name", "left")
+    limit = validate_threshold(auto_verify, F.col("sim_n"), F.col("sim_mean"), F.col("sim_m2")).alias("_limit")
+    few = few_rows(identities.select("name", "centroid", limit))
+    if few is not None:
+        found = _top2_few(vectors, few, excluded)
+        limits = F.broadcast(found.sparkSession.createDataFrame([(r["name"], r["_limit"]) for r in few], "name string, _limit double"))
+    else:
+        found, limits = _top2_many(vectors, identities, excluded), identities.select("name", limit).hint("merge")
+    joined = found.join(limits, "name", "left")
     status = F.when(F.col("sim").isNull() | (F.col("sim") < threshold), "below").when(F.col("second").isNotNull() & (F.col("sim") - F.col("second") < margin), "ambiguous").otherwise("matched")
     return joined.withColumn("status", status).withColumn("validated", (F.col("status") == "matched") & (F.col("sim") >= F.col("_limit"))).select("region_id", "name", "sim", "second", "n_excluded", "status", "validated")
 

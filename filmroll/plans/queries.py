@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from filmroll.functions import scalars as X
+from filmroll.functions import scoring
 from filmroll.operators import audit, clustering, feedback, matching, people, places, rules, search, vector_index, vectors
 from filmroll.plans.views import ctes, view
 from filmroll.sources import export, files, tables
@@ -923,3 +926,177 @@ def _(regions):
     boxes = regions.selectExpr("region_id", "item_id", "det_score", "named_struct('x', CAST(region_id % 50 AS INT), 'y', CAST(region_id % 40 AS INT), 'w', w + 20, 'h', h + 20) AS box")
     drawn = boxes.groupBy("item_id").agg(F.struct(F.min("box.x").alias("x"), F.min("box.y").alias("y"), F.lit(60).alias("w"), F.lit(60).alias("h")).alias("box")).select(F.col("item_id").alias("request_id"), "item_id", "box")
     return people.pick_region(drawn, boxes).select("request_id", "region_id")
+
+
+# --- joins of base tables, one-to-one matching and clustering where the answer is plain
+
+
+@query("j01_tagged_items", "lineitem", "part", "orders", sql="""
+SELECT l_orderkey AS item_id, l_quantity / 50.0 AS score, p_brand AS tag, concat('size', p_size % 3) AS kind, concat(o_orderpriority, '/', o_orderkey) AS path
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey""")
+def _(lineitem, part, orders):
+    facts = lineitem.selectExpr("l_orderkey AS item_id", "l_partkey AS tag_id", "l_quantity / 50.0D AS score")
+    tags = part.selectExpr("p_partkey AS tag_id", "p_brand AS tag", "concat('size', p_size % 3) AS kind")
+    return search.tagged_items(facts, tags, orders.selectExpr("o_orderkey AS item_id", "concat(o_orderpriority, '/', o_orderkey) AS path"))
+
+
+@query("j01_split_tags", "item_tags", sql="""
+SELECT item_id, tag, score, model_name, CASE WHEN model_name = 'geo_v1' THEN 'geo' ELSE 'label' END AS kind FROM item_tags""")
+def _(item_tags):
+    tags, facts = search.split_tags(item_tags)
+    return search.tagged_items(facts, tags)
+
+
+@query("j04_labelled_assignments", "assignments", "clusters", sql="""
+SELECT a.region_id, a.run_id, a.cluster_no, round(a.distance, 6) AS distance, c.cluster_id, c.label_user FROM assignments a JOIN clusters c ON a.run_id = c.run_id AND a.cluster_no = c.cluster_no""")
+def _(assignments, clusters):
+    return people.labelled_assignments(assignments, clusters).withColumn("distance", F.round("distance", 6))
+
+
+_OLD = "SELECT event_id AS region_id, event_id AS item_id, CASE WHEN event_id % 4 = 0 THEN 1 END AS user_verified FROM events WHERE event_id % 2 = 0"
+
+
+def _boxes(regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An item for every second region with one old box, and every third with one new box: in the same place, or far off where the id ends in 6."""
+    box = lambda x: F.struct(F.lit(x).alias("x"), F.lit(0).alias("y"), F.lit(20).alias("w"), F.lit(20).alias("h"))
+    own = regions.select("region_id", F.col("region_id").alias("item_id"))
+    old = own.where("region_id % 2 = 0").withColumns({"user_verified": F.when(F.col("region_id") % 4 == 0, 1), "box": box(0)})
+    new = own.where("region_id % 3 = 0").withColumns({"region_id": F.col("region_id") + 10_000_000, "user_verified": F.lit(None).cast("int"), "box": F.when(F.col("region_id") % 10 == 6, box(100)).otherwise(box(1))})
+    return old, new
+
+
+@query("j14_match_single_boxes", "regions", sql="""
+SELECT event_id AS item_id, event_id AS old_id, event_id + 10000000 AS new_id, round(380.0 / 420.0, 6) AS iou FROM events WHERE event_id % 6 = 0 AND event_id % 10 <> 6""")
+def _(regions):
+    return matching.match_boxes(*_boxes(regions)).withColumn("iou", F.round("iou", 6))
+
+
+@query("j15_redetect_merge", "regions", sql=f"""
+WITH old AS ({_OLD}), fresh AS (SELECT event_id AS item_id FROM events WHERE event_id % 3 = 0)
+SELECT region_id, user_verified FROM old WHERE user_verified = 1 AND item_id IN (SELECT item_id FROM fresh WHERE item_id % 10 <> 6)
+UNION ALL SELECT item_id + 10000000, NULL FROM fresh WHERE NOT (item_id % 4 = 0 AND item_id % 10 <> 6)""")
+def _(regions):
+    return matching.redetect_merge(*_boxes(regions)).select("region_id", "user_verified")
+
+
+@query("s02_fingerprint", "documents", sql="SELECT min(doc_id) AS first, count(*) AS copies FROM documents GROUP BY text")
+def _(documents):
+    return files.fingerprint(documents, "text").groupBy("hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).drop("hash")
+
+
+@query("f10_euclidean", "vectors", sql="""
+SELECT a.vec_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS apart FROM vectors a JOIN vectors b ON b.vec_id = a.vec_id + 1""")
+def _(v):
+    follower = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return v.join(follower, "vec_id").select("vec_id", F.round(X.euclidean(F.col("embedding"), F.col("other")), 5).alias("apart"))
+
+
+@query("v06_attach_one", "vectors", sql=f"""
+WITH {_CENTROIDS}, {_SIMS}, {_TOP2} SELECT region_id, round(1 - sim, 5) AS distance, 'cosine_dist' AS distance_kind FROM top2 WHERE {_STATUS} = 'matched' ORDER BY region_id LIMIT 1""")
+def _(v):
+    found = vectors.auto_attach(_regions_of(v), _identities(v), 0.1, 0.02, 0.3)
+    one = found.where("status = 'matched'").orderBy("region_id").limit(1)
+    return vectors.persist_attach(one, _regions_of(v), _identities(v), 3)["assignments"].select("region_id", F.round("distance", 5).alias("distance"), "distance_kind")
+
+
+@query("v12_match_same_means", "vectors", sql=f"WITH {_CENTROIDS} SELECT CAST(label AS VARCHAR) AS cluster, CAST(label AS VARCHAR) AS name, CAST(1.0 AS DOUBLE) AS sim FROM cent")
+def _(v):
+    means = vectors.centroids(v, "label").select(F.col("label").cast("string").alias("cluster"), F.col("centroid").alias("vector"))
+    return matching.match_one_to_one(means, means.withColumnRenamed("cluster", "name"), 0.1).withColumn("sim", F.round("sim", 5))
+
+
+#: Clusters of customers that stand on a circle by nation, far from other nations and next to nothing apart within their own.
+_NATIONS = """sizes AS (SELECT c_nationkey AS nation, count(*) AS n, min(c_custkey) AS least FROM customer {where} GROUP BY c_nationkey),
+numbered AS (SELECT nation, row_number() OVER (ORDER BY least) - 1 AS cluster_no FROM sizes WHERE n >= 3)"""
+
+
+def _circle(customer: DataFrame) -> DataFrame:
+    angle = F.col("c_nationkey") * (2 * math.pi / 25)
+    return customer.select(F.col("c_custkey").alias("vec_id"), F.array(F.cos(angle), F.sin(angle), F.col("c_custkey") % 2 * 1e-3).alias("embedding"))
+
+
+_PLAIN = {"n_components": 2, "min_size": 3, "min_samples": 2, "eps": 0.05}
+
+
+@query("v08_density_hierarchy", "customer", sql=f"""
+WITH {_NATIONS.format(where="")} SELECT c_custkey AS vec_id, coalesce(cluster_no, -1) AS cluster_no FROM customer LEFT JOIN numbered ON nation = c_nationkey""")
+def _(customer):
+    places = _circle(customer).withColumnRenamed("embedding", "reduced")
+    return clustering.density_hierarchy(places, 3, 2, 0.1, 4).select("vec_id", "cluster_no")
+
+
+@query("v09_cluster_plain_items", "customer", sql=f"""
+WITH {_NATIONS.format(where="")} SELECT c_custkey AS vec_id, 5 AS run_id, coalesce(cluster_no, -1) AS cluster_no, CAST(0.0 AS DOUBLE) AS distance FROM customer LEFT JOIN numbered ON nation = c_nationkey""")
+def _(customer):
+    return clustering.cluster_items(_circle(customer), run_id=5, **_PLAIN)[1].withColumn("distance", F.round("distance", 2))
+
+
+@query("v10_cluster_regions", "customer", "nation", sql=f"""
+WITH {_NATIONS.format(where="")}, named AS (SELECT c_nationkey AS nation FROM customer WHERE c_custkey = (SELECT min(c_custkey) FROM customer))
+SELECT c_custkey AS region_id, CASE WHEN cluster_no IS NULL THEN NULL WHEN c_nationkey IN (SELECT nation FROM named) THEN 'asserted' ELSE n_name END AS label_user
+FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN numbered ON numbered.nation = c_nationkey""")
+def _(customer, nation):
+    means = vectors.centroids(_circle(customer).join(customer.select(F.col("c_custkey").alias("vec_id"), "c_nationkey"), "vec_id"), "c_nationkey")
+    known = nation.join(means, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("n_name").alias("name"), "centroid")
+    log = customer.agg(F.min("c_custkey").alias("region_id")).select(F.lit(1).cast("long").alias("id"), "region_id", F.lit("named").alias("action"), F.lit(None).cast("long").alias("cluster_id"), F.lit("asserted").alias("name"))
+    labelled, moved = clustering.cluster_regions(_circle(customer), known, log, 0.99, run_id=7, **_PLAIN)
+    return moved.join(labelled.select("cluster_no", "label_user"), "cluster_no").select("region_id", "label_user")
+
+
+@query("v11_recluster_orphans", "customer", sql=f"""
+WITH {_NATIONS.format(where="WHERE c_nationkey < 12")} SELECT c_custkey AS vec_id, coalesce(cluster_no, -1) AS cluster_no FROM customer LEFT JOIN numbered ON nation = c_nationkey WHERE c_nationkey < 12""")
+def _(customer):
+    orphans = customer.where("c_nationkey < 12").select(F.col("c_custkey").alias("region_id"))
+    return clustering.recluster_orphans(_circle(customer), orphans, run_id=8, **_PLAIN)[1].select("vec_id", "cluster_no")
+
+
+@query("v11b_refine_noise", "customer", "nation", sql=f"""
+WITH {_NATIONS.format(where="WHERE c_nationkey >= 12")} SELECT cluster_no, n_name AS label_auto FROM numbered JOIN nation ON n_nationkey = nation""")
+def _(customer, nation):
+    members = customer.select(F.col("c_custkey").alias("vec_id"), F.when(F.col("c_nationkey") >= 12, -1).otherwise(0).alias("cluster_no"))
+    tags = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("item_id"), F.col("n_name").alias("tag"))
+    return clustering.refine_noise(_circle(customer), members, tags, run_id=9, **_PLAIN)[2]
+
+
+# --- scoring by the fake models; every tenth content cannot be read
+
+_CONTENTS = "contents AS (SELECT p_partkey AS item_id, concat(CASE WHEN p_partkey % 10 = 0 THEN 'bad ' ELSE '' END, p_brand, p_partkey) AS content FROM part), hashed AS (SELECT *, sha256(content) AS h FROM contents)"
+
+
+def _contents(part: DataFrame) -> DataFrame:
+    return part.select(F.col("p_partkey").alias("item_id"), F.concat(F.when(F.col("p_partkey") % 10 == 0, "bad ").otherwise(""), "p_brand", F.col("p_partkey").cast("string")).alias("content"))
+
+
+def _byte(n: str) -> str:
+    return f"CAST(concat('0x', substr(h, 2 * ({n}) + 1, 2)) AS INT)"
+
+
+@query("x01_score_tags", "part", sql=f"""
+WITH {_CONTENTS}, each AS (SELECT item_id, {_byte("i")} AS b FROM hashed, range(3) t(i) WHERE content NOT LIKE 'bad%')
+SELECT item_id, ['cat', 'dog', 'tree', 'beach', 'car', 'smile', 'night'][b % 7 + 1] AS tag, 0.5 + b / 512.0 AS score, 'fake' AS model_name, NULL AS error FROM each WHERE 0.5 + b / 512.0 >= 0.7
+UNION ALL SELECT item_id, NULL, NULL, 'fake', 'ValueError: unreadable' FROM contents WHERE content LIKE 'bad%'""")
+def _(part):
+    return scoring.score_tags(_contents(part), scoring.FakeTagger, "fake", 0.7)
+
+
+@query("x02_embed", "part", sql=f"""
+WITH {_CONTENTS}, each AS (SELECT item_id, i, {_byte("i")} - 127.5 AS x FROM hashed, range(8) t(i))
+SELECT item_id, round(max(CASE WHEN i = 0 THEN x END) / sqrt(sum(x * x)), 4) AS first, round(max(CASE WHEN i = 7 THEN x END) / sqrt(sum(x * x)), 4) AS last FROM each GROUP BY item_id""")
+def _(part):
+    found = scoring.embed(_contents(part), scoring.FakeEmbedder, "fake")
+    return found.select("item_id", F.round(F.col("vector")[0].cast("double"), 4).alias("first"), F.round(F.col("vector")[7].cast("double"), 4).alias("last"))
+
+
+_DETECTED = f"""
+WITH {_CONTENTS} SELECT item_id, {_byte("i")} AS x, {_byte("i + 1")} AS y, 20 + i AS w, 30 + i AS h, {_byte("i + 2")} / 256.0 AS det_score, NULL AS error FROM hashed, range(1, 4) t(i) WHERE i <= {_byte("0")} % 4 AND content NOT LIKE 'bad%'
+UNION ALL SELECT item_id, NULL, NULL, NULL, NULL, NULL, 'ValueError: unreadable' FROM contents WHERE content LIKE 'bad%'"""
+
+
+@query("x03_detect", "part", sql=_DETECTED)
+def _(part):
+    return scoring.detect(_contents(part), scoring.FakeDetector, "fake").drop("vector", "model_name")
+
+
+@query("x03_detect_lateral", "part", sql=_DETECTED)
+def _(part):
+    return scoring.detect_lateral(_contents(part), scoring.FakeDetector).drop("vector")
