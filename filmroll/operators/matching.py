@@ -2,29 +2,99 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from filmroll.functions.scalars import cosine, iou
+from filmroll.operators.graph import components
 from filmroll.sources.staging import small, staged
 
 
+#: Entries of the matrix of a component that one task solves exactly (64 MB); larger ones go to the auction.
+CELLS = 8_000_000
+
+
+def assign(gain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Column of each row (-1: none) in a matching of largest total gain, and row and column prices that prove it.
+
+    Shortest augmenting paths (Kuhn; Jonker and Volgenant): no gain is above the
+    sum of its row's and column's prices, none of which is negative, and the prices sum up to the total.
+    """
+    n, m = gain.shape
+    cost = np.hstack([-gain, np.zeros((n, n))])  # the columns behind stand for staying alone
+    u, v = np.zeros(n + 1), np.zeros(n + m + 1)
+    row_of, back = np.zeros(n + m + 1, dtype=np.int64), np.zeros(n + m, dtype=np.int64)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        least, used = np.full(n + m, np.inf), np.zeros(n + m + 1, dtype=bool)
+        while True:
+            used[j] = True
+            free = ~used[1:]
+            slack = cost[row_of[j] - 1] - u[row_of[j]] - v[1:]
+            closer = free & (slack < least)
+            least[closer], back[closer] = slack[closer], j
+            then = int(np.argmin(np.where(free, least, np.inf))) + 1
+            step = least[then - 1]
+            u[row_of[used]] += step
+            v[used] -= step
+            least[free] -= step
+            j = then
+            if not row_of[j]:
+                break
+        while j:
+            row_of[j], j = row_of[back[j - 1]], back[j - 1]
+    found = np.full(n, -1, dtype=np.int64)
+    held = np.flatnonzero(row_of[1 : m + 1])
+    found[row_of[1 : m + 1][held] - 1] = held
+    return found, -u[1:], -v[1 : m + 1]
+
+
+def _solve(table: pa.Table) -> pa.Table:
+    """The matching of one component's pairs (cluster, name, sim)."""
+    clusters, rows = np.unique(table["cluster"].to_numpy(zero_copy_only=False).astype(object), return_inverse=True)
+    names, columns = np.unique(table["name"].to_numpy(zero_copy_only=False).astype(object), return_inverse=True)
+    sims, gain = table["sim"].to_numpy(), np.zeros((len(clusters), len(names)))
+    gain[rows, columns] = sims + 1  # to stay alone is worth a similarity of -1
+    found = assign(gain)[0]
+    return table.select(["cluster", "name", "sim"]).filter(pa.array(found[rows] == columns))
+
+
 def match_one_to_one(clusters: DataFrame, identities: DataFrame, threshold: float, epsilon: float = 1e-4, most: int = 20_000, rounds: int = 10_000) -> DataFrame:
-    """V12. cluster, name and sim of a one-to-one matching of near-largest total similarity, pairs below ``threshold`` dropped.
-
-    A distributed auction (Bertsekas): clusters without an identity bid for the
-    one that gives them most after its price; an identity goes to the highest
-    bidder, whose bid becomes its price. Bids beat the second choice by
-    ``epsilon``, so the total is within epsilon of the best for every cluster.
-    A cluster may stay alone at the gain of the threshold. ``clusters``:
-    cluster, vector; ``identities``: name, vector.
+    """V12. cluster, name and sim of a one-to-one matching of largest total similarity over pairs from ``threshold``, staying alone being worth -1.
+
+    Pairs from the threshold on fall into components, which are matched apart:
+    those up to CELLS exactly, each in a task, larger ones by a distributed
+    auction (:func:`auction`), whose total is within ``epsilon`` of the best for every
+    cluster. ``clusters``: cluster, vector; ``identities``: name, vector.
     """
     if not small(identities, most):
         raise ValueError(f"more than {most} identities")
     pool = F.broadcast(identities.select("name", F.col("vector").alias("_v"), F.size("vector").alias("_dim")))
     pairs = clusters.select("cluster", "vector", F.size("vector").alias("_dim")).join(pool, "_dim").select("cluster", "name", cosine(F.col("vector"), F.col("_v")).alias("sim")).where(F.col("sim") >= threshold)
     pairs = staged(pairs)
+    sizes = [F.count_distinct("cluster").alias("n"), F.count_distinct("name").alias("m")]
+    cells = F.col("n") * (F.col("n") + F.col("m"))
+    if pairs.agg(*sizes).select(cells).first()[0] <= CELLS:
+        return pairs.groupBy(F.lit(0).alias("root")).applyInArrow(_solve, "cluster string, name string, sim double")
+    rooted = pairs.withColumns({"u": F.concat(F.lit("c:"), "cluster"), "v": F.concat(F.lit("n:"), "name")})
+    roots = components(rooted.select("u", "v"))
+    rooted = staged(rooted.join(roots.select(F.col("node").alias("u"), "root").hint("merge"), "u", "left").select(F.coalesce("root", "u").alias("root"), "cluster", "name", "sim"))
+    large = rooted.groupBy("root").agg(*sizes).where(cells > CELLS).select("root")
+    exact = rooted.join(large.hint("merge"), "root", "left_anti").groupBy("root").applyInArrow(_solve, "cluster string, name string, sim double")
+    return exact.unionByName(auction(staged(rooted.join(large.hint("merge"), "root", "left_semi").drop("root")), epsilon, rounds))
+
+
+def auction(pairs: DataFrame, epsilon: float = 1e-4, rounds: int = 10_000) -> DataFrame:
+    """V12. A matching of near-largest total of stored pairs (cluster, name, sim), by a distributed auction (Bertsekas).
+
+    Clusters without an identity bid for the one that gives them most after its
+    price; an identity goes to the highest bidder, whose bid becomes its price.
+    Bids beat the second choice by ``epsilon``. A cluster stays alone once every
+    identity costs more than a similarity of -1 is worth.
+    """
     spark = pairs.sparkSession
     owned = spark.createDataFrame([], "name string, cluster string, price double")
     out = spark.createDataFrame([], "cluster string")

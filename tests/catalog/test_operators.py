@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,7 +319,9 @@ def test_matching_is_near_the_best(spark):
     got = matching.match_one_to_one(spark.createDataFrame(a, "cluster string, vector array<double>"), spark.createDataFrame(b, "name string, vector array<double>"), -1.0).collect()
     cos = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True)) / math.sqrt(sum(p * p for p in x) * sum(q * q for q in y))
     best = max(sum(cos(a[i][1], b[j][1]) for i, j in enumerate(p)) for p in itertools.permutations(range(5), 4))
-    assert len({r.cluster for r in got}) == len({r.name for r in got}) == 4 and sum(r.sim for r in got) > best - 0.01
+    assert len({r.cluster for r in got}) == len({r.name for r in got}) == 4 and sum(r.sim for r in got) > best - 1e-9
+    pairs = spark.createDataFrame([(x, y, cos(p, q)) for x, p in a for y, q in b], "cluster string, name string, sim double")
+    assert sum(r.sim for r in matching.auction(pairs, 5e-3).collect()) > best - 0.03
 
 
 def test_boxes_merge(spark):
@@ -385,10 +388,37 @@ def test_boxes_are_matched_like_a_plain_greedy_choice(spark):
 
 
 def test_an_auction_that_does_not_end_says_so(spark):
-    both = [(f"c{i}", [1.0, 0.01 * i]) for i in range(5)]
-    one = spark.createDataFrame(both, "cluster string, vector array<double>")
+    pairs = spark.createDataFrame([(f"c{i}", f"n{j}", 1 - 0.01 * abs(i - j)) for i in range(5) for j in range(5)], "cluster string, name string, sim double")
     with pytest.raises(RuntimeError, match="did not end"):
-        matching.match_one_to_one(one, one.withColumnRenamed("cluster", "name"), -1.0, rounds=1)
+        matching.auction(pairs, rounds=1)
+
+
+@pytest.mark.parametrize(("n", "m"), [(200, 200), (30, 7), (7, 30), (1, 1)])
+def test_exact_matching_proves_itself(n, m):
+    """Near ties: prices are feasible and sum up to the total, so no matching is better."""
+    rng = np.random.default_rng(n + m)
+    gain = np.round(1.5 + rng.normal(0, 1e-3, (n, m)), 5) * (rng.random((n, m)) > 0.2)
+    found, u, v = matching.assign(gain)
+    taken = found[found >= 0]
+    total = gain[np.flatnonzero(found >= 0), taken].sum()
+    assert len(set(taken)) == len(taken) and (u > -1e-9).all() and (v > -1e-9).all()
+    assert (u[:, None] + v >= gain - 1e-9).all() and abs(u.sum() + v.sum() - total) < 1e-6
+
+
+def test_matching_by_components(spark, monkeypatch):
+    """Matched apart, components give what the whole gives."""
+    rng = random.Random(4)
+    groups = [[[rng.gauss(0, 1) if k == g else rng.gauss(0, 0.02) for k in range(3)] for _ in range(2 + g)] for g in range(3)]
+    places = [[1.0 if k == g else 0.0 for k in range(3)] for g in range(3)]
+    near = lambda g: [p + rng.gauss(0, 0.1) for p in places[g]]
+    a = [(f"c{g}{i}", near(g)) for g in range(3) for i in range(len(groups[g]))]
+    b = [(f"n{g}{i}", near(g)) for g in range(3) for i in range(3)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} string, vector array<double>")
+    whole = matching.match_one_to_one(frame(a, "cluster"), frame(b, "name"), 0.8).collect()
+    monkeypatch.setattr(matching, "CELLS", 30)
+    apart = matching.match_one_to_one(frame(a, "cluster"), frame(b, "name"), 0.8).collect()
+    assert len(apart) == 8 and all(r.cluster[1] == r.name[1] for r in apart)
+    assert {(r.cluster, r.name) for r in whole} == {(r.cluster, r.name) for r in apart}
 
 
 def test_orphans_are_adopted(spark):
