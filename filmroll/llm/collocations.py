@@ -42,6 +42,16 @@ _ENDS = frozenset(b".,;:!?\n\x0b\x0c\r")
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers below 2 ** 32 as compressed bytes, behind their count."""
+    return len(values).to_bytes(8, "little") + pa.compress(values.astype("<u4").tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: pa.BinaryScalar) -> np.ndarray:
+    data = memoryview(raw.as_buffer())
+    return np.frombuffer(pa.decompress(data[8:], 4 * int.from_bytes(data[:8], "little"), codec="zstd"), dtype="<u4").astype(np.int32)
+
+
 class _Ids(dict):
     """Numbers of tokens as they are met: words from 1, ends of pieces 0."""
 
@@ -81,7 +91,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.frombuffer(ids, dtype=np.int32)
             counts = np.bincount(row, minlength=len(known.words) + 1)[1:]
             number += 1
-            columns = [[number], [lang], [row.tobytes()], [[w.decode() for w in known.words]], [counts]]
+            columns = [[number], [lang], [_packed(row)], [[w.decode() for w in known.words]], [counts]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)], names=["shard", "lang", "ids", "words", "counts"])
         held.clear()
 
@@ -179,13 +189,13 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, raw, known in zip(batch.column("shard").to_pylist(), batch.column("ids"), batch.column("known"), strict=True):
             place, gid = (x.to_numpy() for x in known.values.flatten())
             order = np.argsort(gid)
-            ids = np.frombuffer(raw.as_buffer(), dtype=np.int32)
+            ids = _unpacked(raw)
             table = np.zeros(max(int(ids.max()), int(place.max()) + 1) + 1, dtype=np.int64)
             table[place[order] + 1] = np.arange(1, len(gid) + 1)
             seq = np.append(table[ids], 0)
             seq = seq[(seq > 0) | np.concatenate([[False], seq[:-1] > 0])]
             sides = [transform(seq), transform(np.append(seq[:-1][::-1], 0))]
-            columns = [([shard], pa.int64()), ([gid[order]], pa.list_(pa.int64())), *(([s.tobytes()], pa.binary()) for s in sides)]
+            columns = [([shard], pa.int64()), ([gid[order]], pa.list_(pa.int64())), *(([_packed(s)], pa.binary()) for s in sides)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["shard", "gids", "forward", "backward"])
 
 
@@ -195,7 +205,7 @@ def _indexes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarr
         for i in range(batch.num_rows):
             row = {n: batch.column(n)[i] for n in batch.schema.names}
             gids = np.append([-1], row["gids"].values.to_numpy())
-            yield row, gids, Index(*(np.frombuffer(row[n].as_buffer(), dtype=np.int32) for n in ("forward", "backward")), len(gids) - 1)
+            yield row, gids, Index(*(_unpacked(row[n]) for n in ("forward", "backward")), len(gids) - 1)
 
 
 def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
