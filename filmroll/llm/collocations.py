@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -31,6 +31,8 @@ MIN_COUNT, TOP, COVER = 30, 2000, 80
 SHARD_WORDS = 1 << 21
 #: Bytes of shards or indexes that a worker is handed at once, and phrases that it hands back.
 ROW_BYTES, PHRASE_ROWS = 1 << 21, 1 << 16
+#: Frequent pairs up to which their ids (16 bytes each) are sent to every executor; more are joined to the shards that hold them.
+PAIR_ROWS = 2_000_000
 #: Bytes of a text that are cut into words at once.
 BLOCK_BYTES = 1 << 20
 #: Parts of a language whose best phrases are found on their own, before they meet.
@@ -220,27 +222,35 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _sliced(pa.RecordBatch.from_arrays([pa.array(np.full(len(n), row["shard"].as_py())), pa.array(gids[word + 1]), pa.array(gids[follower]), pa.array(n)], names=["shard", "g1", "g2", "n"]))
 
 
-def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases of three words (to the right) and four (to the left) whose neighbouring words are all frequent pairs."""
-    for row, gids, index in _indexes(batches):
-        one, two = (np.searchsorted(gids, x.to_numpy()) for x in row["pairs"].values.flatten())
-        frequent = np.sort(one * index.size + two)
-
-        def known(a: np.ndarray, b: np.ndarray, pairs: np.ndarray = frequent, size: int = index.size) -> np.ndarray:
-            key = a * size + b
-            at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-            return pairs[at] == key
-
-        a, b, *ends = index.extend(False, *index.words())
-        keep = known(a + 1, b)
-        a, b, ends = a[keep] + 1, b[keep], [e[keep] for e in ends]
-        of, c, *ends = index.extend(False, *ends)
-        keep = known(b[of], c)
-        a, b, c, ends = a[of][keep], b[of][keep], c[keep], [e[keep] for e in ends]
-        yield from _sliced(_phrases(gids, (a, b, c), ends[2]))
-        of, before, _, _, n = index.extend(True, *ends)
-        keep = known(before, a[of])
-        yield from _sliced(_phrases(gids, (before[keep], a[of][keep], b[of][keep], c[of][keep]), n[keep]))
+def _longer(everywhere: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Phrases of three words (to the right) and four (to the left) whose neighbouring words are all frequent pairs: those ``everywhere`` or in the shard's row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, gids, index in _indexes(batches):
+            ids = everywhere.value if everywhere else [x.to_numpy() for x in row["pairs"].values.flatten()]
+            one, two = (np.minimum(np.searchsorted(gids, x), len(gids) - 1) for x in ids)
+            here = (gids[one] == ids[0]) & (gids[two] == ids[1])
+            frequent = np.sort(one[here] * index.size + two[here])
+            if not len(frequent):
+                continue
+
+            def known(a: np.ndarray, b: np.ndarray, pairs: np.ndarray = frequent, size: int = index.size) -> np.ndarray:
+                key = a * size + b
+                at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+                return pairs[at] == key
+
+            a, b, *ends = index.extend(False, *index.words())
+            keep = known(a + 1, b)
+            a, b, ends = a[keep] + 1, b[keep], [e[keep] for e in ends]
+            of, c, *ends = index.extend(False, *ends)
+            keep = known(b[of], c)
+            a, b, c, ends = a[of][keep], b[of][keep], c[keep], [e[keep] for e in ends]
+            yield from _sliced(_phrases(gids, (a, b, c), ends[2]))
+            of, before, _, _, n = index.extend(True, *ends)
+            keep = known(before, a[of])
+            yield from _sliced(_phrases(gids, (before[keep], a[of][keep], b[of][keep], c[of][keep]), n[keep]))
+
+    return run
 
 
 def _phrases(gids: np.ndarray, codes: tuple[np.ndarray, ...], n: np.ndarray) -> pa.RecordBatch:
@@ -279,18 +289,21 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) -> DataFra
 
     placed = shards.select("shard", "lang", F.posexplode("words").alias("place", "word"))
     known = placed.join(words.select("lang", "word", "gid").hint("merge"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "gid")).alias("known"))
-    with batches_of(docs.sparkSession, ROW_BYTES):
+    spark = docs.sparkSession
+    with batches_of(spark, ROW_BYTES):
         inputs = shards.select("shard", "ids").join(known.hint("merge"), "shard")
         index = materialize(inputs.mapInArrow(_build, "shard long, gids array<long>, forward binary, backward binary"))
 
-        # one shuffle of the pairs tells both which are frequent and which shards hold them
-        everywhere = F.sum("n").over(W.partitionBy("g1", "g2"))
-        held = index.mapInArrow(_pairs, "shard long, g1 long, g2 long, n long").withColumn("a", everywhere)
-        pairs = materialize(held.where(F.col("a") >= min_count).select("shard", "g1", "g2", "a"))
-        own = pairs.groupBy("shard").agg(F.collect_list(F.struct("g1", "g2")).alias("pairs"))
-        longer = index.join(own.hint("merge"), "shard").mapInArrow(_longer, "g array<long>, n long")
-        frequent = pairs.select(F.array("g1", "g2").alias("g"), "a").distinct()
-        phrases = materialize(frequent.union(_sum(longer, ["g"], min_count).select("g", "a")))
+        pairs = index.mapInArrow(_pairs, "shard long, g1 long, g2 long, n long")
+        frequent = materialize(_sum(pairs, ["g1", "g2"], min_count))
+        if frequent.count() <= PAIR_ROWS:
+            ids = frequent.select("g1", "g2").toArrow()
+            everywhere = spark.sparkContext.broadcast([ids[c].to_numpy() for c in ("g1", "g2")])
+            longer = index.mapInArrow(_longer(everywhere), "g array<long>, n long")
+        else:
+            own = pairs.select("shard", "g1", "g2").join(frequent.select("g1", "g2").hint("merge"), ["g1", "g2"]).groupBy("shard").agg(F.collect_list(F.struct("g1", "g2")).alias("pairs"))
+            longer = index.join(own.hint("merge"), "shard").mapInArrow(_longer(None), "g array<long>, n long")
+        phrases = materialize(frequent.select(F.array("g1", "g2").alias("g"), "a").union(_sum(longer, ["g"], min_count).select("g", "a")))
 
     parts = words.select(F.array("gid").alias("g"), "a").union(phrases.where(F.size("g") < 4))
     cuts = phrases.select("g", "a", F.explode(F.sequence(F.lit(1), F.size("g") - 1)).alias("k"))

@@ -42,8 +42,10 @@ def brute_collocations(rows, least, top):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_collocations_equal_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "pairs"), [(1, 2_000_000), (2, 0)])
+def test_collocations_equal_brute_force(spark, monkeypatch, seed, pairs):
+    """Also with more frequent pairs than are sent to the executors."""
+    monkeypatch.setattr(collocations, "PAIR_ROWS", pairs)
     rng = random.Random(seed)
     vocabulary = ["a", "A", "bb", "é", "中", "c\x00d", "e\x1cf", "gg-h", "İx"]
     rows = []
