@@ -10,20 +10,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from filmroll.functions.scalars import euclidean, normalize
 from filmroll.operators.graph import components
 from filmroll.operators.vectors import centroids
-from filmroll.sources.staging import staged
+from filmroll.sources.staging import small, staged
 from filmroll.sources.tables import union_all
 
 #: Points of a block of the neighbour join, and dimensions of the grid it goes by.
 CELL_POINTS, GRID_DIMS = 1_024, 3
 #: Pairs of blocks in an Arrow batch.
 PAIR_ROWS = 100
+#: Dimensions up to which dense sub-cells are looked for; beyond, their sides are too short to hold many points.
+SUB_DIMS = 6
+#: Dense sub-cells up to which their keys are sent to every executor.
+CELL_ROWS = 200_000
+#: Columns of a point and of a dense sub-cell in a block.
+POINT, SUB_CELL = ("node", "reduced", "w", "tied"), ("node", "reduced", "high", "tips")
+#: Pairs of sub-cells whose outermost points are compared at once.
+TIP_ROWS = 1_024
 
 
 @contextmanager
@@ -45,37 +53,44 @@ def reduce_dims(vectors: DataFrame, n_components: int) -> DataFrame:
     return model.transform(unit).select("vec_id", vector_to_array("_r").alias("reduced"))
 
 
-def _block_pairs(nodes: DataFrame, eps: float, ordered: bool) -> DataFrame:
-    """Pairs of blocks of ``nodes`` (node, reduced, w, tied) that may hold points up to ``eps`` apart: own, others.
+def _blocks(nodes: DataFrame, side: float, fields: tuple[str, ...]) -> DataFrame:
+    """Blocks of rows of one cell of the grid: cell, salt and the ``fields`` of its rows as points."""
+    placed = nodes.withColumn("cell", F.transform(F.slice("reduced", 1, GRID_DIMS), lambda x: F.floor(x / side)))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_POINTS).alias("n_salts"))
+    salted = placed.join(sizes, "cell").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("n_salts")))
+    return staged(salted.groupBy("cell", "salt").agg(F.collect_list(F.struct(*fields)).alias("points")))
+
+
+def _block_pairs(nodes: DataFrame, eps: float, ordered: bool, others: DataFrame | None = None, fields: tuple[str, ...] = POINT) -> DataFrame:
+    """Pairs of blocks that may hold points up to ``eps`` apart, of ``nodes`` alone or of ``nodes`` and ``others``: own, others.
 
     Cells of side eps over the first dimensions, each with its neighbours; a
     cell of many points is dealt into several blocks. ``ordered`` gives every
-    pair of blocks once.
+    pair of blocks of ``nodes`` once.
     """
     side = (eps or 1.0) * (1 + 1e-9)
-    placed = nodes.withColumn("cell", F.transform(F.slice("reduced", 1, GRID_DIMS), lambda x: F.floor(x / side)))
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_POINTS).alias("n_salts"))
-    salted = placed.join(sizes, "cell").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("n_salts")))
-    blocks = staged(salted.groupBy("cell", "salt").agg(F.collect_list(F.struct("node", "reduced", "w", "tied")).alias("points")))
+    blocks = _blocks(nodes, side, fields)
+    against = blocks if others is None else _blocks(others, side, fields)
     around = F.col("cell")
     near = blocks.withColumn("at", F.array().cast("array<bigint>"))
     for i in range(GRID_DIMS):
         near = near.withColumn("step", F.explode(F.when(F.size(around) > i, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-        near = near.withColumn("at", F.when(F.size(around) > i, F.concat("at", F.array(F.get(around, F.lit(i)) + F.col("step")))).otherwise(F.col("at"))).drop("step")
-    pairs = near.join(blocks.select(F.col("cell").alias("at"), F.col("salt").alias("other_salt"), F.col("points").alias("others")).hint("merge"), "at")
+        near = near.withColumn("at", F.when(F.size(around) > i, F.concat("at", F.array(F.try_add(F.get(around, F.lit(i)), F.col("step"))))).otherwise(F.col("at"))).drop("step")
+    pairs = near.join(against.select(F.col("cell").alias("at"), F.col("salt").alias("other_salt"), F.col("points").alias("others")).hint("merge"), "at")
     pairs = pairs.where(F.struct("cell", "salt") <= F.struct(F.col("at").alias("cell"), F.col("other_salt").alias("salt"))) if ordered else pairs
     return pairs.select(F.col("points").alias("own"), "others")
 
 
 def _read(batch: pa.RecordBatch) -> Iterator[tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]]:
-    """Nodes, places, weights and ties of both blocks of each pair, one pair at a time."""
+    """The fields of both blocks of each pair, one pair at a time; lists as rows of a matrix."""
 
-    def block(points: pa.Array) -> tuple[np.ndarray, ...]:
-        node, reduced, w, tied = points.flatten()
-        return node.to_numpy(), reduced.flatten().to_numpy().reshape(len(points), -1), w.to_numpy(), tied.to_numpy(zero_copy_only=False)
+    def field(values: pa.Array) -> np.ndarray:
+        if pa.types.is_list(values.type):
+            return values.flatten().to_numpy().reshape(len(values), -1)
+        return values.to_numpy(zero_copy_only=False)
 
     for own, others in zip(batch.column("own"), batch.column("others"), strict=True):
-        yield block(own.values), block(others.values)
+        yield tuple(map(field, own.values.flatten())), tuple(map(field, others.values.flatten()))
 
 
 def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,6 +119,87 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
+def _span(squares: Column) -> Column:
+    """Root of the sum of an array, added in order, as :func:`_close` does."""
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
+
+
+def dense_cells(nodes: DataFrame, eps: float, min_samples: int) -> tuple[DataFrame, DataFrame] | None:
+    """Sub-cells whose points are all up to ``eps`` apart and more than ``min_samples``, and ``nodes`` with rep, the least node of theirs; None without such cells.
+
+    A sub-cell has the side eps / sqrt(d), and the box of its points is measured.
+    All its points are core and in one component, so it stands for them: its
+    row has their box (reduced, high) and, in ``tips``, the outermost points of each
+    dimension. Tied points are in none.
+    """
+    first = nodes.select(F.size("reduced").alias("d")).first()
+    if not eps or first is None or not 0 < first.d <= SUB_DIMS:
+        return None
+    side = eps / np.sqrt(first.d) * (1 - 1e-9)
+    placed = nodes.withColumn("sub", F.when(~F.col("tied"), F.transform("reduced", lambda x: F.floor(x / float(side)))))
+    at = [F.get("reduced", F.lit(i)) for i in range(first.d)]
+    tips = F.flatten(F.array(*[most("reduced", x) for x in at for most in (F.min_by, F.max_by)]))
+    cells = placed.where("sub IS NOT NULL").groupBy("sub").agg(F.min("node").alias("node"), F.sum("w").alias("w"), F.array(*map(F.min, at)).alias("reduced"), F.array(*map(F.max, at)).alias("high"), tips.alias("tips"))
+    wide = _span(F.zip_with("high", "reduced", lambda h, x: (h - x) * (h - x)))
+    cells = staged(cells.where((F.col("w") - 1 >= min_samples) & (wide <= eps)))
+    if cells.isEmpty():
+        return None
+    found = cells.select("sub", F.col("node").alias("rep"))
+    return cells, staged(placed.join(found.hint("broadcast" if small(found, CELL_ROWS) else "merge"), "sub", "left").drop("sub"))
+
+
+def _cell_links(cells: DataFrame, points: DataFrame, edges: DataFrame, eps: float) -> DataFrame:
+    """Edges (src, dst) that join dense sub-cells as their points up to ``eps`` apart do, beside the known ``edges``.
+
+    Boxes farther apart are out, and two outermost points up to eps apart link their
+    sub-cells at once. A pair that is still open, and in two components of all
+    that is linked by then, is settled by its points: those within eps of the
+    other's box, in blocks.
+    """
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (a, low_a, high_a, tips_a), (b, low_b, high_b, tips_b) in _read(batch):
+                gap, d = np.zeros((len(a), len(b))), low_a.shape[1]
+                for k in range(d):
+                    gap += np.maximum(0, np.maximum(low_b[None, :, k] - high_a[:, None, k], low_a[:, None, k] - high_b[None, :, k])) ** 2
+                i, j = np.nonzero(np.sqrt(gap) <= eps)
+                for at in range(0, len(i), TIP_ROWS):
+                    one, two = i[at : at + TIP_ROWS], j[at : at + TIP_ROWS]
+                    p, q = tips_a.reshape(len(a), -1, d)[one], tips_b.reshape(len(b), -1, d)[two]
+                    total = np.zeros((len(one), 2 * d, 2 * d))
+                    for k in range(d):
+                        total += (p[:, :, None, k] - q[:, None, :, k]) ** 2
+                    sure = np.sqrt(total.min(axis=(1, 2))) <= eps
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[one], b[two])), pa.array(np.maximum(a[one], b[two])), pa.array(sure)], names=["src", "dst", "sure"])
+
+    def touching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [(_close(a, b) <= eps).any() for (a,), (b,) in _read(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(hits, pa.bool_())) for c in ("src", "dst")], names=["src", "dst"])
+
+    near = staged(_block_pairs(cells, 2 * eps, True, fields=SUB_CELL).mapInArrow(met, "src long, dst long, sure boolean").where("src <> dst").distinct())
+    sure = near.where("sure").select("src", "dst")
+    roots = components(edges.select("src", "dst").union(sure).toDF("u", "v"))
+    root = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")).hint("merge")
+    undecided = near.where("NOT sure").select("src", "dst").join(root("src"), "src", "left").join(root("dst"), "dst", "left")
+    undecided = staged(undecided.where(F.coalesce("src_root", "src") != F.coalesce("dst_root", "dst")).select("src", "dst"))
+    if undecided.isEmpty():
+        return sure
+
+    def facing(own: str, other: str) -> DataFrame:
+        boxed = undecided.join(cells.select(F.col("node").alias(other), F.col("reduced").alias("low"), "high").hint("merge"), other)
+        met = boxed.join(points.where("rep IS NOT NULL").select(F.col("rep").alias(own), "node", "reduced").hint("merge"), own)
+        out = F.transform("reduced", lambda x, i: F.greatest(F.get("low", i) - x, x - F.get("high", i), F.lit(0.0)))
+        rows = staged(met.where(_span(F.transform(out, lambda x: x * x)) <= eps).select("src", "dst", "node", "reduced"))
+        sizes = rows.groupBy("src", "dst").agg(F.ceil(F.count("*") / CELL_POINTS).alias("n_salts"))
+        dealt = rows.join(sizes.hint("merge"), ["src", "dst"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("n_salts")))
+        return staged(dealt.groupBy("src", "dst", "salt").agg(F.collect_list(F.struct("reduced")).alias("points")).drop("salt"))
+
+    pairs = facing("src", "dst").withColumnRenamed("points", "own").join(facing("dst", "src").withColumnRenamed("points", "others").hint("merge"), ["src", "dst"])
+    return sure.union(staged(pairs.mapInArrow(touching, "src long, dst long").distinct()))
+
+
 def density_cluster(points: DataFrame, min_size: int, min_samples: int, eps: float, constraints: tuple | None = None) -> DataFrame:
     """V8. vec_id and cluster_no (-1: noise) by cutting the mutual-reachability graph at ``eps``.
 
@@ -143,17 +239,25 @@ def density_cluster(points: DataFrame, min_size: int, min_samples: int, eps: flo
                 at = np.array([*_forest(near & ~both), *np.argwhere(both).tolist()], dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(other[at[:, 1]]), pa.array(dist[at[:, 0], at[:, 1]])], names=["src", "dst", "weight"])
 
+    dense = dense_cells(nodes, eps, min_samples)
+    nodes = dense[1] if dense else nodes.withColumn("rep", F.lit(None).cast("long"))
     with pair_batches(points.sparkSession):
-        within = _block_pairs(nodes, eps, ordered=False).mapInArrow(counted, "node long, n long")
-        core = staged(within.groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") - 1 >= min_samples).select("node"))  # but the point itself
-        edges = _block_pairs(nodes.join(core, "node"), eps, ordered=True).mapInArrow(linked, "src long, dst long, weight double").where("src <> dst")
+        loose = nodes.where("rep IS NULL")
+        within = _block_pairs(loose, eps, False, nodes if dense else None).mapInArrow(counted, "node long, n long")
+        counts = within.groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") - 1 >= min_samples)  # but the point itself
+        core = staged(counts.select("node", F.col("node").alias("unit")).union(nodes.where("rep IS NOT NULL").select("node", "rep")))
+        units = nodes.join(core, "node").select(F.col("unit").alias("node"), "reduced", "w", "tied", "rep")
+        alone = units.where("rep IS NULL")
+        edges = _block_pairs(alone, eps, not dense, units if dense else None).mapInArrow(linked, "src long, dst long, weight double").where("src <> dst")
         if constraints:
             from filmroll.operators.feedback import apply_constraints
 
             edges = apply_constraints(staged(edges), *constraints)
-        roots = components(edges.where(F.col("weight") <= eps).select(F.col("src").alias("u"), F.col("dst").alias("v")))
-    rooted = nodes.join(roots, "node", "left").join(core.withColumn("_core", F.lit(True)), "node", "left")
-    rooted = rooted.select("reduced", "alone", F.coalesce("root", F.when(F.col("_core"), F.col("node"))).alias("root"))
+        edges = staged(edges.where(F.col("weight") <= eps).select("src", "dst").distinct())
+        edges = edges.union(_cell_links(dense[0], nodes, edges, eps)) if dense else edges
+        roots = components(edges.toDF("u", "v"))
+    rooted = nodes.join(core, "node", "left").withColumn("at", F.coalesce("unit", "node")).join(roots.withColumnRenamed("node", "at"), "at", "left")
+    rooted = rooted.select("reduced", "alone", F.coalesce("root", "unit").alias("root"))
     labelled = staged(named.join(rooted, ["reduced", "alone"]).select("vec_id", F.coalesce("root", "vec_id").alias("root")))
     large = labelled.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
     numbered = large.withColumn("cluster_no", (F.row_number().over(W.orderBy("root")) - 1).cast("int"))
