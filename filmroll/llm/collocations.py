@@ -5,9 +5,10 @@ shards get ids; everything else ends a piece. Each shard is stored as a
 bidirectional index: the Burrows-Wheeler transforms of its word ids and of their
 reversal. Intervals of phrases are extended to the right by one transform and to
 the left by the other, all intervals of a depth at once; their sizes are counts,
-and counts are summed over shards. Phrases of two words come first, and only
-those frequent over all shards are extended further, so what is shuffled follows
-the frequent part of the corpus.
+and counts are summed over shards. Phrases of two words come first; those of
+three follow where both of their pairs are frequent over all shards, those of
+four where both of their triples are, so what is shuffled follows the frequent
+part of the corpus.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from filmroll.llm.common import batches_of, documents, materialize
+from filmroll.sources.tables import union_all
 
 #: Least count of a candidate, rows of a language, and the share of a phrase that a longer one must hold to replace it (in per cent).
 MIN_COUNT, TOP, COVER = 30, 2000, 80
@@ -31,7 +33,7 @@ MIN_COUNT, TOP, COVER = 30, 2000, 80
 SHARD_WORDS = 1 << 21
 #: Bytes of shards or indexes that a worker is handed at once, and phrases that it hands back.
 ROW_BYTES, PHRASE_ROWS = 1 << 21, 1 << 16
-#: Frequent pairs up to which their ids (16 bytes each) are sent to every executor; more are joined to the shards that hold them.
+#: Frequent phrases of a length up to which their ids (8 bytes a word) are sent to every executor; more are joined to the shards that hold them.
 PAIR_ROWS = 2_000_000
 #: Bytes of a text that are cut into words at once.
 BLOCK_BYTES = 1 << 20
@@ -219,52 +221,82 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Phrases of two words of each shard, with counts."""
     for row, gids, index in _indexes(batches):
         word, follower, _, _, n = index.extend(False, *index.words())
-        yield from _sliced(pa.RecordBatch.from_arrays([pa.array(np.full(len(n), row["shard"].as_py())), pa.array(gids[word + 1]), pa.array(gids[follower]), pa.array(n)], names=["shard", "g1", "g2", "n"]))
+        yield from _batches(row, gids, [word + 1, follower], n)
 
 
-def _longer(everywhere: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Phrases of three words (to the right) and four (to the left) whose neighbouring words are all frequent pairs: those ``everywhere`` or in the shard's row."""
+def _among(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in a sorted table keys stand, and whether they do."""
+    at = np.minimum(np.searchsorted(table, keys), max(len(table) - 1, 0))
+    return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
+
+
+def _frequent(row: dict, gids: np.ndarray, everywhere: Broadcast | None) -> list[np.ndarray]:
+    """The frequent phrases whose words a shard has, as codes: a column a word, of those ``everywhere`` or in the shard's row."""
+    ids = everywhere.value if everywhere else [x.to_numpy() for x in row["held"].values.flatten()]
+    codes, here = zip(*(_among(gids, x) for x in ids), strict=True)
+    every = np.logical_and.reduce(here)
+    return [c[every] for c in codes]
+
+
+def _batches(row: dict, gids: np.ndarray, words: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Phrases of a shard by the global ids of their words, with counts."""
+    columns = [pa.array(np.full(len(n), row["shard"].as_py(), dtype=np.int64)), *(pa.array(gids[w]) for w in words), pa.array(n, pa.int64())]
+    yield from _sliced(pa.RecordBatch.from_arrays(columns, names=["shard", *(f"g{k + 1}" for k in range(len(words))), "n"]))
+
+
+def _triples(everywhere: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Phrases of three words, to the right of two, whose pairs of neighbours are both frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, gids, index in _indexes(batches):
-            ids = everywhere.value if everywhere else [x.to_numpy() for x in row["pairs"].values.flatten()]
-            one, two = (np.minimum(np.searchsorted(gids, x), len(gids) - 1) for x in ids)
-            here = (gids[one] == ids[0]) & (gids[two] == ids[1])
-            frequent = np.sort(one[here] * index.size + two[here])
-            if not len(frequent):
-                continue
-
-            def known(a: np.ndarray, b: np.ndarray, pairs: np.ndarray = frequent, size: int = index.size) -> np.ndarray:
-                key = a * size + b
-                at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-                return pairs[at] == key
+            one, two = _frequent(row, gids, everywhere)
+            pairs = np.sort(one * index.size + two)
+            a, b, *ends = index.extend(False, *index.words())
+            a, keep = a + 1, _among(pairs, (a + 1) * index.size + b)[1]
+            a, b, ends = a[keep], b[keep], [e[keep] for e in ends]
+            of, c, _, _, n = index.extend(False, *ends)
+            keep = _among(pairs, b[of] * index.size + c)[1]
+            yield from _batches(row, gids, [a[of][keep], b[of][keep], c[keep]], n[keep])
+
+    return run
 
+
+def _fours(everywhere: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Phrases of four words, to the left of frequent ones of three, whose first three words are frequent as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, gids, index in _indexes(batches):
+            one, two, three = _frequent(row, gids, everywhere)
+            heads = np.unique(one * index.size + two)
+            triples = np.sort(_among(heads, one * index.size + two)[0] * index.size + three)
             a, b, *ends = index.extend(False, *index.words())
-            keep = known(a + 1, b)
-            a, b, ends = a[keep] + 1, b[keep], [e[keep] for e in ends]
+            at, keep = _among(heads, (a + 1) * index.size + b)
+            at, a, b, ends = at[keep], a[keep] + 1, b[keep], [e[keep] for e in ends]
             of, c, *ends = index.extend(False, *ends)
-            keep = known(b[of], c)
+            keep = _among(triples, at[of] * index.size + c)[1]
             a, b, c, ends = a[of][keep], b[of][keep], c[keep], [e[keep] for e in ends]
-            yield from _sliced(_phrases(gids, (a, b, c), ends[2]))
             of, before, _, _, n = index.extend(True, *ends)
-            keep = known(before, a[of])
-            yield from _sliced(_phrases(gids, (before[keep], a[of][keep], b[of][keep], c[of][keep]), n[keep]))
+            at, begun = _among(heads, before * index.size + a[of])
+            keep = begun & _among(triples, at * index.size + b[of])[1]
+            yield from _batches(row, gids, [before[keep], a[of][keep], b[of][keep], c[of][keep]], n[keep])
 
     return run
 
 
-def _phrases(gids: np.ndarray, codes: tuple[np.ndarray, ...], n: np.ndarray) -> pa.RecordBatch:
-    """Phrases as arrays of global ids."""
-    flat = gids[np.stack(codes, axis=1).reshape(-1)] if len(n) else np.empty(0, np.int64)
-    ends = pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(codes))
-    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(flat)), pa.array(n, pa.int64())], names=["g", "n"])
-
-
 def _sum(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Counts over all shards, of at least ``least``."""
     return rows.groupBy(*keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
 
 
+def _handed(index: DataFrame, found: DataFrame, frequent: DataFrame, keys: list[str]) -> tuple[DataFrame, Broadcast | None]:
+    """Indexes with what tells frequent phrases: their ids on every executor if counted few, else beside the index of each shard that ``found`` them, in ``held``."""
+    if frequent.count() <= PAIR_ROWS:
+        ids = frequent.select(*keys).toArrow()
+        return index, index.sparkSession.sparkContext.broadcast([ids[c].to_numpy() for c in keys])
+    own = found.select("shard", *keys).join(frequent.select(*keys).hint("merge"), keys).groupBy("shard").agg(F.collect_list(F.struct(*keys)).alias("held"))
+    return index.join(own.hint("merge"), "shard"), None
+
+
 def _subphrases(g: Column) -> Column:
     """The shorter phrases of two words and more inside a phrase of up to four."""
     part = lambda start, size: F.when(F.size(g) >= start + size - 1, F.slice(g, start, size))
@@ -289,21 +321,18 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) -> DataFra
 
     placed = shards.select("shard", "lang", F.posexplode("words").alias("place", "word"))
     known = placed.join(words.select("lang", "word", "gid").hint("merge"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "gid")).alias("known"))
-    spark = docs.sparkSession
-    with batches_of(spark, ROW_BYTES):
+    with batches_of(docs.sparkSession, ROW_BYTES):
         inputs = shards.select("shard", "ids").join(known.hint("merge"), "shard")
         index = materialize(inputs.mapInArrow(_build, "shard long, gids array<long>, forward binary, backward binary"))
 
-        pairs = index.mapInArrow(_pairs, "shard long, g1 long, g2 long, n long")
-        frequent = materialize(_sum(pairs, ["g1", "g2"], min_count))
-        if frequent.count() <= PAIR_ROWS:
-            ids = frequent.select("g1", "g2").toArrow()
-            everywhere = spark.sparkContext.broadcast([ids[c].to_numpy() for c in ("g1", "g2")])
-            longer = index.mapInArrow(_longer(everywhere), "g array<long>, n long")
-        else:
-            own = pairs.select("shard", "g1", "g2").join(frequent.select("g1", "g2").hint("merge"), ["g1", "g2"]).groupBy("shard").agg(F.collect_list(F.struct("g1", "g2")).alias("pairs"))
-            longer = index.join(own.hint("merge"), "shard").mapInArrow(_longer(None), "g array<long>, n long")
-        phrases = materialize(frequent.select(F.array("g1", "g2").alias("g"), "a").union(_sum(longer, ["g"], min_count).select("g", "a")))
+        found, counted = index.mapInArrow(_pairs, "shard long, g1 long, g2 long, n long"), []
+        for longer in (_triples, _fours, None):
+            keys = [c for c in found.columns if c.startswith("g")]
+            counted.append(materialize(_sum(found, keys, min_count)))
+            if longer:
+                held, everywhere = _handed(index, found, counted[-1], keys)
+                found = held.mapInArrow(longer(everywhere), f"shard long, {', '.join(f'g{k + 1} long' for k in range(len(keys) + 1))}, n long")
+        phrases = union_all([c.select(F.array(*[g for g in c.columns if g != "a"]).alias("g"), "a") for c in counted])
 
     parts = words.select(F.array("gid").alias("g"), "a").union(phrases.where(F.size("g") < 4))
     cuts = phrases.select("g", "a", F.explode(F.sequence(F.lit(1), F.size("g") - 1)).alias("k"))
