@@ -1025,6 +1025,16 @@ def _(customer):
     return clustering.density_hierarchy(places, 3, 2, 0.1, 4).select("vec_id", "cluster_no")
 
 
+@query("v08_density_of_prices", "orders", sql="""
+WITH near AS (SELECT o_orderkey AS vec_id, o_totalprice AS x, count(*) OVER (ORDER BY o_totalprice RANGE BETWEEN 200.005 PRECEDING AND 200.005 FOLLOWING) - 1 AS n FROM orders),
+core AS (SELECT vec_id, x, CASE WHEN x - lag(x) OVER (ORDER BY x, vec_id) <= 200.005 THEN 0 ELSE 1 END AS opens FROM near WHERE n >= 5),
+parts AS (SELECT vec_id, sum(opens) OVER (ORDER BY x, vec_id ROWS UNBOUNDED PRECEDING) AS part FROM core),
+numbered AS (SELECT part, row_number() OVER (ORDER BY min(vec_id)) - 1 AS cluster_no FROM parts GROUP BY part HAVING count(*) >= 6)
+SELECT o_orderkey AS vec_id, coalesce(cluster_no, -1) AS cluster_no FROM orders LEFT JOIN parts ON vec_id = o_orderkey LEFT JOIN numbered USING (part)""")
+def _(orders):
+    return clustering.density_cluster(orders.select(F.col("o_orderkey").alias("vec_id"), F.array("o_totalprice").alias("reduced")), 6, 5, 200.005)
+
+
 @query("v09_cluster_plain_items", "customer", sql=f"""
 WITH {_NATIONS.format(where="")} SELECT c_custkey AS vec_id, 5 AS run_id, coalesce(cluster_no, -1) AS cluster_no, CAST(0.0 AS DOUBLE) AS distance FROM customer LEFT JOIN numbered ON nation = c_nationkey""")
 def _(customer):
