@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from filmroll.operators.people import NOISE
+from filmroll.sources.staging import small, staged
+
+#: Regions of a block of one label, pairs of regions that a task makes, and labels up to which their sizes are sent to every executor.
+BLOCK_REGIONS, TASK_PAIRS, LABEL_ROWS = 512, 1 << 22, 200_000
 
 
 def corrections(log: DataFrame, actions: list[str] | None = None, region_id: int | None = None, limit: int | None = None) -> DataFrame:
@@ -60,11 +66,40 @@ def rejections(log: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFram
     return cannot_link(log, clusters), named
 
 
+def _pairs_by_label(rejected: DataFrame, named: DataFrame) -> DataFrame:
+    """src and dst of every pair of a rejection and a naming (region_id, label; distinct rows) of one label.
+
+    Both sides of a label are dealt into blocks, and every pair of blocks is a
+    row that is spread over the tasks on its own, so neither a hot label nor their
+    small number holds a task up; tasks are as many as the pairs ask for.
+    """
+    blocks = lambda df, n: df.groupBy("label").agg(F.count("*").alias(n))
+    sizes = staged(blocks(rejected, "n_src").join(blocks(named, "n_dst").hint("merge"), "label"))
+    pairs = sizes.agg(F.sum(F.col("n_src").cast("double") * F.col("n_dst"))).first()[0] or 0.0
+    n_tasks = math.ceil((pairs + 1) / TASK_PAIRS)
+    counted = sizes.select("label", *[F.ceil(F.col(n) / BLOCK_REGIONS).alias(n) for n in ("n_src", "n_dst")]).hint("broadcast" if small(sizes, LABEL_ROWS) else "merge")
+
+    def side(df: DataFrame, own: str, other: str) -> DataFrame:
+        dealt = df.join(counted, "label").withColumn(own, F.pmod(F.xxhash64("region_id"), F.col(f"n_{own}")))
+        stored = staged(dealt.groupBy("label", own, f"n_{other}").agg(F.collect_list("region_id").alias(f"{own}s")))
+        met = stored.select("label", own, f"{own}s", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1)).alias(other))
+        return met.repartition(n_tasks, "label", "src", "dst")
+
+    met = side(rejected, "src", "dst").join(side(named, "dst", "src").hint("merge"), ["label", "src", "dst"])
+    return met.select(F.explode("srcs").alias("src"), "dsts").select("src", F.explode("dsts").alias("dst")).where("src <> dst")
+
+
 def cannot_links(log: DataFrame, clusters: DataFrame) -> DataFrame:
-    """J17. A region that rejected a name, against every region of that name: all pairs."""
-    rejected, named = rejections(log, clusters)
-    pairs = rejected.withColumnRenamed("region_id", "src").join(named.withColumnRenamed("region_id", "dst"), "label").where("src <> dst")
-    return pairs.select("src", "dst").distinct()
+    """J17. A region that rejected a name, against every region of that name: all pairs.
+
+    A region has one name, so its pairs are distinct as they are; only where a
+    log repeats an id, and so a region has several names, they are told apart.
+    """
+    rejected, named = map(staged, rejections(log, clusters))
+    names = staged(named.groupBy("region_id").agg(F.collect_list("label").alias("labels")))
+    pairs = _pairs_by_label(rejected, names.where(F.size("labels") == 1).select("region_id", F.col("labels")[0].alias("label")))
+    several = names.where(F.size("labels") > 1).select("region_id", F.explode("labels").alias("label"))
+    return pairs if several.isEmpty() else pairs.union(_pairs_by_label(rejected, several).distinct())
 
 
 def apply_constraints(edges: DataFrame, must: DataFrame, cannot: DataFrame | tuple[DataFrame, DataFrame]) -> DataFrame:

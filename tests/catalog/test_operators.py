@@ -238,6 +238,19 @@ def test_cannot_links_are_whole(spark):
     assert got[0] == got[1] == [(0, 1, 0.1), (4, 5, 0.0), (7, 7, 0.5), (300, 301, 0.4)]
 
 
+def test_cannot_links_of_a_hot_name_are_spread(spark, monkeypatch):
+    """Almost all regions reject one name or have it: its pairs fill several tasks evenly; regions of several names and rejections give each pair once."""
+    monkeypatch.setattr(feedback, "BLOCK_REGIONS", 16)
+    monkeypatch.setattr(feedback, "TASK_PAIRS", 2_000)
+    hot = spark.range(400).selectExpr("id", "id AS region_id", "if(id < 200, 'named', 'unassigned') AS action", "1L AS cluster_id", "if(id < 200, 'Anne', NULL) AS name")
+    rest = [(500, 500, "named", 1, "Anne"), (500, 500, "named", 2, "Bea"), (501, 501, "unassigned", 1, None), (502, 501, "unassigned", 2, None), (503, 502, "unassigned", 1, None), (504, 502, "named", 1, "Anne")]
+    clusters = spark.createDataFrame([(1, "Anne"), (2, "Bea")], "cluster_id long, label_user string")
+    found = feedback.cannot_links(hot.union(spark.createDataFrame(rest, LOG)), clusters)
+    assert sorted(map(tuple, found.collect())) == sorted((a, b) for a in [*range(200, 400), 501, 502] for b in [*range(200), 500, 502] if a != b)
+    sizes = sorted(r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect())
+    assert len(sizes) > 8 and sizes[-1] < 8_000
+
+
 def test_replay(spark):
     log = spark.createDataFrame([(1, 1, "named", 1, "Anne"), (2, 2, "named", 1, "Bob"), (3, 3, "named", 1, "Eve"), (4, 3, "unassigned", 1, None)], LOG)
     assigned = spark.createDataFrame([(1, 7, 0, 0.1), (2, 7, 0, 0.2), (3, 7, 0, 0.3), (4, 7, -1, 0.0)], "region_id long, run_id int, cluster_no int, distance double")
