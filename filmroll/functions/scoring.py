@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
 
 class Tagger(Protocol):
@@ -38,10 +41,39 @@ def _model(factory: Callable[[], object]) -> object:
     return _MODELS[factory]
 
 
-def _batches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for at in range(0, len(frame), size):
-            yield frame.iloc[at : at + size]
+#: Contents that a task scores, tasks at most, and rows of a batch that comes out.
+TASK_ROWS, MOST_TASKS, OUT_ROWS = 4_000, 4_000, 2_000
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """item_id and content, dealt evenly over tasks by their number: a small file of short contents, one task to Spark, is much work to score."""
+    contents = df.select("item_id", "content")
+    n_tasks = 1 if df.isStreaming else min(MOST_TASKS, math.ceil(df.select("item_id").count() / TASK_ROWS))
+    return contents.repartition(n_tasks) if n_tasks > 1 else contents
+
+
+def _scored(df: DataFrame, factory: Callable[[], object], method: str, batch: int, rows_of: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """Rows that ``rows_of`` makes of the item, the result and the error of every content; the model is handed ``batch`` contents at once."""
+    types = to_arrow_schema(DataType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, rows = getattr(_model(factory), method), []
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.types, strict=True)], schema=types)
+
+        for part in batches:
+            items, contents = part.column("item_id").to_pylist(), part.column("content").to_pylist()
+            for at in range(0, len(items), batch):
+                for item, (found, error) in zip(items[at : at + batch], _guarded(score, contents[at : at + batch]), strict=True):
+                    rows += rows_of(item, found, error)
+                if len(rows) >= OUT_ROWS:
+                    yield out()
+                    rows = []
+        yield out()
+
+    return _dealt(df).mapInArrow(run, schema)
 
 
 def _guarded(run: Callable[[list], list], contents: list) -> list[tuple[object, str | None]]:
@@ -61,45 +93,32 @@ def _guarded(run: Callable[[list], list], contents: list) -> list[tuple[object,
 def score_tags(df: DataFrame, factory: Callable[[], Tagger], model_name: str, threshold: float = 0.0, batch: int = 64) -> DataFrame:
     """X1, X4. item_id, tag, score, model_name and error of every content (item_id, content), by score from ``threshold``."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _model(factory)
-        for part in _batches(frames, batch):
-            rows = []
-            for item, (tags, error) in zip(part["item_id"], _guarded(model.tag, list(part["content"])), strict=True):
-                if error:
-                    rows.append((item, None, None, model_name, error))
-                rows += [(item, t, float(s), model_name, None) for t, s in sorted(tags or [], key=lambda x: (-x[1], x[0])) if s >= threshold]
-            yield pd.DataFrame(rows, columns=["item_id", "tag", "score", "model_name", "error"])
+    def rows(item: int, tags: list | None, error: str | None) -> list[tuple]:
+        if error:
+            return [(item, None, None, model_name, error)]
+        return [(item, t, float(s), model_name, None) for t, s in sorted(tags or [], key=lambda x: (-x[1], x[0])) if s >= threshold]
 
-    return df.select("item_id", "content").mapInPandas(run, "item_id long, tag string, score double, model_name string, error string")
+    return _scored(df, factory, "tag", batch, rows, "item_id long, tag string, score double, model_name string, error string")
 
 
 def embed(df: DataFrame, factory: Callable[[], Embedder], model_name: str, batch: int = 64) -> DataFrame:
     """X2. item_id, model_name, vector and error of every content."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _model(factory)
-        for part in _batches(frames, batch):
-            found = _guarded(model.embed, list(part["content"]))
-            yield pd.DataFrame({"item_id": part["item_id"].to_numpy(), "model_name": model_name, "vector": [None if v is None else [float(x) for x in v] for v, _ in found], "error": [e for _, e in found]})
+    def rows(item: int, vector: list | None, error: str | None) -> list[tuple]:
+        return [(item, model_name, None if vector is None else [float(x) for x in vector], error)]
 
-    return df.select("item_id", "content").mapInPandas(run, "item_id long, model_name string, vector array<float>, error string")
+    return _scored(df, factory, "embed", batch, rows, "item_id long, model_name string, vector array<float>, error string")
 
 
 def detect(df: DataFrame, factory: Callable[[], Detector], model_name: str, batch: int = 16) -> DataFrame:
     """X3. A row per region found in every content."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _model(factory)
-        for part in _batches(frames, batch):
-            rows = []
-            for item, (found, error) in zip(part["item_id"], _guarded(model.detect, list(part["content"])), strict=True):
-                if error:
-                    rows.append((item, None, None, None, None, None, None, model_name, error))
-                rows += [(item, *map(int, r["box"]), float(r["score"]), [float(x) for x in r["vector"]], model_name, None) for r in found or []]
-            yield pd.DataFrame(rows, columns=["item_id", "x", "y", "w", "h", "det_score", "vector", "model_name", "error"])
+    def rows(item: int, found: list | None, error: str | None) -> list[tuple]:
+        if error:
+            return [(item, None, None, None, None, None, None, model_name, error)]
+        return [(item, *map(int, r["box"]), float(r["score"]), [float(x) for x in r["vector"]], model_name, None) for r in found or []]
 
-    return df.select("item_id", "content").mapInPandas(run, "item_id long, x int, y int, w int, h int, det_score double, vector array<float>, model_name string, error string")
+    return _scored(df, factory, "detect", batch, rows, "item_id long, x int, y int, w int, h int, det_score double, vector array<float>, model_name string, error string")
 
 
 REGION = "x int, y int, w int, h int, det_score double, vector array<float>, error string"
@@ -124,7 +143,7 @@ def detector_table(factory: Callable[[], Detector]) -> object:
 
 def detect_lateral(df: DataFrame, factory: Callable[[], Detector]) -> DataFrame:
     """X3. item_id and the regions found in every content (item_id, content), by a lateral join with the detector."""
-    return df.select("item_id", "content").lateralJoin(detector_table(factory)(F.col("content").outer())).drop("content")
+    return _dealt(df).lateralJoin(detector_table(factory)(F.col("content").outer())).drop("content")
 
 
 def unscored(items: DataFrame, existing: DataFrame, model_name: str, force: bool = False) -> DataFrame:

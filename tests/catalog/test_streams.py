@@ -153,3 +153,17 @@ def test_scoring(spark):
     assert df.select(scoring.fake_tags(F.col("content")).alias("t")).where(F.size("t") == 3).count() == 3
     left = scoring.unscored(df, spark.createDataFrame([(1, "fake")], "item_id long, model_name string"), "fake")
     assert {r.item_id for r in left.collect()} == {2, 3}
+
+
+@pytest.mark.parametrize("score", [lambda df: scoring.detect(df, scoring.FakeDetector, "fake"), lambda df: scoring.detect_lateral(df, scoring.FakeDetector), lambda df: scoring.score_tags(df, scoring.FakeTagger, "fake"), lambda df: scoring.embed(df, scoring.FakeEmbedder, "fake")])
+def test_contents_of_one_file_are_scored_by_many_tasks(spark, monkeypatch, score):
+    """Contents that Spark reads as one task are dealt evenly, with the same rows and nulls."""
+    df = spark.createDataFrame([(i, None if i % 50 == 0 else f"{'bad ' if i % 10 == 0 else ''}{i}") for i in range(1000)], "item_id long, content string").coalesce(1)
+    names = [c for c in score(df).columns if c != "vector"]
+    whole = sorted(map(str, score(df).select(*names).collect()))
+    monkeypatch.setattr(scoring, "TASK_ROWS", 100)
+    monkeypatch.setattr(scoring, "OUT_ROWS", 7)
+    found = score(df)
+    assert sorted(map(str, found.select(*names).collect())) == whole
+    items = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count_distinct("item_id").alias("n")).collect()]
+    assert len(items) == 10 and max(items) <= 150
