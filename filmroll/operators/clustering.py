@@ -53,11 +53,25 @@ def reduce_dims(vectors: DataFrame, n_components: int) -> DataFrame:
     return model.transform(unit).select("vec_id", vector_to_array("_r").alias("reduced"))
 
 
+def _cell(side: float) -> Column:
+    return F.transform(F.slice("reduced", 1, GRID_DIMS), lambda x: F.floor(x / side))
+
+
+def _around(cells: DataFrame) -> DataFrame:
+    """Rows with each cell around theirs (cell), itself included, in ``at``."""
+    around = F.col("cell")
+    near = cells.withColumn("at", F.array().cast("array<bigint>"))
+    for i in range(GRID_DIMS):
+        near = near.withColumn("step", F.explode(F.when(F.size(around) > i, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        near = near.withColumn("at", F.when(F.size(around) > i, F.concat("at", F.array(F.try_add(F.get(around, F.lit(i)), F.col("step"))))).otherwise(F.col("at"))).drop("step")
+    return near
+
+
 def _blocks(nodes: DataFrame, side: float, fields: tuple[str, ...]) -> DataFrame:
     """Blocks of rows of one cell of the grid: cell, salt and the ``fields`` of its rows as points."""
-    placed = nodes.withColumn("cell", F.transform(F.slice("reduced", 1, GRID_DIMS), lambda x: F.floor(x / side)))
+    placed = nodes.withColumn("cell", _cell(side))
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_POINTS).alias("n_salts"))
-    salted = placed.join(sizes, "cell").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("n_salts")))
+    salted = placed.join(sizes, "cell").withColumn("salt", F.pmod(F.xxhash64("node", "reduced"), F.col("n_salts")))
     return staged(salted.groupBy("cell", "salt").agg(F.collect_list(F.struct(*fields)).alias("points")))
 
 
@@ -66,16 +80,18 @@ def _block_pairs(nodes: DataFrame, eps: float, ordered: bool, others: DataFrame
 
     Cells of side eps over the first dimensions, each with its neighbours; a
     cell of many points is dealt into several blocks. ``ordered`` gives every
-    pair of blocks of ``nodes`` once.
+    pair of blocks of ``nodes`` once. Of ``others`` only the cells that ``nodes``
+    meet are put into blocks, and equal rows of one node as one weighted point.
     """
     side = (eps or 1.0) * (1 + 1e-9)
     blocks = _blocks(nodes, side, fields)
-    against = blocks if others is None else _blocks(others, side, fields)
-    around = F.col("cell")
-    near = blocks.withColumn("at", F.array().cast("array<bigint>"))
-    for i in range(GRID_DIMS):
-        near = near.withColumn("step", F.explode(F.when(F.size(around) > i, F.array(F.lit(-1), F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-        near = near.withColumn("at", F.when(F.size(around) > i, F.concat("at", F.array(F.try_add(F.get(around, F.lit(i)), F.col("step"))))).otherwise(F.col("at"))).drop("step")
+    near = _around(blocks)
+    if others is None:
+        against = blocks
+    else:
+        met = staged(_around(blocks.select("cell").distinct()).select(F.col("at").alias("cell")).distinct())
+        placed = others.withColumn("cell", _cell(side)).join(met.hint("broadcast" if small(met, CELL_ROWS) else "merge"), "cell", "left_semi")
+        against = _blocks(placed.groupBy("node", "reduced", "tied").agg(F.sum("w").alias("w")), side, fields)
     pairs = near.join(against.select(F.col("cell").alias("at"), F.col("salt").alias("other_salt"), F.col("points").alias("others")).hint("merge"), "at")
     pairs = pairs.where(F.struct("cell", "salt") <= F.struct(F.col("at").alias("cell"), F.col("other_salt").alias("salt"))) if ordered else pairs
     return pairs.select(F.col("points").alias("own"), "others")
@@ -124,22 +140,22 @@ def _span(squares: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
 
 
-def dense_cells(nodes: DataFrame, eps: float, min_samples: int) -> tuple[DataFrame, DataFrame] | None:
-    """Sub-cells whose points are all up to ``eps`` apart and more than ``min_samples``, and ``nodes`` with rep, the least node of theirs; None without such cells.
+def dense_cells(points: DataFrame, eps: float, min_samples: int) -> tuple[DataFrame, DataFrame] | None:
+    """Sub-cells whose points are all up to ``eps`` apart and more than ``min_samples``, and ``points`` with rep, the least vec_id of theirs; None without such cells.
 
     A sub-cell has the side eps / sqrt(d), and the box of its points is measured.
     All its points are core and in one component, so it stands for them: its
     row has their box (reduced, high) and, in ``tips``, the outermost points of each
     dimension. Tied points are in none.
     """
-    first = nodes.select(F.size("reduced").alias("d")).first()
+    first = points.select(F.size("reduced").alias("d")).first()
     if not eps or first is None or not 0 < first.d <= SUB_DIMS:
         return None
     side = eps / np.sqrt(first.d) * (1 - 1e-9)
-    placed = nodes.withColumn("sub", F.when(~F.col("tied"), F.transform("reduced", lambda x: F.floor(x / float(side)))))
+    placed = points.withColumn("sub", F.when(~F.col("tied"), F.transform("reduced", lambda x: F.floor(x / float(side)))))
     at = [F.get("reduced", F.lit(i)) for i in range(first.d)]
     tips = F.flatten(F.array(*[most("reduced", x) for x in at for most in (F.min_by, F.max_by)]))
-    cells = placed.where("sub IS NOT NULL").groupBy("sub").agg(F.min("node").alias("node"), F.sum("w").alias("w"), F.array(*map(F.min, at)).alias("reduced"), F.array(*map(F.max, at)).alias("high"), tips.alias("tips"))
+    cells = placed.where("sub IS NOT NULL").groupBy("sub").agg(F.min("vec_id").alias("node"), F.count("*").alias("w"), F.array(*map(F.min, at)).alias("reduced"), F.array(*map(F.max, at)).alias("high"), tips.alias("tips"))
     wide = _span(F.zip_with("high", "reduced", lambda h, x: (h - x) * (h - x)))
     cells = staged(cells.where((F.col("w") - 1 >= min_samples) & (wide <= eps)))
     if cells.isEmpty():
@@ -189,7 +205,7 @@ def _cell_links(cells: DataFrame, points: DataFrame, edges: DataFrame, eps: floa
 
     def facing(own: str, other: str) -> DataFrame:
         boxed = undecided.join(cells.select(F.col("node").alias(other), F.col("reduced").alias("low"), "high").hint("merge"), other)
-        met = boxed.join(points.where("rep IS NOT NULL").select(F.col("rep").alias(own), "node", "reduced").hint("merge"), own)
+        met = boxed.join(points.where("rep IS NOT NULL").select(F.col("rep").alias(own), F.col("vec_id").alias("node"), "reduced").hint("merge"), own)
         out = F.transform("reduced", lambda x, i: F.greatest(F.get("low", i) - x, x - F.get("high", i), F.lit(0.0)))
         rows = staged(met.where(_span(F.transform(out, lambda x: x * x)) <= eps).select("src", "dst", "node", "reduced"))
         sizes = rows.groupBy("src", "dst").agg(F.ceil(F.count("*") / CELL_POINTS).alias("n_salts"))
@@ -223,7 +239,6 @@ def density_cluster(points: DataFrame, min_size: int, min_samples: int, eps: flo
             known = known.union(more)
         named, tied = points.join(known.distinct().withColumn("_tied", F.lit(True)), "vec_id", "left"), F.coalesce("_tied", F.lit(False))
     named = staged(named.select("vec_id", "reduced", F.when(tied, F.col("vec_id")).otherwise(-1).alias("alone"), tied.alias("tied")))
-    nodes = staged(named.groupBy("reduced", "alone", "tied").agg(F.min("vec_id").alias("node"), F.count("*").alias("w")))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,29 +254,32 @@ def density_cluster(points: DataFrame, min_size: int, min_samples: int, eps: flo
                 at = np.array([*_forest(near & ~both), *np.argwhere(both).tolist()], dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(other[at[:, 1]]), pa.array(dist[at[:, 0], at[:, 1]])], names=["src", "dst", "weight"])
 
-    dense = dense_cells(nodes, eps, min_samples)
-    nodes = dense[1] if dense else nodes.withColumn("rep", F.lit(None).cast("long"))
+    dense = dense_cells(named, eps, min_samples)
+    named = dense[1] if dense else named.withColumn("rep", F.lit(None).cast("long"))
+    held = named.where("rep IS NOT NULL").select(F.col("rep").alias("node"), "reduced", F.lit(1).cast("long").alias("w"), "tied")
     with pair_batches(points.sparkSession):
-        loose = nodes.where("rep IS NULL")
-        within = _block_pairs(loose, eps, False, nodes if dense else None).mapInArrow(counted, "node long, n long")
+        loose = staged(named.where("rep IS NULL").groupBy("reduced", "alone", "tied", "rep").agg(F.min("vec_id").alias("node"), F.count("*").alias("w")))
+        both = lambda own: own.select(*held.columns).union(held) if dense else None
+        within = _block_pairs(loose, eps, False, both(loose)).mapInArrow(counted, "node long, n long")
         counts = within.groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") - 1 >= min_samples)  # but the point itself
-        core = staged(counts.select("node", F.col("node").alias("unit")).union(nodes.where("rep IS NOT NULL").select("node", "rep")))
-        units = nodes.join(core, "node").select(F.col("unit").alias("node"), "reduced", "w", "tied", "rep")
-        alone = units.where("rep IS NULL")
-        edges = _block_pairs(alone, eps, not dense, units if dense else None).mapInArrow(linked, "src long, dst long, weight double").where("src <> dst")
+        core = staged(counts.select("node"))
+        alone = staged(loose.join(core.hint("merge"), "node", "left_semi"))
+        edges = _block_pairs(alone, eps, not dense, both(alone)).mapInArrow(linked, "src long, dst long, weight double").where("src <> dst")
         if constraints:
             from filmroll.operators.feedback import apply_constraints
 
             edges = apply_constraints(staged(edges), *constraints)
         edges = staged(edges.where(F.col("weight") <= eps).select("src", "dst").distinct())
-        edges = edges.union(_cell_links(dense[0], nodes, edges, eps)) if dense else edges
-        roots = components(edges.toDF("u", "v"))
-    rooted = nodes.join(core, "node", "left").withColumn("at", F.coalesce("unit", "node")).join(roots.withColumnRenamed("node", "at"), "at", "left")
-    rooted = rooted.select("reduced", "alone", F.coalesce("root", "unit").alias("root"))
-    labelled = staged(named.join(rooted, ["reduced", "alone"]).select("vec_id", F.coalesce("root", "vec_id").alias("root")))
+        edges = edges.union(_cell_links(dense[0], named, edges, eps)) if dense else edges
+        roots = staged(components(edges.toDF("u", "v")))
+    found = roots.withColumnRenamed("node", "at").hint("broadcast" if small(roots, CELL_ROWS) else "merge")
+    units = loose.join(core.withColumn("unit", F.col("node")).hint("merge"), "node", "left").select("reduced", "alone", F.col("node").alias("at"), "unit")
+    apart = named.where("rep IS NULL").join(units.hint("merge"), ["reduced", "alone"]).select("vec_id", "at", "unit")
+    placed = apart.union(named.where("rep IS NOT NULL").select("vec_id", "rep", "rep")).join(found, "at", "left")
+    labelled = staged(placed.select("vec_id", F.coalesce("root", "unit", "vec_id").alias("root")))
     large = labelled.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
-    numbered = large.withColumn("cluster_no", (F.row_number().over(W.orderBy("root")) - 1).cast("int"))
-    return labelled.join(numbered, "root", "left").select("vec_id", F.coalesce("cluster_no", F.lit(-1)).alias("cluster_no"))
+    numbered = staged(large.select("root", (F.row_number().over(W.orderBy("root")) - 1).cast("int").alias("cluster_no")))
+    return labelled.join(numbered.hint("broadcast" if small(numbered, CELL_ROWS) else "merge"), "root", "left").select("vec_id", F.coalesce("cluster_no", F.lit(-1)).alias("cluster_no"))
 
 
 def level_grid(eps: float, levels: int) -> list[float]:

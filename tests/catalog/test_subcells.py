@@ -107,3 +107,18 @@ def test_a_cell_of_many_points(spark):
     rng = np.random.default_rng(8)
     points = np.concatenate([rng.uniform(0, 1, (20000, 3)), rng.uniform(0, 1, (20000, 3)) + [3.0, 0, 0]])
     assert run(spark, points, 100, 5, 1.0) == [0] * 20000 + [1] * 20000
+
+
+def test_only_cells_that_loose_points_meet_are_put_into_blocks(spark, monkeypatch):
+    """Dense cells far from loose points stay out of blocks; copies of one point near them are one."""
+    monkeypatch.setattr(clustering, "CELL_POINTS", 16)
+    blocks, seen = clustering._blocks, []
+
+    def spied(nodes, *more):
+        seen.append(found := blocks(nodes, *more))
+        return found
+
+    monkeypatch.setattr(clustering, "_blocks", spied)
+    points = np.concatenate([np.linspace(0, 500, 20_001), np.full(400, 500.3), [501.35, 501.4, 600.0]])[:, None]
+    assert run(spark, points, 6, 5, 1.0) == [0] * (len(points) - 3) + [-1] * 3
+    assert sum(r[0] for found in seen for r in found.selectExpr("size(points)").collect()) < 2_000
