@@ -1,14 +1,14 @@
 """Operator 11, collocation mining on FM-indexes of word ids.
 
 Texts are dealt into shards of one language. Words that are frequent over all
-shards get ids; everything else ends a piece. Each shard is stored as a
+shards get ids; everything else ends a piece. Each shard is held as a
 bidirectional index: the Burrows-Wheeler transforms of its word ids and of their
 reversal. Intervals of phrases are extended to the right by one transform and to
-the left by the other, all intervals of a depth at once; their sizes are counts,
-and counts are summed over shards. Phrases of two words come first; those of
-three follow where both of their pairs are frequent over all shards, those of
-four where both of their triples are, so what is shuffled follows the frequent
-part of the corpus.
+the left by the other, all intervals of a depth at once; their sizes are counts.
+Every pair is extended by the word behind it and then by the word before it, or
+by an end of its piece, so a shard hands on at most one entry for each of its
+words, whatever is frequent. Entries go to parts by their pair; a part holds all
+counts of its phrases of two, three and four words.
 """
 
 from __future__ import annotations
@@ -19,26 +19,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from filmroll.llm.common import batches_of, documents, materialize
-from filmroll.sources.tables import union_all
+from filmroll.llm.common import batches_of, documents, materialize, mix64, partitions, slices
 
 #: Least count of a candidate, rows of a language, and the share of a phrase that a longer one must hold to replace it (in per cent).
 MIN_COUNT, TOP, COVER = 30, 2000, 80
-#: Words that a worker gathers, over all languages, before it writes its shards.
-SHARD_WORDS = 1 << 21
-#: Bytes of shards or indexes that a worker is handed at once, and phrases that it hands back.
-ROW_BYTES, PHRASE_ROWS = 1 << 21, 1 << 16
-#: Frequent phrases of a length up to which their ids (8 bytes a word) are sent to every executor; more are joined to the shards that hold them.
-PAIR_ROWS = 2_000_000
+#: Words of a language that a worker gathers before it writes their shard, and of all languages before it writes every shard.
+SHARD_WORDS, HELD_WORDS = 1 << 21, 1 << 22
+#: Bytes of shards or entries that a worker is handed at once, and words of an index whose phrases are extended together.
+ROW_BYTES, SLICE_WORDS = 1 << 21, 1 << 18
+#: Pairs of neighbours that a part of the counting should hold, repeated ones included; never less than ``LEAST_PAIRS``.
+PAIR_ROWS, LEAST_PAIRS = 2_000_000, 100
 #: Bytes of a text that are cut into words at once.
 BLOCK_BYTES = 1 << 20
 #: Parts of a language whose best phrases are found on their own, before they meet.
 RANK_PARTS = 64
+#: What an entry holds, in the order of the columns.
+ENTRY = ("before", "first", "second", "behind", "n")
 
 _TOKEN = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r][ \t.,;:!?\n-\r]*")
 _BREAK = re.compile(rb"[ \t.,;:!?\n-\r]")
@@ -47,13 +48,14 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Whole numbers below 2 ** 32 as compressed bytes, behind their count."""
-    return len(values).to_bytes(8, "little") + pa.compress(values.astype("<u4").tobytes(), codec="zstd", asbytes=True)
+    """Whole numbers below 2 ** 32 as compressed bytes, those of equal weight together, behind their count."""
+    return len(values).to_bytes(8, "little") + pa.compress(values.astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpacked(raw: pa.BinaryScalar) -> np.ndarray:
+def _unpacked(raw: pa.BinaryScalar, dtype: type = np.int32) -> np.ndarray:
     data = memoryview(raw.as_buffer())
-    return np.frombuffer(pa.decompress(data[8:], 4 * int.from_bytes(data[:8], "little"), codec="zstd"), dtype="<u4").astype(np.int32)
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * int.from_bytes(data[:8], "little"), codec="zstd"), dtype="u1")
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1).astype(dtype)
 
 
 class _Ids(dict):
@@ -89,15 +91,19 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, tuple[_Ids, array]] = {}
     number, total = TaskContext.get().partitionId() << 32, 0
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal number
-        for lang, (known, ids) in held.items():
+    def flush(langs: list[str]) -> Iterator[pa.RecordBatch]:
+        nonlocal number, total
+        for lang in langs:
+            known, ids = held.pop(lang)
             row = np.frombuffer(ids, dtype=np.int32)
             counts = np.bincount(row, minlength=len(known.words) + 1)[1:]
-            number += 1
+            number, total = number + 1, total - len(row)
             columns = [[number], [lang], [_packed(row)], [[w.decode() for w in known.words]], [counts]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)], names=["shard", "lang", "ids", "words", "counts"])
-        held.clear()
+
+    def full(lang: str) -> list[str]:
+        """The languages whose shards are due."""
+        return list(held) if total >= HELD_WORDS else [lang] if lang in held and len(held[lang][1]) >= SHARD_WORDS else []
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
@@ -106,15 +112,13 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before = len(ids)
                 ids.extend(map(known.__getitem__, _TOKEN.findall(block)))
                 total += len(ids) - before
-                if total >= SHARD_WORDS and ids and not ids[-1]:
-                    yield from flush()
-                    total = 0
+                if ids and not ids[-1]:
+                    yield from flush(full(lang))
             if lang in held:
                 held[lang][1].append(0)
-            if total >= SHARD_WORDS:
-                yield from flush()
-                total = 0
-    yield from flush()
+                total += 1
+                yield from flush(full(lang))
+    yield from flush(list(held))
 
 
 def suffix_order(seq: np.ndarray) -> np.ndarray:
@@ -166,12 +170,13 @@ class Index:
         starts = np.cumsum(self.counts)[:-1]
         return starts, starts.copy(), self.counts[1:]
 
-    def extend(self, left: bool, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    def extend(self, left: bool, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray, edges: bool = False) -> tuple[np.ndarray, ...]:
         """All intervals one word longer, to the left or right: phrase they come from, word, and their starts and sizes.
 
         ``starts`` are in the forward order, ``others`` in the backward one. The
         interval that is read splits by its symbols; in the other order the parts
-        stand one after another as the symbols do.
+        stand one after another as the symbols do. With ``edges``, ends of pieces
+        count as word 0; they may then be extended to the other side only.
         """
         (symbols, steps), (own, other) = self.sides[0 if left else 1], (starts, others) if left else (others, starts)
         owner = np.repeat(np.arange(len(own)), sizes)
@@ -182,103 +187,104 @@ class Index:
         opened = np.concatenate([[True], phrase[1:] != phrase[:-1]])[: len(phrase)]
         inside = before - np.repeat(before[opened], np.diff(np.append(np.flatnonzero(opened), len(phrase))))
         grown, beside = steps[rows[first]], other[phrase] + inside
-        keep = word > 0
+        keep = (word > 0) | edges
         ends = (grown, beside) if left else (beside, grown)
         return phrase[keep], word[keep], ends[0][keep], ends[1][keep], n[keep]
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Indexes of shards, over their frequent words in the order of the global ids."""
-    for batch in batches:
-        for shard, raw, known in zip(batch.column("shard").to_pylist(), batch.column("ids"), batch.column("known"), strict=True):
-            place, gid = (x.to_numpy() for x in known.values.flatten())
-            order = np.argsort(gid)
-            ids = _unpacked(raw)
-            table = np.zeros(max(int(ids.max()), int(place.max()) + 1) + 1, dtype=np.int64)
-            table[place[order] + 1] = np.arange(1, len(gid) + 1)
-            seq = np.append(table[ids], 0)
-            seq = seq[(seq > 0) | np.concatenate([[False], seq[:-1] > 0])]
-            sides = [transform(seq), transform(np.append(seq[:-1][::-1], 0))]
-            columns = [([shard], pa.int64()), ([gid[order]], pa.list_(pa.int64())), *(([_packed(s)], pa.binary()) for s in sides)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["shard", "gids", "forward", "backward"])
-
-
-def _indexes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, Index]]:
-    """Stored indexes, one at a time: the row's other fields, global ids from code 1, and the index."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {n: batch.column(n)[i] for n in batch.schema.names}
-            gids = np.append([-1], row["gids"].values.to_numpy())
-            yield row, gids, Index(*(_unpacked(row[n]) for n in ("forward", "backward")), len(gids) - 1)
-
-
-def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, PHRASE_ROWS):
-        yield batch.slice(at, PHRASE_ROWS)
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases of two words of each shard, with counts."""
-    for row, gids, index in _indexes(batches):
-        word, follower, _, _, n = index.extend(False, *index.words())
-        yield from _batches(row, gids, [word + 1, follower], n)
-
-
-def _among(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where in a sorted table keys stand, and whether they do."""
-    at = np.minimum(np.searchsorted(table, keys), max(len(table) - 1, 0))
-    return at, (table[at] == keys) if len(table) else np.zeros(len(keys), bool)
-
-
-def _frequent(row: dict, gids: np.ndarray, everywhere: Broadcast | None) -> list[np.ndarray]:
-    """The frequent phrases whose words a shard has, as codes: a column a word, of those ``everywhere`` or in the shard's row."""
-    ids = everywhere.value if everywhere else [x.to_numpy() for x in row["held"].values.flatten()]
-    codes, here = zip(*(_among(gids, x) for x in ids), strict=True)
-    every = np.logical_and.reduce(here)
-    return [c[every] for c in codes]
-
-
-def _batches(row: dict, gids: np.ndarray, words: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Phrases of a shard by the global ids of their words, with counts."""
-    columns = [pa.array(np.full(len(n), row["shard"].as_py(), dtype=np.int64)), *(pa.array(gids[w]) for w in words), pa.array(n, pa.int64())]
-    yield from _sliced(pa.RecordBatch.from_arrays(columns, names=["shard", *(f"g{k + 1}" for k in range(len(words))), "n"]))
+def _index(raw: pa.BinaryScalar, known: pa.ListScalar) -> tuple[np.ndarray, Index]:
+    """The index of a shard over its frequent words, in the order of their global ids, and these ids from code 1."""
+    place, gid = (x.to_numpy() for x in known.values.flatten())
+    order = np.argsort(gid)
+    ids = _unpacked(raw)
+    table = np.zeros(max(int(ids.max()), int(place.max()) + 1) + 1, dtype=np.int64)
+    table[place[order] + 1] = np.arange(1, len(gid) + 1)
+    seq = np.append(table[ids], 0)
+    seq = seq[(seq > 0) | np.concatenate([[False], seq[:-1] > 0])]
+    return np.append([0], gid[order]), Index(transform(seq), transform(np.append(seq[:-1][::-1], 0)), len(gid))
+
+
+def _pairs(index: Index) -> Iterator[tuple[np.ndarray, ...]]:
+    """Entries of a shard, some words at a time: the word before a pair, the pair, the word behind it (0: none), and their count."""
+    words = index.words()
+    for lo, hi in slices(words[2], SLICE_WORDS):
+        of, second, *ends = index.extend(False, *(x[lo:hi] for x in words))
+        first = of + lo + 1
+        of, behind, *ends = index.extend(False, *ends, edges=True)
+        first, second = first[of], second[of]
+        of, before, _, _, n = index.extend(True, *ends, edges=True)
+        yield before, first[of], second[of], behind[of], n
+
+
+def _dealt(entries: list[np.ndarray], weights: list[np.ndarray], share: int, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each entry, and how many words a phrase has at least whose count is whole there.
+
+    ``weights`` are counts of the words, if not below ``share``. A pair of two such
+    words may be more than a part holds, so it is spread by the word behind it over
+    as many parts as its rarer word fills, and three such words by the one before.
+    """
+    before, first, second, behind = (e.astype(np.uint64) for e in entries)
+    rarer = np.minimum(weights[1], weights[2])
+    spread = [(1 + w // share).astype(np.uint64) for w in (rarer, np.minimum(rarer, weights[3]))]
+    pair = mix64((first << np.uint64(32)) | second)
+    three = mix64(pair + behind)
+    size = 2 + (spread[0] > 1) + (spread[1] > 1)
+    step = np.choose(size - 2, [np.zeros_like(pair), three % spread[0], mix64(three + before) % spread[1]])
+    return ((mix64(np.where(size < 4, pair, three)) % np.uint64(n_parts) + step) % np.uint64(n_parts)).astype(np.int64), size
 
 
-def _triples(everywhere: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Phrases of three words, to the right of two, whose pairs of neighbours are both frequent."""
+def _parts(heavy: np.ndarray, share: int, n_parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Entries of shards by part; ``heavy`` are the counts of the words from id 1 on that fill a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, gids, index in _indexes(batches):
-            one, two = _frequent(row, gids, everywhere)
-            pairs = np.sort(one * index.size + two)
-            a, b, *ends = index.extend(False, *index.words())
-            a, keep = a + 1, _among(pairs, (a + 1) * index.size + b)[1]
-            a, b, ends = a[keep], b[keep], [e[keep] for e in ends]
-            of, c, _, _, n = index.extend(False, *ends)
-            keep = _among(pairs, b[of] * index.size + c)[1]
-            yield from _batches(row, gids, [a[of][keep], b[of][keep], c[keep]], n[keep])
+        for batch in batches:
+            for raw, known in zip(batch.column("ids"), batch.column("known"), strict=True):
+                gids, index = _index(raw, known)
+                weight = np.where(gids <= len(heavy), np.append([np.iinfo(np.int64).max], heavy)[np.minimum(gids, len(heavy))], 0)
+                rows = []
+                for *codes, n in _pairs(index):
+                    entries = [gids[c] for c in codes]
+                    rows.append([x.astype(np.uint32) for x in (*_dealt(entries, [weight[c] for c in codes], share, n_parts), *entries, n)])
+                part, size, *columns = (np.concatenate(x) for x in zip(*rows, strict=True))
+                deal = part.astype(np.int64) * 3 + size - 2
+                order = np.argsort(deal, kind="stable")
+                deal, at = np.unique(deal[order], return_index=True)
+                blocks = list(zip(at, np.append(at[1:], len(order)), strict=True))
+                packed = [[_packed(np.diff(x[lo:hi], prepend=np.uint32(0)) if k == 1 else x[lo:hi]) for lo, hi in blocks] for k, x in enumerate(c[order] for c in columns)]
+                columns = [pa.array(deal // 3), pa.array(deal % 3 + 2), *(pa.array(x, pa.binary()) for x in packed)]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "size", *ENTRY])
 
     return run
 
 
-def _fours(everywhere: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Phrases of four words, to the left of frequent ones of three, whose first three words are frequent as well."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, gids, index in _indexes(batches):
-            one, two, three = _frequent(row, gids, everywhere)
-            heads = np.unique(one * index.size + two)
-            triples = np.sort(_among(heads, one * index.size + two)[0] * index.size + three)
-            a, b, *ends = index.extend(False, *index.words())
-            at, keep = _among(heads, (a + 1) * index.size + b)
-            at, a, b, ends = at[keep], a[keep] + 1, b[keep], [e[keep] for e in ends]
-            of, c, *ends = index.extend(False, *ends)
-            keep = _among(triples, at[of] * index.size + c)[1]
-            a, b, c, ends = a[of][keep], b[of][keep], c[keep], [e[keep] for e in ends]
-            of, before, _, _, n = index.extend(True, *ends)
-            at, begun = _among(heads, before * index.size + a[of])
-            keep = begun & _among(triples, at * index.size + b[of])[1]
-            yield from _batches(row, gids, [before[keep], a[of][keep], b[of][keep], c[of][keep]], n[keep])
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    fresh = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(np.append([True], fresh)) if len(keys[0]) else np.empty(0, np.int64)
+
+
+def _counted(least: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """The phrases of a part that reach ``least``, and those of which it holds but some counts."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        blocks = {c: [_unpacked(x, np.int64) for x in table.column(c)] for c in ENTRY}
+        blocks["first"] = [np.cumsum(x) for x in blocks["first"]]
+        before, first, second, behind, n = (np.concatenate(blocks[c]) for c in ENTRY)
+        found, pair = [], (first << 32) | second
+        order = np.argsort(pair, kind="stable")
+        for size in (2, 3, 4):
+            if size > 2:
+                here = np.flatnonzero(behind[order] > 0 if size == 3 else before[order] > 0)
+                order = order[here]
+                order = order[np.lexsort((before[order], behind[order], pair[order]) if size == 4 else (behind[order], pair[order]))]
+            starts = _runs(*(x[order] for x in (pair, behind, before)[: size - 1]))
+            sums = np.add.reduceat(n[order], starts) if len(starts) else np.empty(0, np.int64)
+            keep = sums >= (least if key[1].as_py() <= size else 1)
+            words = [x[order[starts[keep]]] for x in ((before,) if size == 4 else ()) + (first, second, behind)[: max(2, size - (size == 4))]]
+            g = pa.ListArray.from_arrays(pa.array(np.arange(keep.sum() + 1, dtype=np.int32) * size), pa.array(np.stack(words, axis=1).ravel() if words else []))
+            found.append(pa.table({"g": g, "n": pa.array(sums[keep])}))
+            order = order[np.repeat(keep, np.diff(np.append(starts, len(order))))]
+        return pa.concat_tables(found)
 
     return run
 
@@ -288,13 +294,13 @@ def _sum(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum("n").alias("a")).where(F.col("a") >= least)
 
 
-def _handed(index: DataFrame, found: DataFrame, frequent: DataFrame, keys: list[str]) -> tuple[DataFrame, Broadcast | None]:
-    """Indexes with what tells frequent phrases: their ids on every executor if counted few, else beside the index of each shard that ``found`` them, in ``held``."""
-    if frequent.count() <= PAIR_ROWS:
-        ids = frequent.select(*keys).toArrow()
-        return index, index.sparkSession.sparkContext.broadcast([ids[c].to_numpy() for c in keys])
-    own = found.select("shard", *keys).join(frequent.select(*keys).hint("merge"), keys).groupBy("shard").agg(F.collect_list(F.struct(*keys)).alias("held"))
-    return index.join(own.hint("merge"), "shard"), None
+def _numbered(words: DataFrame) -> DataFrame:
+    """The words with ids from 1 on without gaps, frequent ones first."""
+    sorted_ = materialize(words.orderBy(F.desc("a")).withColumn("id", F.monotonically_increasing_id()))
+    slot = F.shiftright("id", 33)
+    sizes = {r["slot"]: r["n"] for r in sorted_.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect()}
+    first = np.cumsum([1] + [sizes.get(k, 0) for k in range(max(sizes, default=0))]).tolist()
+    return sorted_.withColumn("gid", F.get(F.array(*(F.lit(x).cast("long") for x in first)), slot.cast("int")) + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).drop("id")
 
 
 def _subphrases(g: Column) -> Column:
@@ -317,22 +323,19 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) -> DataFra
     shards = materialize(texts.mapInArrow(_shards, "shard long, lang string, ids binary, words array<string>, counts array<long>"))
     totals = shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
     found = shards.select("lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))))
-    words = materialize(_sum(found.toDF("lang", "word", "n"), ["lang", "word"], min_count).withColumn("gid", F.monotonically_increasing_id()))
+    words = _numbered(materialize(_sum(found.toDF("lang", "word", "n"), ["lang", "word"], min_count)))
+    n_words = words.agg(F.sum("a")).first()[0] or 0
+    n_parts = max(partitions(docs.sparkSession), -(-n_words // max(PAIR_ROWS, LEAST_PAIRS)))
+    share = max(1, n_words // n_parts)
+    heavy = np.array([r["a"] for r in words.where(F.col("a") >= share).orderBy("gid").select("a").collect()], dtype=np.int64)
 
     placed = shards.select("shard", "lang", F.posexplode("words").alias("place", "word"))
     known = placed.join(words.select("lang", "word", "gid").hint("merge"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "gid")).alias("known"))
     with batches_of(docs.sparkSession, ROW_BYTES):
         inputs = shards.select("shard", "ids").join(known.hint("merge"), "shard")
-        index = materialize(inputs.mapInArrow(_build, "shard long, gids array<long>, forward binary, backward binary"))
-
-        found, counted = index.mapInArrow(_pairs, "shard long, g1 long, g2 long, n long"), []
-        for longer in (_triples, _fours, None):
-            keys = [c for c in found.columns if c.startswith("g")]
-            counted.append(materialize(_sum(found, keys, min_count)))
-            if longer:
-                held, everywhere = _handed(index, found, counted[-1], keys)
-                found = held.mapInArrow(longer(everywhere), f"shard long, {', '.join(f'g{k + 1} long' for k in range(len(keys) + 1))}, n long")
-        phrases = union_all([c.select(F.array(*[g for g in c.columns if g != "a"]).alias("g"), "a") for c in counted])
+        entries = inputs.mapInArrow(_parts(heavy, share, n_parts), f"part long, size long, {', '.join(f'{c} binary' for c in ENTRY)}")
+        found = entries.groupBy("part", "size").applyInArrow(_counted(min_count), "g array<long>, n long")
+        phrases = materialize(_sum(found, ["g"], min_count))
 
     parts = words.select(F.array("gid").alias("g"), "a").union(phrases.where(F.size("g") < 4))
     cuts = phrases.select("g", "a", F.explode(F.sequence(F.lit(1), F.size("g") - 1)).alias("k"))

@@ -63,6 +63,45 @@ def test_collocations_of_nothing(spark):
     assert collocations.mine(spark.createDataFrame([(1, None, None), (2, "", "en"), (3, ".,;", "en")], TEXTS), 1).collect() == []
 
 
+def test_what_shards_hand_on_grows_no_faster_than_the_words(spark, monkeypatch):
+    """Also where most phrases become frequent in the larger table."""
+    made, plain = spark.sparkContext.accumulator(0), type(spark.range(1)).mapInArrow
+
+    def counting(frame, func, schema, *more, **named):
+        def run(batches):
+            for batch in func(batches):
+                packed = "first" in batch.schema.names
+                made.add(sum(int.from_bytes(x.as_py()[:8], "little") for x in batch.column("first")) if packed else batch.num_rows)
+                yield batch
+
+        return plain(frame, run, schema, *more, **named)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", counting)
+    rng, totals = random.Random(6), []
+    for n in (6_000, 30_000):
+        texts = [(i, " ".join(rng.choice("abcdefgh") for _ in range(n // 20)), "en") for i in range(20)]
+        before = made.value
+        assert collocations.mine(spark.createDataFrame(texts, TEXTS).coalesce(1), 30).count()
+        totals.append(made.value - before)
+    assert totals[0] <= 6_000 and totals[1] <= 5 * totals[0]
+
+
+def test_a_frequent_pair_is_spread_over_parts():
+    """By the word behind it, and by the word before it where that one is frequent as well."""
+    rng = np.random.default_rng(7)
+    n, parts = 100_000, 50
+    one, two = np.full(n, 1), np.full(n, 2)
+    for behind in (rng.integers(10, 5_000, n), np.full(n, 3), np.zeros(n, np.int64)):
+        entries = [rng.integers(10, 5_000, n), one, two, behind]
+        weights = [np.where(e < 10, n, 0) for e in entries]
+        part, size = collocations._dealt(entries, weights, n // parts, parts)
+        assert np.bincount(part).max() < 3 * n / parts
+        whole = collections.defaultdict(set)
+        for phrase, k, where in zip(zip(*entries[1:], strict=True), size.tolist(), part.tolist(), strict=True):
+            whole[phrase].add((k, where))
+        assert all(len(x) == 1 for x in whole.values() if {k for k, _ in x} == {3})
+
+
 def test_blocks_of_long_texts_keep_words_and_pieces(monkeypatch):
     monkeypatch.setattr(collocations, "BLOCK_BYTES", 16)
     rng = random.Random(4)
