@@ -29,7 +29,7 @@ from filmroll.llm.common import batches_of, documents, materialize, mix64, parti
 #: Least count of a candidate, rows of a language, and the share of a phrase that a longer one must hold to replace it (in per cent).
 MIN_COUNT, TOP, COVER = 30, 2000, 80
 #: Words of a language that a worker gathers before it writes their shard, and of all languages before it writes every shard.
-SHARD_WORDS, HELD_WORDS = 1 << 21, 1 << 22
+SHARD_WORDS, HELD_WORDS = 1 << 20, 1 << 21
 #: Bytes of shards or entries that a worker is handed at once, and words of an index whose phrases are extended together.
 ROW_BYTES, SLICE_WORDS = 1 << 21, 1 << 18
 #: Pairs of neighbours that a part of the counting should hold, repeated ones included; never less than ``LEAST_PAIRS``.
@@ -161,7 +161,7 @@ class Index:
     @staticmethod
     def _steps(symbols: np.ndarray) -> np.ndarray:
         """Where the suffix that a row's symbol begins has its own row."""
-        steps = np.empty(len(symbols), dtype=np.int64)
+        steps = np.empty(len(symbols), dtype=np.int32)
         steps[np.argsort(symbols, kind="stable")] = np.arange(len(symbols))
         return steps
 
